@@ -252,7 +252,8 @@ def truncate_text(c, n: int = SNIPPET_CAP) -> Column:
 
 
 # E9
-STRING_LITERAL = '"((?:[^"\\\\]|\\\\.)*)"'
+# unrolled, possessive form of "((?:[^"\\]|\\.)*)": same matches, no deep regex recursion on long literals
+STRING_LITERAL = '"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)"'
 
 
 def string_literals(code, limit: int = 64) -> Column:
