@@ -51,3 +51,18 @@ def fixed_slices(df: DataFrame, group_cols: list[str], order_cols: list, size: i
     """Consecutive chunks of ``size`` rows per group (12 docs, 100 folders, 300 files)."""
     seq = dense_seq(df, group_cols, order_cols, out="_seq")
     return seq.withColumn(out, F.floor(F.col("_seq") / F.lit(size)).cast("bigint")).drop("_seq")
+
+
+def top_k_per_group(df: DataFrame, group_cols: list[str], order_cols: list, k: int,
+                    salt_buckets: int | None = None, out: str = "rk") -> DataFrame:
+    """First ``k`` rows per group by ``order_cols`` (rank in ``out``), skew-safe.
+
+    Stage 1 keeps the first k rows of every (group, salt) piece, so a hot group is cut into
+    ``salt_buckets`` independent sorts; stage 2 ranks at most ``salt_buckets * k`` rows per group."""
+    spark = df.sparkSession
+    b = salt_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*_cols(order_cols)), F.lit(b)))
+    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*_cols(order_cols))
+    pre = salted.withColumn("_r1", F.row_number().over(w1)).filter(F.col("_r1") <= k).drop("_r1", "_salt")
+    w2 = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
+    return pre.withColumn(out, F.row_number().over(w2) - 1).filter(F.col(out) < k)

@@ -216,7 +216,7 @@ def method_guess(code) -> Column:
 
 
 # U4
-def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame) -> DataFrame:
+def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame, exclude_reserved: bool = True) -> DataFrame:
     """Add guessed method rules when none survived and pool names for the first 7 short keys
     when no simple rule survived.  The emptiness tests are bounded probes (``limit(1)``)."""
     out = mapping.withColumn("source", F.lit("model"))
@@ -231,8 +231,10 @@ def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame) -> D
                          F.lit("fallback").alias("source")))
         out = out.unionByName(guess)
     if not has_simple:
-        first = (allowed.filter(F.col("kind") == "simple")
-                 .orderBy("first_order").limit(len(FILL_POOL))
+        simple = allowed.filter(F.col("kind") == "simple")
+        if exclude_reserved:
+            simple = simple.filter(~F.col("key").isin(*RESERVED_WORDS))
+        first = (simple.orderBy("first_order").limit(len(FILL_POOL))
                  .withColumn("prio", (F.row_number().over(Window.orderBy("first_order")) - 1).cast("bigint")))
         fill = (first.withColumn("new_name", F.element_at(F.array(*[F.lit(p) for p in FILL_POOL]),
                                                           (F.col("prio") + 1).cast("int")))
