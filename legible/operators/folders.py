@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from legible.functions import text as T
 from legible.operators.order import dense_seq, top_k_per_group
-from legible.session import checkpoint_dir
+from legible.session import checkpoint_dir, cut_lineage
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
 SKIP_PACKAGES = "^(androidx?|com\\.google|org|kotlinx?|java|javax|sun)\\b"
@@ -99,8 +99,8 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
     two different segments land on one name (``foo`` + 2 = ``foo2``), the earlier candidate keeps
     it and the name is blocked for the other segment; rounds repeat until targets are unique."""
     c = cands.select("folder", "parent", F.col("segment").alias("base"), F.col(order_col).alias("_ord"))
-    c = dense_seq(c, ["parent", "base"], ["_ord"], out="k")
     checkpoint_dir(cands.sparkSession)
+    c = cut_lineage(dense_seq(c, ["parent", "base"], ["_ord"], out="k"))
     blocked = existing.select("parent", "name", F.lit(None).cast("string").alias("owner"))
     result = None
     for _ in range(MAX_CONFLICT_ROUNDS):
@@ -129,7 +129,7 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
             result = assigned
             break
         blocked = blocked.unionByName(dup.select("parent", F.col("target").alias("name"), F.col("winner").alias("owner")))
-        blocked = blocked.checkpoint()   # reliable checkpoint in the shared folder cuts the round lineage
+        blocked = cut_lineage(blocked)   # reliable checkpoint in the shared folder cuts the round lineage
     if result is None:
         raise RuntimeError("name conflicts did not settle in %d rounds" % MAX_CONFLICT_ROUNDS)
     new_folder = F.when(F.col("parent") == "", F.col("target")).otherwise(F.concat("parent", F.lit("/"), "target"))

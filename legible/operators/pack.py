@@ -14,6 +14,8 @@ That fold is exact but sequential.  Here it is computed as a pointer problem:
 
 No group is ever collected into one task, so a group holding a third of all rows is split over
 the whole cluster; lineage is cut with reliable checkpoints in the shared checkpoint folder.
+Only when a probe has measured every group at <= SMALL_GROUP_MAX items is the plain fold used
+(one stage, one bounded array per group).
 """
 
 from __future__ import annotations
@@ -23,14 +25,13 @@ from pyspark.sql import functions as F
 
 from legible.functions.text import approx_tokens
 from legible.operators.order import dense_seq
-from legible.session import checkpoint_dir
+from legible.session import checkpoint_dir, cut_lineage
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
 TOKEN_BUDGET = 9000
 MAX_ITEMS = 12
 # ----------------------------------------------------------------------------------------------
 
-CHECKPOINT_EVERY = 4   # doubling rounds between lineage cuts
 
 
 def _next_start(items: DataFrame, keys: list[str], budget: int, max_items: int) -> DataFrame:
@@ -58,9 +59,35 @@ def _next_start(items: DataFrame, keys: list[str], budget: int, max_items: int)
     return per.select(*keys, F.col("start").alias("seq"), nxt.cast("bigint").alias("nxt"))
 
 
+SMALL_GROUP_MAX = 256   # measured bound under which a group is folded in one task
+
+
+def _fold_small_groups(items: DataFrame, keys: list[str], budget: int, max_items: int) -> DataFrame:
+    """Exact sequential fold per group, used only when the probe proved every group <= SMALL_GROUP_MAX."""
+    g = items.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "tok"))).alias("xs"))
+    init = F.struct(F.lit(-1).cast("bigint").alias("b"), F.lit(0).cast("bigint").alias("cur"),
+                    F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("pos"),
+                    F.array().cast("array<struct<seq:bigint,batch_no:bigint,pos:bigint>>").alias("out"))
+
+    def step(acc, it):
+        t = it["tok"]
+        new = (acc["b"] < 0) | (acc["cur"] + t > budget) | (acc["n"] >= max_items)
+        b = F.when(new, acc["b"] + 1).otherwise(acc["b"])
+        pos = F.when(new, F.lit(0).cast("bigint")).otherwise(acc["pos"] + 1)
+        cur = F.when(new, t).otherwise(acc["cur"] + t)
+        n = F.when(new, F.lit(1).cast("bigint")).otherwise(acc["n"] + 1)
+        rec = F.struct(it["seq"].alias("seq"), b.alias("batch_no"), pos.alias("pos"))
+        return F.struct(b.alias("b"), cur.alias("cur"), n.alias("n"), pos.alias("pos"),
+                        F.concat(acc["out"], F.array(rec)).alias("out"))
+
+    folded = g.select(*keys, F.explode(F.aggregate("xs", init, step)["out"]).alias("r"))
+    return folded.select(*keys, F.col("r.seq").alias("_seq"), F.col("r.batch_no").alias("batch_no"),
+                         F.col("r.pos").alias("pos"))
+
+
 def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token_col=None,
                    text_col: str | None = None, budget: int = TOKEN_BUDGET, max_items: int = MAX_ITEMS,
-                   seq_col: str | None = None) -> DataFrame:
+                   seq_col: str | None = None, small_group_max: int = SMALL_GROUP_MAX) -> DataFrame:
     """Add ``batch_no`` (0-based inside the group) and ``pos`` (0-based inside the batch).
 
     Tokens come from ``token_col`` or ``approx_tokens(text_col)``; every item counts at least 1.
@@ -73,16 +100,35 @@ def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token
     else:
         tok = F.greatest(F.lit(1).cast("bigint"), F.col(token_col).cast("bigint"))
     base = df.withColumn("_tok", tok)
-    base = base.withColumn("_seq", F.col(seq_col).cast("bigint")) if seq_col else \
-        dense_seq(base, keys, order_cols, out="_seq")
+    # one partially aggregated probe: group sizes, and whether a single integral order column is
+    # already a dense 0..n-1 ordinal (then the range-partitioned numbering is skipped)
+    probe_col = seq_col or (order_cols[0] if len(order_cols) == 1 and isinstance(order_cols[0], str) else None)
+    integral = probe_col is not None and dict(df.dtypes).get(probe_col) in ("int", "bigint", "smallint", "tinyint")
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if integral:
+        aggs += [F.min(probe_col).alias("lo"), F.max(probe_col).alias("hi"),
+                 F.countDistinct(probe_col).alias("nd")]
+    stats = df.groupBy(*keys).agg(*aggs)
+    summary = stats.agg(F.max("n").alias("max_n"),
+                        *([F.min(F.when((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("nd") == F.col("n")), 1).otherwise(0))
+                           .alias("dense")] if integral else [])).collect()[0]
+    max_n = summary["max_n"] or 0
+    dense = bool(seq_col) or (integral and summary["dense"] == 1)
+    if dense:   # n distinct values from 0 to n-1: already a dense ordinal
+        base = base.withColumn("_seq", F.col(probe_col).cast("bigint"))
+    else:
+        base = dense_seq(base, keys, order_cols, out="_seq")
     items = base.select(*keys, F.col("_seq").alias("seq"), F.col("_tok").alias("tok"))
 
-    nxt = _next_start(items, keys, budget, max_items).persist()
-    size = items.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    max_n = size.agg(F.max("n")).collect()[0][0] or 0
-    rounds = max(1, int(max_n).bit_length())
+    if max_n <= small_group_max:
+        assigned = _fold_small_groups(items, keys, budget, max_items)
+        return (base.join(assigned, [*keys, "_seq"]).withColumn("tokens", F.col("_tok"))
+                    .drop("_seq", "_tok"))
 
     checkpoint_dir(spark)
+    nxt = cut_lineage(_next_start(items, keys, budget, max_items))
+    rounds = max(1, int(max_n).bit_length())
+
     jump = nxt.select(*keys, "seq", F.col("nxt").alias("j"))
     path = items.filter(F.col("seq") == 0).select(*keys, "seq", F.lit(0).cast("bigint").alias("dist"))
     for r in range(rounds):
@@ -98,8 +144,10 @@ def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token
                                       [F.col("a.j") == F.col("b.seq")], "left")
             jump = j2.select(*[F.col("a." + k).alias(k) for k in keys], F.col("a.seq").alias("seq"),
                              F.coalesce(F.col("b.j"), F.col("a.j")).alias("j"))
-        if (r + 1) % CHECKPOINT_EVERY == 0:
-            path, jump = path.checkpoint(), jump.checkpoint()
+        # the frontier reuses itself every round: cut the lineage so the plan stays linear
+        path = cut_lineage(path)
+        if r + 1 < rounds:
+            jump = cut_lineage(jump)
 
     starts = path.join(nxt, [*keys, "seq"])            # drops the terminal node (seq == n)
     members = starts.select(*keys, F.col("dist").alias("batch_no"), F.col("seq").alias("_start"),

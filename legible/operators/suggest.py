@@ -125,12 +125,28 @@ def _first_per(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 # J1
-def resolve_class_suggestions(sugg: DataFrame, units: DataFrame) -> DataFrame:
-    """class suggestion old=className fans out to every unit of that class -> (classFqn, pkg.new)."""
+def _class_keys(units: DataFrame | None, keys: DataFrame | None) -> DataFrame:
+    if keys is not None:
+        return keys.filter(F.col("kind") == "class").select(F.col("name").alias("class_name"), F.col("key").alias("class_fqn"))
+    return units.filter(F.col("class_fqn").isNotNull()).select("class_name", "class_fqn").distinct()
+
+
+def _method_keys(units: DataFrame | None, keys: DataFrame | None) -> DataFrame:
+    if keys is not None:
+        return keys.filter(F.col("kind") == "method").select(F.col("name").alias("method_name"),
+                                                            F.col("key").alias("qualified_signature"))
+    return units.filter(F.col("qualified_signature").isNotNull()).select("method_name", "qualified_signature").distinct()
+
+
+def resolve_class_suggestions(sugg: DataFrame, units: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
+    """class suggestion old=className fans out to every unit of that class -> (classFqn, pkg.new).
+
+    Suggestions are reduced to the first one per old name before the join, so every key meets at
+    most one suggestion; the key side is already distinct (``allowed_keys``)."""
     valid, _ = valid_suggestions(sugg)
     first = _first_per(valid.filter(F.col("kind") == "class"), "old", F.col("new"))
     first = sized_broadcast(first.select(F.col("old").alias("class_name"), "new_name", "_o"))
-    u = units.filter(F.col("class_fqn").isNotNull()).select("class_name", "class_fqn").distinct()
+    u = _class_keys(units, keys)
     j = u.join(first, "class_name")
     pkg = F.regexp_replace("class_fqn", "\\.?[^.]*$", "")
     new_fqn = F.when(pkg == "", F.col("new_name")).otherwise(F.concat(pkg, F.lit("."), F.col("new_name")))
@@ -139,11 +155,11 @@ def resolve_class_suggestions(sugg: DataFrame, units: DataFrame) -> DataFrame:
 
 
 # J2
-def resolve_method_suggestions(sugg: DataFrame, units: DataFrame) -> DataFrame:
+def resolve_method_suggestions(sugg: DataFrame, units: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     valid, _ = valid_suggestions(sugg)
     first = _first_per(valid.filter(F.col("kind") == "method"), "old", F.col("new"))
     first = sized_broadcast(first.select(F.col("old").alias("method_name"), "new_name", "_o"))
-    u = units.filter(F.col("qualified_signature").isNotNull()).select("method_name", "qualified_signature").distinct()
+    u = _method_keys(units, keys)
     return (u.join(first, "method_name")
              .groupBy(F.col("qualified_signature").alias("old_key"))
              .agg(F.min_by("new_name", F.col("_o")).alias("new_name"), F.min("_o").alias("_o")))
@@ -156,37 +172,38 @@ def resolve_simple_suggestions(sugg: DataFrame) -> DataFrame:
         .withColumnRenamed("old", "old_key")
 
 
-def suggestions_to_mapping(sugg: DataFrame, units: DataFrame) -> DataFrame:
+def suggestions_to_mapping(sugg: DataFrame, units: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     """J1-J3 + W1 to the long mapping table; ``prio`` keeps the winning suggestion's order."""
     def fin(df, kind):
         return df.select(F.lit(kind).alias("kind"), "old_key", "new_name",
                          (F.col("_o.batch_id") * F.lit(1 << 20) + F.col("_o.pos")).cast("bigint").alias("prio"))
-    return (fin(resolve_class_suggestions(sugg, units), "class")
-            .unionByName(fin(resolve_method_suggestions(sugg, units), "method"))
+    return (fin(resolve_class_suggestions(sugg, units, keys), "class")
+            .unionByName(fin(resolve_method_suggestions(sugg, units, keys), "method"))
             .unionByName(fin(resolve_simple_suggestions(sugg), "simple")))
 
 
 # G2 / U2
 def allowed_keys(units: DataFrame) -> DataFrame:
-    """Distinct class, method and short-identifier keys with their first-seen order.
-
-    Returns ``kind ('class'|'method'|'simple'), key, first_order`` where ``first_order`` is a
-    struct (unit_order, part, position) that reproduces insertion order of the reference sets.
-    """
-    cls = units.filter(F.col("class_fqn").isNotNull()).groupBy(F.col("class_fqn").alias("key")).agg(
-        F.min(F.struct("unit_order", F.lit(0).alias("part"), F.lit(0).alias("p"))).alias("first_order")) \
-        .withColumn("kind", F.lit("class"))
-    meth = units.filter(F.col("qualified_signature").isNotNull()).groupBy(
-        F.col("qualified_signature").alias("key")).agg(
-        F.min(F.struct("unit_order", F.lit(0).alias("part"), F.lit(0).alias("p"))).alias("first_order")) \
-        .withColumn("kind", F.lit("method"))
-    decl = units.select("unit_order", F.lit(0).alias("part"),
-                        F.posexplode(short_idents_unicode("decl")).alias("p", "key"))
-    code = units.select("unit_order", F.lit(1).alias("part"),
-                        F.posexplode(short_idents_unicode("code")).alias("p", "key"))
-    simple = decl.unionByName(code).groupBy("key").agg(
-        F.min(F.struct("unit_order", "part", "p")).alias("first_order")).withColumn("kind", F.lit("simple"))
-    return cls.unionByName(meth).unionByName(simple).select("kind", "key", "first_order")
+    """Distinct class, method and short-identifier keys with their first-seen order, in ONE pass.
+
+    Returns ``kind ('class'|'method'|'simple'), key, name, first_order`` where ``name`` is the
+    class / method simple name of the key (null for simple keys) and ``first_order`` is a struct
+    (unit_order, part, position) that reproduces insertion order of the reference's sets.  Every
+    unit emits its keys as an array that is exploded and partially aggregated per key, so hot keys
+    collapse map-side and the units table is read once."""
+    def entry(kind, key, name, part, p):
+        return F.struct(F.lit(kind).alias("kind"), key.alias("key"), name.alias("name"),
+                        F.lit(part).alias("part"), p.cast("int").alias("p"))
+    none = F.lit(None).cast("string")
+    fixed = F.array(entry("class", F.col("class_fqn"), F.col("class_name"), 0, F.lit(0)),
+                    entry("method", F.col("qualified_signature"), F.col("method_name"), 0, F.lit(0)))
+    decl = F.transform(short_idents_unicode("decl"), lambda x, i: entry("simple", x, none, 0, i))
+    code = F.transform(short_idents_unicode("code"), lambda x, i: entry("simple", x, none, 1, i))
+    e = units.select("unit_order", F.explode(F.concat(fixed, decl, code)).alias("e")).filter(F.col("e.key").isNotNull())
+    return (e.groupBy(F.col("e.kind").alias("kind"), F.col("e.key").alias("key"))
+             .agg(F.min(F.struct(F.col("unit_order"), F.col("e.part").alias("part"), F.col("e.p").alias("p")))
+                  .alias("first_order"), F.first("e.name", ignorenulls=True).alias("name"))
+             .select("kind", "key", "name", "first_order"))
 
 
 def _blank(c: Column) -> Column:

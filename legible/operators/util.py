@@ -15,8 +15,16 @@ def bounded_rows(df: DataFrame, limit: int) -> int:
     return df.limit(limit + 1).count()
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only behind a checked row bound; otherwise return it unchanged."""
+def sized_broadcast(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Mark a side table for broadcast only behind a checked size.
+
+    By default the check is AQE's: the side is planned as a shuffle join, and once its stage has
+    run, AQE converts the join to a broadcast hash join only if the measured size is below
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (and splits skewed partitions otherwise).
+    No extra job runs at planning time.  With ``max_rows`` an explicit bounded row probe decides
+    up front (one ``limit(max_rows + 1)`` job)."""
+    if max_rows is None:
+        return df
     return F.broadcast(df) if bounded_rows(df, max_rows) <= max_rows else df
 
 

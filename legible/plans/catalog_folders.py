@@ -14,6 +14,7 @@ from legible.functions import text as T
 from legible.operators import folders as FO
 from legible.operators import rewrite as R
 from legible.plans.catalog import register
+from legible.session import checkpoint_dir, cut_lineage
 from legible.sources.tables import table
 
 IMPORT_LANGS = ["en", "fr", "de"]
@@ -112,7 +113,8 @@ def _cands(spark, d):
 
 
 def _plan(spark, d):
-    files = _files(spark, d)
+    checkpoint_dir(spark)
+    files = cut_lineage(_files(spark, d))   # the file table feeds five branches: materialise once
     cands = FO.suspicious_folders(files)
     seg = FO.heuristic_segment(cands, files)
     return FO.resolve_name_conflicts(seg, FO.existing_folders(files)), files

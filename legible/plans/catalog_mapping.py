@@ -13,6 +13,7 @@ from legible.operators.extract import line_units
 from legible.operators.heuristics import (ACCESSOR_TEXT, DEFAULT_TEXT, DETAILED_SUFFIX, GETTER, ISSER,
                                           KEYWORD_RULES, SETTER, heuristic_doc)
 from legible.operators.pack import pack_by_budget
+from legible.session import checkpoint_dir, cut_lineage
 from legible.plans.catalog import SQL_POOL, _pool, docs, register
 from legible.plans.catalog_more import PACK_BUDGET, PACK_MAX, SQL_LINES, SQL_PACK
 from legible.sources.tables import table
@@ -111,8 +112,10 @@ def q_first_wins(spark, d):
 
 def _restricted(spark, d):
     units = _units(spark, d)
-    m = S.suggestions_to_mapping(_suggestions(spark, d), units)
-    return S.restrict_to_allowed(m, S.allowed_keys(units)), units
+    checkpoint_dir(spark)
+    keys = cut_lineage(S.allowed_keys(units))   # one pass over the units, reused three times
+    m = S.suggestions_to_mapping(_suggestions(spark, d), None, keys)
+    return S.restrict_to_allowed(m, keys), units, keys
 
 
 @register("restrict_to_allowed", SQL_SUGG + " SELECT kind, old_key, new_name FROM restricted")
@@ -137,9 +140,9 @@ UNION ALL SELECT 'method', old_key, new_name, 'fallback' FROM guess
 UNION ALL SELECT 'simple', old_key, new_name, 'fallback' FROM fill WHERE old_key <> new_name""" % (
     ",".join("'%s'" % w for w in S.RESERVED_WORDS), _FILL_SQL))
 def q_fallback_fill(spark, d):
-    restricted, units = _restricted(spark, d)
+    restricted, units, keys = _restricted(spark, d)
     only_classes = restricted.filter(F.col("kind") == "class")
-    out = S.fallback_fill(only_classes, units, S.allowed_keys(units))
+    out = S.fallback_fill(only_classes, units, keys)
     return out.select("kind", "old_key", "new_name", "source")
 
 

@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app: str = "legible",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # runtime broadcast only for sides measured below 32 MB after their stage ran
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -53,3 +55,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediate tables."""
     return os.path.join(checkpoint_dir(spark), name)
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into the shared folder, computing ``df`` once.
+
+    ``Dataset.checkpoint`` would otherwise evaluate the plan twice (once for the eager count,
+    once while writing the checkpoint files); a transient persist in between avoids that."""
+    from pyspark import StorageLevel
+    checkpoint_dir(df.sparkSession)
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
