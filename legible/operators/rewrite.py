@@ -218,9 +218,11 @@ def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str, text_c
     pm = pkg_map.select("old_pkg", "new_pkg", F.col("prio").alias("_prio"))
     hit = prefixes.join(pm, "old_pkg")
     best = hit.groupBy(key, "ln").agg(F.min_by(F.struct("line", "old_pkg", "new_pkg"), F.col("_prio")).alias("b"))
-    pat = F.concat(F.lit("^\\s*import\\s+"), F.lit("\\Q"), F.col("b.old_pkg"), F.lit("\\E\\."))
+    # ``import static`` lines are handled too (the keyword is kept)
+    pat = F.concat(F.lit("^\\s*import\\s+(static\\s+)?"), F.lit("\\Q"), F.col("b.old_pkg"), F.lit("\\E\\."))
+    safe_new = F.regexp_replace(F.regexp_replace(F.col("b.new_pkg"), "\\\\", "\\\\\\\\"), "\\$", "\\\\\\$")
     changed = best.select(key, "ln", F.regexp_replace(F.col("b.line"), pat,
-                                                      F.concat(F.lit("import "), F.col("b.new_pkg"), F.lit(".")))
+                                                      F.concat(F.lit("import $1"), safe_new, F.lit(".")))
                           .alias("new_line"))
     per_file = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ln", "new_line"))).alias("_chg"),
                                         F.count(F.lit(1)).cast("bigint").alias("n_import_changes"))
