@@ -64,3 +64,64 @@ def behavior_signals(code) -> F.Column:
         F.slice(calls, 1, 8).alias("calls"),
         F.regexp_count(c, F.lit(";")).cast("int").alias("size"),
     )
+
+
+# E2-E5 (+ S7 quarantine): Java sources -> declarations
+def java_declarations(files: DataFrame, file_col: str = "rel_path", text_col: str = "text") -> DataFrame:
+    """Run the tolerant scanner per file (Arrow batches); one row per type, method and constructor.
+
+    Rows with ``unit_kind = 'error'`` are files that could not be scanned (see ``split_parsed``)."""
+    from legible.operators.javascan import UNIT_SCHEMA, scan_partitions
+    src = files.select(F.col(file_col).alias("rel_path"), F.col(text_col).alias("text"))
+    return src.mapInPandas(lambda it: scan_partitions(it, "rel_path", "text"), UNIT_SCHEMA)
+
+
+def java_units(decls: DataFrame, flat_names: bool = False, naming_kinds=("class", "interface")) -> DataFrame:
+    """E3-E7 + E9: methods, constructors and member-less types as units with the reference's keys.
+
+    ``flat_names`` reproduces the reference's FQN that drops outer classes (Q9); by default the
+    outer path is kept.  Member-less types of ``naming_kinds`` become class-level units (Q10)."""
+    ok = decls.filter(F.col("unit_kind") != "error")
+    owner = F.when((F.col("outer") == "") | F.lit(flat_names), F.col("class_name")) \
+        .otherwise(F.concat("outer", F.lit("."), "class_name"))
+    members = ok.filter(F.col("unit_kind").isin("method", "ctor"))
+    types = ok.filter((F.col("unit_kind") == "type") & (F.col("n_members") == 0) & F.col("type_kind").isin(*naming_kinds))
+    u = members.unionByName(types.withColumn("method_name", F.lit("")))
+    fqn = T.class_fqn("pkg", owner)
+    sig = F.when(F.col("unit_kind") == "type", fqn).otherwise(
+        F.concat(fqn, F.lit("."), F.col("method_name"), F.lit("("), F.concat_ws(",", "param_types"), F.lit(")")))
+    decl = F.when(F.col("unit_kind") == "method",
+                  F.concat(F.col("return_type"), F.lit(" "), F.col("method_name"), F.lit("("),
+                           F.concat_ws(", ", "param_types"), F.lit(")"))) \
+        .when(F.col("unit_kind") == "ctor",
+              F.concat(F.col("method_name"), F.lit("("), F.concat_ws(", ", "param_types"), F.lit(")"))) \
+        .otherwise(F.col("header"))
+    return (u.withColumn("class_fqn", fqn)
+             .withColumn("qualified_signature", sig)
+             .withColumn("decl", decl)
+             .withColumn("code", T.truncate_text(F.col("code")))
+             .withColumn("strings", T.string_literals(F.col("code")))
+             .withColumn("unit_order", F.struct(F.col("file"), F.col("ordinal")))
+             .withColumn("unit_kind", F.when(F.col("unit_kind") == "type", F.lit("class")).otherwise(F.col("unit_kind"))))
+
+
+# E13 + E14
+DOC_HEAD, DOC_TAIL = 40, 30
+
+
+def doc_targets(decls: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Types (all kinds), methods and constructors needing a doc: all when overwriting, else undocumented."""
+    ok = decls.filter(F.col("unit_kind").isin("type", "method", "ctor"))
+    return ok if overwrite else ok.filter(~F.coalesce("has_doc", F.lit(False)))
+
+
+def doc_snippet(decls: DataFrame) -> F.Column:
+    """Header line by node kind + head/tail-trimmed body, as the doc provider sees it."""
+    head = (F.when(F.col("unit_kind").isin("method", "ctor"), F.col("header"))
+             .when(F.col("type_kind") == "enum", F.concat(F.col("class_name"), F.lit(" enum")))
+             .when(F.col("type_kind") == "record", F.concat(F.col("class_name"), F.lit(" record"),
+                                                            F.regexp_extract("header", "(\\(.*\\))", 1)))
+             .otherwise(F.concat(F.col("class_name"), F.lit(" "),
+                                 F.regexp_extract("header", "extends\\s+([^{]*?)(?:\\s+implements|$)", 1), F.lit(" "),
+                                 F.regexp_extract("header", "implements\\s+(.*)$", 1))))
+    return F.concat(head, F.lit("\n"), T.trim_head_tail(F.col("code"), DOC_HEAD, DOC_TAIL))

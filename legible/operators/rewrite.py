@@ -292,10 +292,13 @@ def rename_file_for_type(files: DataFrame, mapping: DataFrame, path_col: str = "
 
 # A14
 def attach_docs(files: DataFrame, doc_items: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Insert doc blocks before their targets.  ``doc_items``: (key, start, end, block) where
-    [start, end) is the span of an existing block to overwrite (start = end to insert)."""
+    """Insert doc blocks before their targets.  ``doc_items``: (key, start, end, block[, indent]) where
+    [start, end) is the span of an existing block to overwrite (start = end to insert); with an
+    ``indent`` column every block line after the first and the target line keep that indentation."""
+    indent = F.col("indent") if "indent" in doc_items.columns else F.lit("")
+    block = F.concat(F.replace(F.col("block"), F.lit("\n"), F.concat(F.lit("\n"), indent)), F.lit("\n"), indent)
     spans = doc_items.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-                             F.concat(F.col("block"), F.lit("\n")).alias("new"))
+                             block.alias("new"))
     per_file = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_spans"),
                                       F.count(F.lit(1)).cast("bigint").alias("n_docs"))
     j = files.join(per_file, key, "left")

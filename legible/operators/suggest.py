@@ -42,6 +42,12 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _prio(units: DataFrame, agg_col: str) -> Column:
+    """Numeric rule priority from the unit order when it is numeric (struct orders give null)."""
+    numeric = dict(units.dtypes).get("unit_order") in ("bigint", "int")
+    return F.col(agg_col).cast("bigint") if numeric else F.lit(None).cast("bigint")
+
+
 def short_tokens(text) -> Column:
     """All ``[a-z]{1,2}[0-9]?`` tokens that are whole ASCII identifier runs (G1 tokeniser)."""
     pat = "(?<!%s)%s(?!%s)" % (_ASCII_RUN, SHORT_ID, _ASCII_RUN)
@@ -105,8 +111,8 @@ def heuristic_names(units: DataFrame, parity: bool = False) -> DataFrame:
             .groupBy(F.col("qualified_signature").alias("old_key"))
             .agg(F.min_by(F.concat(F.lit("get"), F.coalesce("class_name", F.lit("Value"))),
                           F.col("unit_order")).alias("new_name"),
-                 F.min("unit_order").alias("prio"))
-            .select(F.lit("method").alias("kind"), "old_key", "new_name", "prio"))
+                 F.min("unit_order").alias("_first"))
+            .select(F.lit("method").alias("kind"), "old_key", "new_name", _prio(units, "_first").alias("prio")))
     return simple.unionByName(meth)
 
 
@@ -233,18 +239,20 @@ def method_guess(code) -> Column:
 
 
 # U4
-def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame, exclude_reserved: bool = True) -> DataFrame:
+def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame, exclude_reserved: bool = True,
+                  parity: bool = False) -> DataFrame:
     """Add guessed method rules when none survived and pool names for the first 7 short keys
     when no simple rule survived.  The emptiness tests are bounded probes (``limit(1)``)."""
     out = mapping.withColumn("source", F.lit("model"))
     has_method = len(mapping.filter(F.col("kind") == "method").limit(1).collect()) > 0
     has_simple = len(mapping.filter(F.col("kind") == "simple").limit(1).collect()) > 0
     if not has_method:
-        guess = (units.filter(F.col("qualified_signature").isNotNull())
+        targets = units if parity else units.filter(F.col("unit_kind") == "method")   # Q18: no ctors / types
+        guess = (targets.filter(F.col("qualified_signature").isNotNull())
                  .groupBy(F.col("qualified_signature").alias("old_key"))
                  .agg(F.min_by(method_guess("code"), F.col("unit_order")).alias("new_name"),
-                      F.min("unit_order").alias("prio"))
-                 .select(F.lit("method").alias("kind"), "old_key", "new_name", "prio",
+                      F.min("unit_order").alias("_first"))
+                 .select(F.lit("method").alias("kind"), "old_key", "new_name", _prio(units, "_first").alias("prio"),
                          F.lit("fallback").alias("source")))
         out = out.unionByName(guess)
     if not has_simple:

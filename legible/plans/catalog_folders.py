@@ -197,3 +197,6 @@ def q_full_refactor_paths(spark, d):
     text = F.when(F.col("new_folder").isNull(), F.col("new_text")).otherwise(
         R.rewrite_package_line(F.col("new_text"), T.normalize_package("new_folder")))
     return moved.select("page_id", "new_path", text.alias("new_text"))
+
+
+from legible.plans import catalog_java  # noqa: E402,F401  (registers the Java-source queries)

@@ -131,7 +131,7 @@ base AS (SELECT kind, old_key, new_name, 'model' AS source FROM restricted WHERE
 guess AS (SELECT qualified_signature AS old_key,
                  arg_min(CASE WHEN contains(code, '+') THEN 'add' WHEN contains(code, 'get') THEN 'get'
                               WHEN contains(code, 'put') THEN 'put' ELSE 'process' END, unit_order) AS new_name
-          FROM uu GROUP BY qualified_signature),
+          FROM uu WHERE method_name <> '' GROUP BY qualified_signature),
 firsts AS (SELECT key, (row_number() OVER (ORDER BY first_order) - 1) AS rk FROM allowed_simple
            WHERE key NOT IN (%s) ORDER BY first_order LIMIT 7),
 fill AS (SELECT key AS old_key, %s[rk + 1] AS new_name FROM firsts)
