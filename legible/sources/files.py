@@ -28,12 +28,14 @@ def normalize_exts(exts: list[str]) -> list[str]:
 def scan_files(spark: SparkSession, root: str, exts: list[str] = (".java",), exclude_globs: list[str] = ()) -> DataFrame:
     """Recursive scan: ``path, rel_path, ext, text`` (whole file, UTF-8), unreadable files skipped.
 
-    The extension filter and the exclusion globs run on the file listing before any text is read
+    The extension filter and the exclusion globs are predicates on the path column only
     (``pathGlobFilter`` is not used because it cannot express a set of extensions case-insensitively)."""
     allow = normalize_exts(list(exts))
-    df = (spark.read.option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-          .option("ignoreCorruptFiles", True).text(root, wholetext=True))
-    df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # binaryFile yields exactly one row per file (empty files included) with its path; the bytes
+    # are decoded JVM-side
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+          .option("ignoreCorruptFiles", True).load(root))
+    df = df.select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text"))
     df = df.withColumn("rel_path", T.relative_path("path", root)).withColumn("ext", T.ext_of("rel_path"))
     df = df.filter(F.col("ext").isin(*allow))
     if exclude_globs:
