@@ -125,3 +125,18 @@ def doc_snippet(decls: DataFrame) -> F.Column:
                                  F.regexp_extract("header", "extends\\s+([^{]*?)(?:\\s+implements|$)", 1), F.lit(" "),
                                  F.regexp_extract("header", "implements\\s+(.*)$", 1))))
     return F.concat(head, F.lit("\n"), T.trim_head_tail(F.col("code"), DOC_HEAD, DOC_TAIL))
+
+
+# E11
+def method_snippets(units: DataFrame) -> DataFrame:
+    """Flat ``declaration + body`` text of every method."""
+    return units.filter(F.col("unit_kind") == "method").select(
+        "file", F.concat(F.col("decl"), F.lit(" "), F.col("code")).alias("snippet"))
+
+
+# G8
+def scan_totals(decls: DataFrame) -> DataFrame:
+    """ok / fail file counts of a per-file pass (the scanner's quarantine)."""
+    per_file = decls.groupBy("file").agg(F.max(F.when(F.col("unit_kind") == "error", 1).otherwise(0)).alias("bad"))
+    return per_file.groupBy(F.when(F.col("bad") == 1, F.lit("fail")).otherwise(F.lit("ok")).alias("status")) \
+        .agg(F.count(F.lit(1)).alias("n_files"))

@@ -149,3 +149,14 @@ def move_paths(files: DataFrame, plan: DataFrame) -> DataFrame:
     p = plan.select("folder", "new_folder")
     j = files.join(p, "folder", "left")
     return j.withColumn("new_path", F.concat(F.coalesce("new_folder", "folder"), F.lit("/"), F.col("file_name")))
+
+
+# J8
+def lookup_or_default(seg: DataFrame, model_segments: DataFrame) -> DataFrame:
+    """Model segment per folder when the reply named it (sanitised), else the heuristic segment."""
+    m = model_segments.groupBy("folder").agg(F.first("new_segment", ignorenulls=True).alias("_m"))
+    j = seg.join(m, "folder", "left")
+    return (j.withColumn("source", F.when(F.col("_m").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")))
+             .withColumn("segment", F.when(F.col("_m").isNotNull(), T.sanitize_segment(F.col("_m")))
+                         .otherwise(F.col("segment")))
+             .drop("_m"))

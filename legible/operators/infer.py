@@ -81,6 +81,36 @@ def batch_prompts(blocks: DataFrame, batch_keys: list[str], rules: str = RENAME_
                     F.concat(F.lit(rules + "\n\n"), body).alias("prompt"))
 
 
+# I3
+def doc_prompt(snippet, lang, style) -> "F.Column":
+    """Per-snippet doc prompt: instruction in the target language, style line, fenced snippet."""
+    lang_c = F.lit(lang) if isinstance(lang, str) and lang in DOC_RULES else T._c(lang)
+    style_c = F.lit(style) if isinstance(style, str) else T._c(style)
+    rules = F.when(lang_c == "zh", F.lit(DOC_RULES["zh"])).otherwise(F.lit(DOC_RULES["en"]))
+    return F.concat(rules, F.lit("\nStyle: "), style_c, F.lit("\n\n```java\n"),
+                    T.trim_head_tail(T._c(snippet), DOC_HEAD, DOC_TAIL), F.lit("\n```\n"))
+
+
+FOLDER_RULES = ("Suggest a short, lower-case package segment for each folder below. Reply with JSON only: "
+                "{\"<key>\": {\"newSegment\": \"...\"}}.")
+
+
+# I4
+def folder_prompts(cands: DataFrame, names: DataFrame, per_call: int = 100) -> DataFrame:
+    """One prompt per ``per_call`` candidate folders (path order): key, package, class names."""
+    from legible.operators.order import fixed_slices
+    per_folder = names.groupBy("folder").agg(
+        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("_names"))   # <= 40 names each
+    c = cands.join(per_folder, "folder", "left").withColumn("_one", F.lit(0))
+    c = fixed_slices(c, ["_one"], ["folder"], per_call, out="call_no")
+    line = F.concat(F.lit("- key: "), F.col("folder"), F.lit(" | package: "), F.col("pkg"), F.lit(" | classes: "),
+                    F.coalesce("_names", F.lit("")))
+    g = c.groupBy("call_no").agg(F.array_sort(F.collect_list(F.struct("folder", line.alias("l")))).alias("_xs"))
+    return g.select("call_no", F.size("_xs").cast("bigint").alias("n_folders"),
+                    F.concat(F.lit(FOLDER_RULES + "\n\n"), F.array_join(F.transform("_xs", lambda x: x["l"]), "\n"))
+                    .alias("prompt"))
+
+
 # T15 over prompts
 def with_request(prompts: DataFrame, model: str, max_tokens: int = NAMES_MAX_TOKENS,
                  system: str = "You are a precise code-renaming assistant.") -> DataFrame:

@@ -200,3 +200,55 @@ def q_full_refactor_paths(spark, d):
 
 
 from legible.plans import catalog_java  # noqa: E402,F401  (registers the Java-source queries)
+
+
+# ============================================================ folder prompts (I4) and model-or-heuristic names
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+from legible.operators import infer as I  # noqa: E402
+
+
+@register("folder_prompts", SQL_FILES + """,
+names_agg AS (SELECT folder, string_agg(name, ', ' ORDER BY name) AS nm FROM names GROUP BY folder),
+fp AS (SELECT ((row_number() OVER (ORDER BY c.folder) - 1) // 100)::BIGINT AS call_no, c.folder,
+              '- key: ' || c.folder || ' | package: ' || c.pkg || ' | classes: ' || coalesce(n.nm, '') AS l
+       FROM cands c LEFT JOIN names_agg n USING (folder))
+SELECT call_no, count(*)::BIGINT AS n_folders,
+       %s || chr(10) || chr(10) || string_agg(l, chr(10) ORDER BY folder) AS prompt
+FROM fp GROUP BY call_no""" % _sql_lit(I.FOLDER_RULES))
+def q_folder_prompts(spark, d):
+    files = _files(spark, d)
+    cands = FO.suspicious_folders(files)
+    names = FO.class_names_per_folder(files.join(cands.select("folder"), "folder", "left_semi"))
+    return I.folder_prompts(cands, names)
+
+
+def _folder_replies(cands):
+    body = F.when(F.length("leaf") == 2,
+                  F.concat(F.lit('{"'), F.col("folder"), F.lit('": {"newSegment": "'), F.upper("leaf"),
+                           F.lit('-Seg"}}'))).otherwise(F.lit("not json"))
+    return cands.select("folder", body.alias("reply"))
+
+
+@register("lookup_or_default", SQL_FILES + r""",
+replies AS (SELECT folder, CASE WHEN length(leaf) = 2
+                 THEN '{"' || folder || '": {"newSegment": "' || upper(leaf) || '-Seg"}}' ELSE 'not json' END AS reply
+            FROM cands),
+model AS (SELECT folder, json_extract_string(reply, '$."' || folder || '".newSegment') AS m FROM replies
+          WHERE json_valid(reply))
+SELECT s.folder,
+       CASE WHEN m.m IS NOT NULL THEN substr(lower(CASE WHEN regexp_replace(m.m, '[^A-Za-z0-9]+', '', 'g') = '' THEN 'pkg'
+                                                   ELSE regexp_replace(m.m, '[^A-Za-z0-9]+', '', 'g') END), 1, 24)
+            ELSE s.segment END AS segment,
+       CASE WHEN m.m IS NOT NULL THEN 'model' ELSE 'heuristic' END AS source
+FROM seg s LEFT JOIN model m USING (folder)""")
+def q_lookup_or_default(spark, d):
+    files = _files(spark, d)
+    cands = FO.suspicious_folders(files)
+    seg = FO.heuristic_segment(cands, files)
+    replies = _folder_replies(cands).withColumnRenamed("folder", "asked")
+    parsed = I.parse_folder_segments(replies, ["asked"]).select("folder", "new_segment")
+    return FO.lookup_or_default(seg, parsed).select("folder", "segment", "source")

@@ -376,3 +376,17 @@ def q_align_by_position(spark, d):
 
 
 from legible.plans import catalog_folders  # noqa: E402,F401
+
+
+@register("doc_prompts", SQL_DOC_FRAME + r"""
+SELECT conv_id, turn,
+  CASE WHEN lang = 'zh' THEN %s ELSE %s END || chr(10) || 'Style: ' || style || chr(10) || chr(10) || '```java' || chr(10) ||
+  CASE WHEN len(string_split(text, chr(10))) <= 75 THEN text ELSE
+    array_to_string(list_transform(string_split(text, chr(10))[1:40], lambda x: x || chr(10)), '') ||
+    '// ... (trimmed) ...' || chr(10) ||
+    array_to_string(list_transform(string_split(text, chr(10))[-30:], lambda x: x || chr(10)), '') END ||
+  chr(10) || '```' || chr(10) AS prompt
+FROM docs""" % (_q(I.DOC_RULES["zh"]), _q(I.DOC_RULES["en"])))
+def q_doc_prompts(spark, d):
+    f = _doc_frame(spark, d)
+    return f.select("conv_id", "turn", I.doc_prompt(F.col("text"), F.col("lang"), F.col("style")).alias("prompt"))

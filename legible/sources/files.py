@@ -116,3 +116,9 @@ def append_ledger(done: DataFrame, ledger_path: str, key: str = "rel_path") -> N
 def split_parsed(units: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Extractor output -> (units, rejects); rejects carry ``error`` and never stop the job."""
     return units.filter(F.col("error").isNull()).drop("error"), units.filter(F.col("error").isNotNull())
+
+
+# W7
+def sorted_files(df: DataFrame, path_col: str = "rel_path") -> DataFrame:
+    """Stable path order, applied only at a sink (a global sort is a range shuffle)."""
+    return df.orderBy(path_col)
