@@ -53,12 +53,32 @@ def tokens_of(text) -> Column:
     return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit(TOKENS), 0)
 
 
-def rewrite_with_map(text, m: Column) -> tuple[Column, Column]:
-    """Simultaneous substitution of whole identifier tokens; returns (new_text, hits)."""
+def keys_regex(keys: list[str]) -> str:
+    """One regex matching any key as a whole identifier token (longest keys first)."""
+    alt = "|".join(java_quote(k) for k in sorted(set(keys), key=lambda k: (-len(k), k)))
+    return "(?<![%s])(?:%s)(?![%s])" % (IDENT_CLASS, alt, IDENT_CLASS)
+
+
+def rewrite_with_map(text, m: Column, keys: list[str] | None = None) -> tuple[Column, Column]:
+    """Simultaneous substitution of whole identifier tokens; returns (new_text, hits).
+
+    With the key list known, the text is split on an alternation of the keys and the pieces are
+    zipped with the mapped matches — only hits are materialised, not every token (about 2x faster
+    than tokenising).  Without keys every identifier token is looked up."""
+    t = _c(text)
+    if keys is not None:
+        if not keys:
+            return t, F.when(t.isNull(), F.lit(None)).otherwise(F.lit(0).cast("bigint"))
+        rx = keys_regex(keys)
+        pieces = F.split(t, rx, -1)
+        matches = F.regexp_extract_all(t, F.lit(rx), 0)
+        repl = F.concat(F.transform(matches, lambda x: m[x]), F.array(F.lit("")))
+        new = F.array_join(F.zip_with(pieces, repl, lambda p, r: F.concat(p, r)), "")
+        return new, F.coalesce(F.size(matches), F.lit(0)).cast("bigint")
     toks = tokens_of(text)
     new = F.array_join(F.transform(toks, lambda x: F.coalesce(m[x], x)), "")
     hits = F.size(F.filter(toks, lambda x: m[x].isNotNull())).cast("bigint")
-    return F.when(_c(text).isNull(), F.lit(None)).otherwise(new), hits
+    return F.when(t.isNull(), F.lit(None)).otherwise(new), hits
 
 
 # A6 + A8
@@ -67,8 +87,8 @@ def rewrite_tokens(files: DataFrame, rules: DataFrame, key: str = "doc_id", text
     """Add ``new_text`` and ``n_replacements`` (true token hits) to ``files``."""
     rows = bounded_collect(rules.select(old_col, new_col), MAP_LITERAL_MAX)
     if rows is not None:
-        m = map_literal(sorted((r[0], r[1]) for r in rows))
-        new, hits = rewrite_with_map(text_col, m)
+        pairs = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None)
+        new, hits = rewrite_with_map(text_col, map_literal(pairs), [k for k, _ in pairs])
         return files.withColumn("new_text", new).withColumn("n_replacements", hits)
     return rewrite_tokens_join(files, rules, key, text_col, old_col, new_col)
 
@@ -94,11 +114,19 @@ def count_replacements(files: DataFrame, rules: DataFrame, key: str = "doc_id",
                        old_col: str = "old_key") -> DataFrame:
     """Matches per file and rule: ``(key, old_key, hits)`` for hits > 0.
 
-    Tokens are pre-aggregated per file before the join with the (size-checked) rule table."""
+    Small rule sets extract only the hits (one regex of the keys); large ones pre-aggregate all
+    tokens per file and semi-join the rule table."""
+    rows = bounded_collect(rules.select(old_col).distinct(), MAP_LITERAL_MAX)
+    if rows is not None:
+        keys = [r[0] for r in rows if r[0] is not None]
+        if not keys:
+            return files.select(key, F.lit(None).cast("string").alias(old_col), F.lit(0).cast("bigint").alias("hits")).limit(0)
+        hits = files.select(key, F.explode(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")),
+                                                                F.lit(keys_regex(keys)), 0)).alias(old_col))
+        return hits.groupBy(key, old_col).agg(F.count(F.lit(1)).alias("hits"))
     toks = files.select(key, F.explode(tokens_of(text_col)).alias(old_col))
     per = toks.groupBy(key, old_col).agg(F.count(F.lit(1)).alias("hits"))
-    from legible.operators.util import sized_broadcast
-    return per.join(sized_broadcast(rules.select(old_col).distinct()), old_col, "left_semi")
+    return per.join(rules.select(old_col).distinct(), old_col, "left_semi")
 
 
 # G7
@@ -236,13 +264,18 @@ def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str, text_c
 
 # Splice sorted, non-overlapping spans into a text
 def splice(text, spans) -> Column:
-    """``spans``: array<struct<start:int,end:int,new:string>> sorted by start (0-based, end exclusive)."""
+    """``spans``: array<struct<start:int,end:int,new:string>> sorted by start (0-based, end exclusive).
+
+    Each span contributes the gap since the previous span's end plus its replacement; the pieces
+    are joined once, so the cost is linear in the text and the span count."""
     t = _c(text)
-    init = F.struct(F.lit("").alias("out"), F.lit(0).alias("cur"))
-    state = F.aggregate(_c(spans), init, lambda acc, s: F.struct(
-        F.concat(acc["out"], F.substring(t, acc["cur"] + 1, s["start"] - acc["cur"]), s["new"]).alias("out"),
-        s["end"].alias("cur")))
-    return F.concat(state["out"], F.substring(t, state["cur"] + 1, 1 << 30))
+    sp = _c(spans)
+
+    def prev_end(i):
+        return F.when(i == 0, F.lit(0)).otherwise(F.element_at(sp, i)["end"])
+    pieces = F.transform(sp, lambda s, i: F.concat(F.substring(t, prev_end(i) + 1, s["start"] - prev_end(i)), s["new"]))
+    last_end = F.when(F.size(sp) == 0, F.lit(0)).otherwise(F.element_at(sp, -1)["end"])
+    return F.concat(F.array_join(pieces, ""), F.substring(t, last_end + 1, 1 << 30))
 
 
 # A12
@@ -265,17 +298,22 @@ def rewrite_occurrences(files: DataFrame, occurrences: DataFrame, mapping: DataF
 
 def token_occurrences(files: DataFrame, token_regex: str, kind: str, key: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """Spans (code-point offsets) of identifier tokens that fully match ``token_regex``.
+    """Spans (code-point offsets) of identifier tokens that fully match ``token_regex``
+    (a pattern of identifier characters only).
 
-    The text is cut into identifier runs and the pieces between them; a running sum of piece
-    lengths inside one file (a bounded group) gives each token's start offset."""
+    Only the matches are exploded: the text is split on the pattern, and a running sum of
+    (gap + match) lengths inside one file — a bounded group — gives each match's start."""
     from pyspark.sql import Window
-    toks = files.select(key, F.posexplode(tokens_of(text_col)).alias("p", "old_key"))
-    w = Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    toks = toks.withColumn("start", F.coalesce(F.sum(F.length("old_key")).over(w), F.lit(0)).cast("int"))
-    return (toks.filter(F.col("old_key").rlike("^(?:%s)$" % token_regex))
-                .select(key, F.lit(kind).alias("kind"), "old_key", "start",
-                        (F.col("start") + F.length("old_key")).cast("int").alias("end")))
+    rx = "(?<![%s])(?:%s)(?![%s])" % (IDENT_CLASS, token_regex, IDENT_CLASS)
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    pieces, matches = F.split(t, rx, -1), F.regexp_extract_all(t, F.lit(rx), 0)
+    pairs = files.select(key, F.posexplode(F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"),
+                                                        matches.alias("tok"))).alias("p", "z"))
+    w = Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.length(F.col("z.gap")) + F.length(F.col("z.tok"))
+    spans = pairs.withColumn("end", F.sum(step).over(w).cast("int"))
+    return spans.select(key, F.lit(kind).alias("kind"), F.col("z.tok").alias("old_key"),
+                        (F.col("end") - F.length(F.col("z.tok"))).cast("int").alias("start"), "end")
 
 
 # A13
