@@ -26,7 +26,9 @@ from legible.sources.tables import table
 def _suggestions(spark, d):
     lab = table(spark, d, "labels", "doc_id")
     ds = docs(spark, d, "doc_id", "text").join(lab, "doc_id", "left_semi")
-    w1 = F.coalesce(F.lower(F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 0)), F.lit("x"))
+    # first ASCII word only: regexp_extract stops at the first match instead of listing every word
+    first = F.regexp_extract("text", "[A-Za-z]+", 0)
+    w1 = F.when(first == "", F.lit("x")).otherwise(F.lower(first))
     idc = F.col("doc_id").cast("string")
     rows = F.array(
         F.struct(F.lit(0).alias("pos"), F.lit("class").alias("kind"),
@@ -204,8 +206,9 @@ KW_LIST = ["toJson", "hashCode", "parse", "fetch", "init", "close", "run"]
 
 def _doc_frame(spark, d):
     conv = table(spark, d, "conversations", "conv_id", "turn", "text")
-    w = F.get(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0), 0)
-    cap = F.coalesce(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))), F.lit("Value"))
+    w = F.regexp_extract("text", "[A-Za-z]+", 0)
+    cap = F.when(w == "", F.lit("Value")).otherwise(F.concat(F.upper(F.substring(w, 1, 1)),
+                                                             F.lower(F.substring(w, 2, 1 << 30))))
     kw = F.element_at(F.array(*[F.lit(k) for k in KW_LIST]), (F.col("conv_id") % len(KW_LIST) + 1).cast("int"))
     t5 = F.col("turn") % 5
     header = (F.when(t5 == 0, F.concat(F.lit("public String get"), cap, F.lit("()")))

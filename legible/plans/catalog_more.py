@@ -205,8 +205,10 @@ def q_provider_suggestions(spark, d):
 def _reply_frame(spark, d):
     lab = table(spark, d, "labels", "doc_id")
     ds = docs(spark, d, "doc_id", "text").join(lab, "doc_id", "left_semi")
-    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0)
-    w1, w2, w3 = (F.coalesce(F.get(w, i), F.lit("x")) for i in range(3))
+    # the first three ASCII words in one regex match (not a list of every word of the text)
+    three = "(?s)^[^A-Za-z]*([A-Za-z]+)(?:[^A-Za-z]+([A-Za-z]+))?(?:[^A-Za-z]+([A-Za-z]+))?"
+    w1, w2, w3 = (F.when(F.regexp_extract("text", three, i) == "", F.lit("x"))
+                  .otherwise(F.regexp_extract("text", three, i)) for i in (1, 2, 3))
     q = F.lit('"')
     arr0 = F.concat(F.lit('[{"kind":"var","old":'), q, w1, q, F.lit(',"new":'), q, w2, q,
                     F.lit('},{"type":"method","from":'), q, w2, q, F.lit(',"to":'), q, w3, q, F.lit("}]"))

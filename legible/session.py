@@ -38,17 +38,17 @@ def build_session(master: str | None = None, app: str = "legible",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a fresh
-    folder is created and registered, so cluster jobs never fall back to a
-    machine-local path silently.
-    """
-    d = spark.conf.get(CHECKPOINT_CONF, None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only a local-mode
+    session (tests, benches) without one gets a fresh scratch folder; on a cluster a missing
+    setting is an error, never a silent machine-local fallback."""
+    d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set %s to a folder every executor can reach" % CHECKPOINT_CONF)
         d = tempfile.mkdtemp(prefix="legible-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
-    spark.sparkContext.setCheckpointDir(d)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
