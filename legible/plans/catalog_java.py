@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from legible.plans import jobs as J
-from legible.plans.catalog import register
-from legible.plans.catalog_folders import page_files
+from legible.plans.catalog import SQL_REWRITE_BASE, register
+from legible.plans.catalog_folders import SQL_FILES, page_files
 
 
 def java_sources(spark, d):
@@ -20,9 +20,10 @@ def java_sources(spark, d):
     def cap(i):
         w = F.get(title_words, i)
         return F.coalesce(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30))), F.lit("Value"))
-    short = F.coalesce(F.lower(F.substring(F.get(title_words, 0), 1, 2)), F.lit("h"))
+    # "h" + first letter of the first word: a short identifier that is never a Java keyword
+    short = F.concat(F.lit("h"), F.coalesce(F.lower(F.substring(F.get(title_words, 0), 1, 1)), F.lit("x")))
     fld = F.concat(F.coalesce(F.lower(F.substring(F.get(title_words, 1), 1, 1)), F.lit("v")), F.lit("0"))
-    cls = F.col("name")
+    cls = F.concat(F.col("name"), F.lit("_"), F.col("page_id").cast("string"))   # unique per page: rel_path is the key
     nl = F.lit("\n")
     text = F.concat(
         F.lit("package "), F.regexp_replace(F.regexp_replace("folder", "[^A-Za-z0-9/]", ""), "/", "."), F.lit(";"), nl, nl,
@@ -37,11 +38,28 @@ def java_sources(spark, d):
                                        "{ x = x + s.charAt(i); } return x; }"), nl,
         F.lit("    interface In"), F.col("page_id").cast("string"), F.lit(" { }"), nl,
         F.lit("}"), nl)
-    rel = F.concat(F.col("folder"), F.lit("/"), F.col("file_name"))
+    rel = F.concat(F.col("folder"), F.lit("/"), cls, F.lit(".java"))
     return f.select("page_id", rel.alias("rel_path"), text.alias("text"))
 
 
-@register("analyze_java_units")
+SQL_JAVA_UNITS = SQL_FILES + r""",
+j AS (SELECT page_id, folder || '/' || name || '_' || page_id || '.java' AS file,
+             regexp_replace(regexp_replace(folder, '[^A-Za-z0-9/]', '', 'g'), '/', '.', 'g') AS pkg,
+             name || '_' || page_id AS cls,
+             regexp_extract_all(name, '[A-Za-z]+') AS tw FROM files),
+k AS (SELECT *, CASE WHEN pkg = '' THEN cls ELSE pkg || '.' || cls END AS fqn,
+             coalesce(upper(substr(tw[1], 1, 1)) || lower(substr(tw[1], 2)), 'Value') AS c0,
+             coalesce(upper(substr(tw[2], 1, 1)) || lower(substr(tw[2], 2)), 'Value') AS c1,
+             'h' || coalesce(lower(substr(tw[1], 1, 1)), 'x') AS short FROM j)
+SELECT file, 'ctor' AS unit_kind, fqn AS class_fqn, fqn || '.' || cls || '(String)' AS qualified_signature,
+       cls || '(String)' AS decl, 1::BIGINT AS n_params FROM k
+UNION ALL SELECT file, 'method', fqn, fqn || '.get' || c0 || '()', 'String get' || c0 || '()', 0 FROM k
+UNION ALL SELECT file, 'method', fqn, fqn || '.set' || c1 || '(String)', 'void set' || c1 || '(String)', 1 FROM k
+UNION ALL SELECT file, 'method', fqn, fqn || '.' || short || '(String)', 'int ' || short || '(String)', 1 FROM k
+UNION ALL SELECT file, 'class', fqn || '.In' || page_id, fqn || '.In' || page_id, 'interface In' || page_id, 0 FROM k"""
+
+
+@register("analyze_java_units", SQL_JAVA_UNITS)
 def q_analyze_java_units(spark, d):
     files = java_sources(spark, d)
     _, units, _ = J.analyze_job(files)
@@ -57,14 +75,55 @@ def q_java_rename_job(spark, d):
     return J.apply_job(files, mapping).select("rel_path", "new_text", "n_replacements")
 
 
-@register("annotate_java")
+def _annotate_sql() -> str:
+    from legible.plans.catalog_mapping import _doc_sql
+    nl = "chr(10)"
+
+    def ind(b, pad):
+        return "(replace(%s, chr(10), chr(10) || '%s') || chr(10) || '%s')" % (b, pad, pad)
+    return SQL_FILES + r""",
+j AS (SELECT page_id, folder || '/' || name || '_' || page_id || '.java' AS file,
+             regexp_replace(regexp_replace(folder, '[^A-Za-z0-9/]', '', 'g'), '/', '.', 'g') AS pkgline,
+             name || '_' || page_id AS cls,
+             regexp_extract_all(name, '[A-Za-z]+') AS tw FROM files),
+k AS (SELECT *, coalesce(upper(substr(tw[1], 1, 1)) || lower(substr(tw[1], 2)), 'Value') AS c0,
+             coalesce(upper(substr(tw[2], 1, 1)) || lower(substr(tw[2], 2)), 'Value') AS c1,
+             'h' || coalesce(lower(substr(tw[1], 1, 1)), 'x') AS short,
+             coalesce(lower(substr(tw[2], 1, 1)), 'v') || '0' AS fld FROM j),
+hd AS (SELECT page_id, 0 AS ord, cls AS header, '' AS tags FROM k
+       UNION ALL SELECT page_id, 1, 'public ' || cls || '(String ' || fld || ')', ' * @param ' || fld || ' parameter' || chr(10) FROM k
+       UNION ALL SELECT page_id, 2, 'public String get' || c0 || '()', ' * @return return value' || chr(10) FROM k
+       UNION ALL SELECT page_id, 3, 'public void set' || c1 || '(String v)', ' * @param v parameter' || chr(10) FROM k
+       UNION ALL SELECT page_id, 4, 'static int ' || short || '(String s)',
+                        ' * @param s parameter' || chr(10) || ' * @return return value' || chr(10) FROM k
+       UNION ALL SELECT page_id, 5, 'In' || page_id, '' FROM k),
+dd AS (SELECT page_id, ord, tags, %(doc)s AS doc FROM (SELECT *, 'en' AS lang, 'concise' AS style FROM hd)),
+bb AS (SELECT page_id, map_from_entries(list({'k': ord, 'v': '/**' || chr(10) || ' * ' || doc || chr(10) || tags || ' */'})) AS b
+       FROM dd GROUP BY page_id)
+SELECT k.file AS rel_path,
+  'package ' || pkgline || ';' || %(nl)s || %(nl)s || 'import java.util.List;' || %(nl)s || %(nl)s ||
+  CASE WHEN k.page_id %% 3 = 0 THEN '/** Existing doc. */' || %(nl)s ELSE %(b0)s END ||
+  'public class ' || cls || ' {' || %(nl)s ||
+  '    private String ' || fld || ';' || %(nl)s ||
+  '    ' || %(b1)s || 'public ' || cls || '(String ' || fld || ') { this.' || fld || ' = ' || fld || '; }' || %(nl)s ||
+  '    ' || %(b2)s || 'public String get' || c0 || '() { return "' || c0 || '"; }' || %(nl)s ||
+  '    ' || %(b3)s || 'public void set' || c1 || '(String v) { if (v != null) { this.' || fld || ' = v; } }' || %(nl)s ||
+  '    ' || %(b4)s || 'static int ' || short || '(String s) { int x = 0; for (int i = 0; i < s.length(); i++) '
+      || '{ x = x + s.charAt(i); } return x; }' || %(nl)s ||
+  '    ' || %(b5)s || 'interface In' || k.page_id || ' { }' || %(nl)s || '}' || %(nl)s AS new_text,
+  (CASE WHEN k.page_id %% 3 = 0 THEN 5 ELSE 6 END)::BIGINT AS n_docs
+FROM k JOIN bb USING (page_id)""" % {"doc": _doc_sql(), "nl": nl, "b0": ind("bb.b[0]", ""),
+                                      **{"b%d" % i: ind("bb.b[%d]" % i, "    ") for i in range(1, 6)}}
+
+
+@register("annotate_java", _annotate_sql())
 def q_annotate_java(spark, d):
     files = java_sources(spark, d)
     decls, _, _ = J.analyze_job(files)
     return J.annotate_job(files, decls).select("rel_path", "new_text", "n_docs")
 
 
-@register("incremental_rewrite")
+@register("incremental_rewrite", SQL_REWRITE_BASE + " SELECT doc_id, new_text, n_replacements FROM rw")
 def q_incremental_rewrite(spark, d):
     """The documents file as a stream, rewritten with the heuristic pool mapping; the result is
     read back from the idempotent sink (rows-only check; equals ``rewrite_tokens``)."""

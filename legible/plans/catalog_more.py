@@ -182,7 +182,19 @@ def q_json_request(spark, d):
                       F.get_json_object(r, "$.messages[1].content").alias("user_content"))
 
 
-@register("batch_infer")
+SQL_ECHO_ITEMS = SQL_PROMPTS + """,
+echo_items AS (SELECT conv_id, batch_no,
+                 '[' || string_agg('{"kind": "method", "old": "turn' || turn || '", "new": "handleTurn' || turn || '"}',
+                                   ', ' ORDER BY pos) || ']' AS js
+          FROM packed GROUP BY conv_id, batch_no)"""
+
+
+@register("batch_infer", SQL_ECHO_ITEMS + """
+SELECT p.conv_id, p.batch_no,
+       CASE length(p.prompt) % 3 WHEN 0 THEN i.js WHEN 1 THEN '{"renames": ' || i.js || '}'
+            ELSE 'Here you go:' || chr(10) || '```json' || chr(10) || i.js || chr(10) || '```' END AS reply,
+       NULL::VARCHAR AS error, 1 AS attempts
+FROM prompts p JOIN echo_items i USING (conv_id, batch_no)""")
 def q_batch_infer(spark, d):
     """I5 with the offline provider: one reply per prompt batch (rows-only check)."""
     prompts = _prompts(spark, d)
@@ -190,7 +202,9 @@ def q_batch_infer(spark, d):
     return res.select("conv_id", "batch_no", "reply", "error", "attempts")
 
 
-@register("provider_suggestions")
+@register("provider_suggestions", SQL_PACK + """
+SELECT conv_id, batch_no, pos::BIGINT AS pos, 'method' AS kind, 'turn' || turn AS old, 'handleTurn' || turn AS new
+FROM packed""")
 def q_provider_suggestions(spark, d):
     """I5 -> I7: offline replies parsed into suggestion rows (rows-only check)."""
     prompts = _prompts(spark, d)

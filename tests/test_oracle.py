@@ -22,8 +22,8 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_declared_rows_only():
-    rows_only = {"batch_infer", "provider_suggestions", "incremental_rewrite", "analyze_java_units",
-                 "java_rename_job", "annotate_java"}
+    rows_only = {
+                 "java_rename_job"}
     missing = set(E.queries()) - set(E.oracle_sql()) - rows_only
     assert not missing, missing
     assert set(E.oracle_sql()) <= set(E.queries())
