@@ -393,3 +393,21 @@ FROM docs""" % (_q(I.DOC_RULES["zh"]), _q(I.DOC_RULES["en"])))
 def q_doc_prompts(spark, d):
     f = _doc_frame(spark, d)
     return f.select("conv_id", "turn", I.doc_prompt(F.col("text"), F.col("lang"), F.col("style")).alias("prompt"))
+
+
+@register("heuristic_names", SQL_SUGG + r""",
+dtok AS (SELECT tok, count(*)::BIGINT AS cnt FROM (
+           SELECT unnest(regexp_split_to_array(decl, '[^A-Za-z0-9_]')) AS tok FROM uu)
+         WHERE regexp_full_match(tok, '[a-z]{1,2}[0-9]?') GROUP BY tok),
+dtop AS (SELECT tok, (row_number() OVER (ORDER BY cnt DESC, tok ASC) - 1)::BIGINT AS rnk FROM dtok
+         ORDER BY cnt DESC, tok ASC LIMIT 32),
+dpool AS (SELECT tok, rnk, %s[(rnk %% 16) + 1] || CASE WHEN rnk // 16 = 0 THEN '' ELSE (rnk // 16)::VARCHAR END AS new_name
+          FROM dtop)
+SELECT 'simple' AS kind, tok AS old_key, new_name FROM dpool WHERE tok <> new_name
+UNION ALL
+SELECT 'method', qualified_signature, arg_min('get' || class_name, unit_order) FROM uu
+WHERE length(method_name) <= 2 AND method_name <> '' AND qualified_signature NOT LIKE '%%(%%,%%' AND
+      qualified_signature LIKE '%%()'
+GROUP BY qualified_signature""" % ("[" + ",".join("'%s'" % p for p in S.NAME_POOL) + "]"))
+def q_heuristic_names(spark, d):
+    return S.heuristic_names(_units(spark, d)).select("kind", "old_key", "new_name")

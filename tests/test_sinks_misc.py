@@ -71,3 +71,25 @@ def test_end_to_end_offline(spark):
     assert out["mapping"].count() > 0
     docs = {r.rel_path: r.new_text for r in out["documented"].collect()}
     assert "/**" in docs["demo/mix/Hs.java"]
+
+
+def test_package_of_and_effective_rules(spark):
+    df = spark.createDataFrame([("// c\n  package a.b.c ;\nclass X {}",), ("class Y {}",)], "t string")
+    assert [r[0] for r in df.select(E.package_of("t")).collect()] == ["a.b.c ", ""]
+    from legible.operators.suggest import effective_rules
+    m = spark.createDataFrame([("simple", "a", "a"), ("simple", "b", " "), ("simple", "c", "d"),
+                               ("method", "noowner", "x"), ("method", "p.C#m(..)", "run"), ("field", "p.C#f", "g")],
+                              "kind string, old_key string, new_name string")
+    kept = sorted((r.kind, r.old_key) for r in effective_rules(m).collect())
+    assert kept == [("field", "p.C#f"), ("method", "p.C#m(..)"), ("simple", "c")]
+
+
+def test_package_refactor_job_matches_query(spark):
+    import __spark_entry__ as ENTRY
+    from legible.plans.catalog_folders import page_files
+    from conftest import SF001
+    moved, pm = J.package_refactor_job(page_files(spark, SF001))
+    got = sorted((r.page_id, r.new_path, r.new_text) for r in moved.select("page_id", "new_path", "new_text").collect())
+    want = sorted(map(tuple, ENTRY.queries()["full_refactor_paths"](spark, SF001).select(
+        "page_id", "new_path", "new_text").collect()))
+    assert got == want and pm.count() > 0
