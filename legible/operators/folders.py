@@ -9,7 +9,7 @@ aggregated token count, conflicts are resolved by ranking free suffix candidates
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
@@ -100,7 +100,10 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
     it and the name is blocked for the other segment; rounds repeat until targets are unique."""
     c = cands.select("folder", "parent", F.col("segment").alias("base"), F.col(order_col).alias("_ord"))
     checkpoint_dir(cands.sparkSession)
-    c = cut_lineage(dense_seq(c, ["parent", "base"], ["_ord"], out="k"))
+    # members per (parent, base) are bounded by max_candidates (the candidate list is a top-k),
+    # so a plain window ranks them; the free-name list below is ranked skew-safely
+    c = cut_lineage(c.withColumn("k", (F.row_number().over(
+        Window.partitionBy("parent", "base").orderBy("_ord")) - 1).cast("bigint")))
     blocked = existing.select("parent", "name", F.lit(None).cast("string").alias("owner"))
     result = None
     for _ in range(MAX_CONFLICT_ROUNDS):

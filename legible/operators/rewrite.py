@@ -10,8 +10,6 @@ Two execution shapes, chosen behind a checked size bound:
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -344,6 +342,3 @@ def attach_docs(files: DataFrame, doc_items: DataFrame, key: str = "doc_id", tex
                          .otherwise(splice(text_col, "_spans")))
              .withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("bigint"))).drop("_spans"))
 
-
-def escape_for_sql_regex(s: str) -> str:
-    return re.escape(s)

@@ -170,10 +170,11 @@ def q_allowed_simple_keys(spark, d):
 
 # ============================================================ scalar text functions
 
-def _scalar(name: str, spark_expr, sql_expr: str, table_name: str = "documents", key: str = "doc_id",
-            src: str = "text"):
-    register(name, "SELECT %s, %s AS value FROM %s" % (key, sql_expr, table_name))(
-        lambda spark, d: table(spark, d, table_name, key, src).select(key, spark_expr(F.col(src)).alias("value")))
+def _scalar(name: str, spark_expr, sql_expr: str):
+    """A scalar text function applied to every document: ``doc_id, value``."""
+    register(name, "SELECT doc_id, %s AS value FROM documents" % sql_expr)(
+        lambda spark, d: table(spark, d, "documents", "doc_id", "text").select(
+            "doc_id", spark_expr(F.col("text")).alias("value")))
 
 
 _scalar("approx_tokens", T.approx_tokens, "ceil(length(coalesce(text, '')) / 3.5)::BIGINT")
