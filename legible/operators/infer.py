@@ -216,10 +216,12 @@ def parse_suggestions(replies: DataFrame, key_cols: list[str], reply_col: str =
 
     Accepts a bare array, ``{"renames": [...]}`` or ``{"items": [...]}``, fenced or after prose, with
     the alias field names; items lacking kind, old or new are dropped."""
-    payload = T.extract_json_payload(T.extract_chat_content(F.col(reply_col)))
-    arr = F.when(F.startswith(payload, F.lit("[")), F.from_json(payload, REPLY_SCHEMA)).otherwise(
-        F.coalesce(F.from_json(payload, WRAPPED_SCHEMA)["renames"], F.from_json(payload, WRAPPED_SCHEMA)["items"]))
-    x = replies.select(*key_cols, F.posexplode(arr).alias("pos", "it"))
+    # each step is its own projection so the payload and the parsed JSON are computed once
+    p = replies.select(*key_cols, T.extract_json_payload(T.extract_chat_content(F.col(reply_col))).alias("_p"))
+    p = p.select(*key_cols, "_p", F.when(~F.startswith("_p", F.lit("[")), F.from_json("_p", WRAPPED_SCHEMA)).alias("_w"))
+    arr = F.when(F.startswith("_p", F.lit("[")), F.from_json("_p", REPLY_SCHEMA)).otherwise(
+        F.coalesce(F.col("_w.renames"), F.col("_w.items")))
+    x = p.select(*key_cols, F.posexplode(arr).alias("pos", "it"))
     kind = F.coalesce(F.col("it.kind"), F.col("it.type"))
     old = F.coalesce(F.col("it.old"), F.col("it.from"), F.col("it.key"), F.col("it.name"))
     new = F.coalesce(F.col("it.new"), F.col("it.to"), F.col("it.value"), F.col("it.rename"))
