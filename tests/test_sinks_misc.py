@@ -93,3 +93,16 @@ def test_package_refactor_job_matches_query(spark):
     want = sorted(map(tuple, ENTRY.queries()["full_refactor_paths"](spark, SF001).select(
         "page_id", "new_path", "new_text").collect()))
     assert got == want and pm.count() > 0
+
+
+def test_suggest_job_with_provider(spark):
+    files = SF.scan_files(spark, FIX)
+    _, units, _ = J.analyze_job(files)
+    opts = J.Options(provider=I.EchoRenameProvider(), token_budget=300, max_items=2, concurrency=2)
+    mapping = {(r.kind, r.old_key): (r.new_name, r.source) for r in J.suggest_job(units, opts).collect()}
+    assert mapping[("method", "demo.mix.Hs.h(String)")] == ("handleH", "model")
+    assert mapping[("method", "demo.mix.Color.code()")] == ("handleCode", "model")
+    # no simple rule came back from the model, so the first short keys are filled from the pool
+    assert any(src == "fallback" for (kind, _), (_, src) in mapping.items() if kind == "simple")
+    applied = {r.rel_path: r.new_text for r in J.apply_job(files, J.suggest_job(units, opts)).collect()}
+    assert "public static int handleH(String idx)" in applied["demo/mix/Hs.java"]   # s -> idx from the fill pool
