@@ -26,6 +26,9 @@ def build_session(master: str | None = None, app: str = "legible",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # whole source files travel through the scanner and prompts through the provider in Arrow
+        # batches: keep a batch to a bounded number of rows so a Python worker's memory stays small
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
