@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from legible.functions import text as T
 
-# unit_order = doc_id * LINE_SPAN + line_no keeps the reference's list order in one BIGINT
-LINE_SPAN = 1_000_000
+# unit_order = (file, ordinal): the reference's list order, without any bound on lines per file
 
 
 def line_units(docs: DataFrame, key: str = "doc_id", text_col: str = "text", pkg_col: str = "source") -> DataFrame:
@@ -35,7 +34,7 @@ def line_units(docs: DataFrame, key: str = "doc_id", text_col: str = "text", pkg
            .withColumn("class_fqn", T.class_fqn("pkg", "class_name"))
            .withColumn("qualified_signature", T.qualified_signature("pkg", "class_name", "method_name", "param_types"))
            .withColumn("decl", F.concat("method_name", F.lit("("), F.concat_ws(",", "param_types"), F.lit(")")))
-           .withColumn("unit_order", (F.col(key) * LINE_SPAN + F.col("line_no")).cast("bigint"))
+           .withColumn("unit_order", F.struct(F.col(key).alias("file"), F.col("line_no").cast("bigint").alias("ordinal")))
            .drop("_w"))
     return out
 
