@@ -69,3 +69,18 @@ def test_incremental_rerun_adds_nothing(spark):
     INC.incremental_rewrite(INC.stream_parquet(spark, src, spark.read.parquet(src).schema), mapping, sink, ckpt, "doc_id")
     got = sorted((r.doc_id, r.new_text) for r in spark.read.parquet(sink).collect())
     assert got == [(1, "a beta"), (2, "beta c"), (3, "beta beta")]
+
+
+def test_incremental_over_source_tree(spark):
+    root = tempfile.mkdtemp(prefix="legible-inc-tree-")
+    os.makedirs(os.path.join(root, "p"))
+    with open(os.path.join(root, "p", "A.java"), "w") as f:
+        f.write("class A { int a = b; }\n")
+    mapping = spark.createDataFrame([("b", "beta")], "old_key string, new_name string")
+    sink, ckpt = INC.run_dirs(spark, "tree")
+    INC.incremental_rewrite(INC.stream_source_files(spark, root), mapping, sink, ckpt, key="path")
+    with open(os.path.join(root, "p", "B.java"), "w") as f:
+        f.write("class B { b(); }\n")
+    INC.incremental_rewrite(INC.stream_source_files(spark, root), mapping, sink, ckpt, key="path")
+    got = sorted((os.path.basename(r.path), r.new_text, r.n_replacements) for r in spark.read.parquet(sink).collect())
+    assert got == [("A.java", "class A { int a = beta; }\n", 1), ("B.java", "class B { beta(); }\n", 1)]
