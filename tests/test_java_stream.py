@@ -84,3 +84,24 @@ def test_incremental_over_source_tree(spark):
     INC.incremental_rewrite(INC.stream_source_files(spark, root), mapping, sink, ckpt, key="path")
     got = sorted((os.path.basename(r.path), r.new_text, r.n_replacements) for r in spark.read.parquet(sink).collect())
     assert got == [("A.java", "class A { int a = beta; }\n", 1), ("B.java", "class B { beta(); }\n", 1)]
+
+
+def test_sample_shaped_fixture_expectations(spark):
+    """Expectations worked out by hand for the sample shapes."""
+    from legible.operators import suggest as S
+    files = scan_files(spark, os.path.join(os.path.dirname(FIX), "mix"))
+    _, units, rejects = J.analyze_job(files)
+    assert rejects.count() == 0
+    kinds = sorted((r.qualified_signature, r.unit_kind) for r in units.collect())
+    assert len(kinds) == 13
+    assert sum(1 for _, k in kinds if k == "ctor") == 5 and sum(1 for _, k in kinds if k == "method") == 8
+    h = S.heuristic_names(units).collect()
+    simple = {r.old_key: r.new_name for r in h if r.kind == "simple"}
+    assert simple == {"a": "value", "d": "tmp", "e": "i", "h": "j", "p": "k", "v0": "idx", "w0": "count",
+                      "x0": "flag", "y0": "size"}
+    assert {r.old_key: r.new_name for r in h if r.kind == "method"} == {"demo.mix.w0.K()": "getw0"}
+    parity = {r.old_key for r in S.heuristic_names(units, parity=True).collect() if r.kind == "method"}
+    assert parity == {"demo.mix.w0.K()", "demo.mix.a.a()", "demo.mix.w0.w0()", "demo.mix.x0.x0()", "demo.mix.y0.y0()"}
+    mapping = J.suggest_job(units)
+    keys = [(r.kind, r.old_key) for r in mapping.collect()]
+    assert len(keys) == len(set(keys))                              # one rule per (kind, key)
