@@ -105,16 +105,21 @@ def annotate_job(files: DataFrame, decls: DataFrame, opts: Options = Options(),
 
 
 # L5
-def package_refactor_job(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """files (folder, name, file_name, text) -> (rewritten files with new_path, package map)."""
+def package_refactor_job(files: DataFrame, normalize_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """files (folder, name, file_name, text) -> (rewritten files with new_path, package map).
+
+    By default only moved folders get a new package line (Q17); ``normalize_all`` rewrites every
+    file's package line to its path-derived package, as the reference does."""
     files = cut_lineage(files)
     cands = FO.suspicious_folders(files)
     plan = FO.resolve_name_conflicts(FO.heuristic_segment(cands, files), FO.existing_folders(files))
     pm = FO.package_map(plan)
     rw = R.rewrite_import_prefix(files, pm, "page_id" if "page_id" in files.columns else "rel_path")
     moved = FO.move_paths(rw, plan)
-    text = F.when(F.col("new_folder").isNull(), F.col("new_text")).otherwise(
-        R.rewrite_package_line(F.col("new_text"), T.normalize_package("new_folder")))
+    target = T.normalize_package(F.coalesce("new_folder", "folder"))
+    text = R.rewrite_package_line(F.col("new_text"), target) if normalize_all else \
+        F.when(F.col("new_folder").isNull(), F.col("new_text")).otherwise(
+            R.rewrite_package_line(F.col("new_text"), T.normalize_package("new_folder")))
     return moved.withColumn("new_text", text), pm
 
 

@@ -106,3 +106,26 @@ def test_suggest_job_with_provider(spark):
     assert any(src == "fallback" for (kind, _), (_, src) in mapping.items() if kind == "simple")
     applied = {r.rel_path: r.new_text for r in J.apply_job(files, J.suggest_job(units, opts)).collect()}
     assert "public static int handleH(String idx)" in applied["demo/mix/Hs.java"]   # s -> idx from the fill pool
+
+
+def test_overwrite_docs_and_saved_replies(spark):
+    files = SF.scan_files(spark, FIX).filter(F.col("rel_path") == "demo/mix/Hs.java")
+    decls, _, _ = J.analyze_job(files)
+    out = J.annotate_job(files, decls, J.Options(overwrite_docs=True)).first()
+    assert "Existing doc" not in out.new_text and out.new_text.count("/**") == out.n_docs
+    prompts = spark.createDataFrame([(1, "methodName: a"), (2, "methodName: b")], "b int, prompt string")
+    path = tempfile.mkdtemp(prefix="legible-replies-") + "/r"
+    first = I.batch_infer(prompts.filter("b = 1"), I.EchoRenameProvider(), ["b"])
+    saved = I.save_replies(first, path)
+    assert [r.b for r in I.pending_prompts(prompts, saved, ["b"]).collect()] == [2]
+
+
+def test_package_line_normalisation_flag(spark):
+    from legible.plans.catalog_folders import page_files
+    from conftest import SF001
+    moved, _ = J.package_refactor_job(page_files(spark, SF001), normalize_all=True)
+    rows = moved.select("new_text", "new_folder", "folder").collect()
+    from legible.functions import text as T  # noqa: F401
+    assert all(r.new_text.startswith("package ") for r in rows)
+    kept, _ = J.package_refactor_job(page_files(spark, SF001))
+    assert moved.count() == kept.count()
