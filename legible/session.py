@@ -44,14 +44,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).  Only a local-mode
     session (tests, benches) without one gets a fresh scratch folder; on a cluster a missing
     setting is an error, never a silent machine-local fallback."""
-    d = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server owns the checkpoint folder setting
+        sc = None
+    d = spark.conf.get(CHECKPOINT_CONF, None) or (sc.getCheckpointDir() if sc else None)
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        master = sc.master if sc else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise RuntimeError("set %s to a folder every executor can reach" % CHECKPOINT_CONF)
         d = tempfile.mkdtemp(prefix="legible-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
