@@ -178,7 +178,7 @@ def _scalar(name: str, spark_expr, sql_expr: str):
 
 
 _scalar("approx_tokens", T.approx_tokens, "ceil(length(coalesce(text, '')) / 3.5)::BIGINT")
-_scalar("truncate_text", lambda c: T.truncate_text(c, 1000), "substr(coalesce(text, ''), 1, 1000)")
+_scalar("truncate_text", T.truncate_text, "substr(coalesce(text, ''), 1, %d)" % T.SNIPPET_CAP)
 _scalar("first_line", T.first_line, "split_part(text, chr(10), 1)")
 _scalar("trim_head_tail", lambda c: T.trim_head_tail(c, 10, 10), r"""
 CASE WHEN len(string_split(text, chr(10))) <= 25 THEN text ELSE
