@@ -1,6 +1,7 @@
-"""Java-source queries (rows-only checks): sources are generated per page from the ``pages`` table,
-so the work grows with it.  The declaration scanner is a brace-matching parser, which SQL cannot
-express; these queries are checked in ``tests/test_java.py`` against hand-derived expectations."""
+"""Java-source queries: sources are generated per page from the ``pages`` table, so the work grows
+with it.  The declaration scanner is a brace-matching parser SQL cannot express, so the oracles
+rebuild the expected results from the generator's known shape (units, renamed and annotated texts).
+"""
 
 from __future__ import annotations
 
