@@ -124,7 +124,9 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
         free = gen.alias("g").join(bl, (F.col("g.parent") == F.col("x.parent")) & (F.col("g.name") == F.col("x.name"))
                                    & (F.col("x.owner").isNull() | (F.col("x.owner") != F.col("g.base"))), "left_anti")
         free = dense_seq(free.select("parent", "base", "s", "name"), ["parent", "base"], ["s"], out="k")
-        assigned = c.join(free.select("parent", "base", "k", F.col("name").alias("target")), ["parent", "base", "k"])
+        # materialised once: the uniqueness check and the result read the same checkpoint
+        assigned = cut_lineage(c.join(free.select("parent", "base", "k", F.col("name").alias("target")),
+                                      ["parent", "base", "k"]))
         dup = (assigned.groupBy("parent", "target")
                        .agg(F.min_by("base", "_ord").alias("winner"), F.countDistinct("base").alias("nb"))
                        .filter(F.col("nb") > 1))
