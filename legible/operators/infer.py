@@ -31,6 +31,7 @@ TEMPERATURE = 0.2
 HEAD_LINES, TAIL_LINES = 50, 50          # prompt trim of rename blocks
 DOC_HEAD, DOC_TAIL = 40, 30              # prompt trim of doc snippets
 RETRY_TRIES, RETRY_INITIAL_MS, RETRY_FACTOR, RETRY_JITTER_MS, RETRY_CAP_MS = 6, 800, 1.8, 300, 30_000
+RATE_LIMIT_FLOOR_MS = 1500               # minimum wait after a 429
 # ----------------------------------------------------------------------------------------------
 
 # Our own prompt wording (the model contract, not a reference constant).
@@ -144,6 +145,11 @@ def _call_with_retry(provider, prompt: str, policy: RetryPolicy):
             last = T_squash(str(e))
             if not re.search(TRANSIENT, last) or delay is None:
                 break
+            retry_after = getattr(e, "retry_after", None)       # seconds, when the transport knows it
+            if retry_after is not None:
+                delay = float(retry_after)
+            elif "429" in last:
+                delay = max(delay, RATE_LIMIT_FLOOR_MS / 1000.0)
             if policy.sleep:
                 time.sleep(delay)
     return None, last, attempts

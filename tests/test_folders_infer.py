@@ -56,3 +56,28 @@ def test_align_by_position(spark):
     outs = spark.createDataFrame([(0, 0, "A"), (0, 1, "B"), (0, 5, "extra")], "batch int, pos int, doc string")
     got = sorted((r.x, r.doc) for r in I.align_by_position(inputs, outs, ["batch"]).collect())
     assert got == [("a", "A"), ("b", "B"), ("c", "")]
+
+
+def test_retry_policy_waits(monkeypatch):
+    import legible.operators.infer as INF
+    waits = []
+    monkeypatch.setattr(INF.time, "sleep", lambda s: waits.append(s))
+
+    class Busy(Exception):
+        retry_after = 2.5
+
+    calls = {"n": 0}
+
+    def provider(prompts):
+        calls["n"] += 1
+        if calls["n"] == 1:
+            raise RuntimeError("429 Too Many Requests")
+        if calls["n"] == 2:
+            raise Busy("503 busy")
+        return ["ok"]
+    reply, err, attempts = INF._call_with_retry(provider, "p", INF.RetryPolicy(tries=4, jitter_ms=0))
+    assert (reply, err, attempts) == ("ok", None, 3)
+    assert waits[0] >= 1.5 and waits[1] == 2.5
+    reply, err, attempts = INF._call_with_retry(lambda p: (_ for _ in ()).throw(ValueError("bad request")), "p",
+                                                INF.RetryPolicy(tries=4))
+    assert reply is None and attempts == 1 and "bad request" in err       # not transient: no retry
