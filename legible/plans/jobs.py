@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
@@ -19,6 +19,7 @@ from legible.operators import infer as I
 from legible.operators import rewrite as R
 from legible.operators import suggest as S
 from legible.operators.heuristics import heuristic_doc
+from legible.operators.order import dense_seq
 from legible.operators.pack import MAX_ITEMS, TOKEN_BUDGET, pack_by_budget
 from legible.session import cut_lineage
 
@@ -61,8 +62,10 @@ def suggest_job(units: DataFrame, opts: Options = Options()) -> DataFrame:
         replies = cut_lineage(I.batch_infer(prompts, opts.provider, ["_grp", "batch_no"], concurrency=opts.concurrency))
         if opts.retries:
             replies = I.retry_failed(replies, prompts, opts.provider, ["_grp", "batch_no"], rounds=opts.retries)
-        # submission order = (group, batch); only the distinct groups are ranked in one window
-        groups = prompts.select("_grp").distinct().withColumn("_gr", F.row_number().over(Window.orderBy("_grp")))
+        # submission order = (group, batch): the distinct groups get a dense rank by range partitioning
+        # (no single-partition window, however many packages there are)
+        groups = dense_seq(prompts.select("_grp").distinct().withColumn("_one", F.lit(0)), ["_one"], ["_grp"],
+                           out="_gr").drop("_one")
         ranked = replies.join(groups, "_grp").withColumn(
             "batch_id", (F.col("_gr") * F.lit(1 << 24) + F.col("batch_no")).cast("bigint"))
         sugg = I.parse_suggestions(ranked, ["batch_id"])
