@@ -162,10 +162,18 @@ def scan_java(file: str, text: str) -> list[dict]:
         return True
 
     try:
-        i, n = 0, len(masked)
+        i, n, paren = 0, len(masked), 0
         while i < n:
             c = masked[i]
-            if c == "{":
+            # braces and semicolons inside parentheses (annotation arrays, lambdas passed as
+            # arguments, for-loop headers) are not declaration structure
+            if c == "(":
+                paren += 1
+            elif c == ")":
+                paren = max(0, paren - 1)
+            elif paren > 0:
+                pass
+            elif c == "{":
                 hs, header = header_span(boundary, i)
                 tm = None
                 if not stack or stack[-1]["kind"] == "type":

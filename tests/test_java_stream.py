@@ -16,7 +16,7 @@ FIX = os.path.join(os.path.dirname(os.path.abspath(__file__)), "fixtures", "java
 def test_scan_files_and_quarantine(spark):
     files = scan_files(spark, FIX, [".JAVA"])
     rels = sorted(r.rel_path for r in files.collect())
-    assert rels == ["demo/broken/Bad.java", "demo/mix/Hs.java"]     # Spark lists no zero-length files
+    assert rels == ["demo/broken/Bad.java", "demo/mix/Ann.java", "demo/mix/Hs.java"]   # no zero-length files
     decls, units, rejects = J.analyze_job(files)
     assert [r.file for r in rejects.collect()] == ["demo/broken/Bad.java"]
     sigs = {r.qualified_signature: r.unit_kind for r in units.collect()}
@@ -25,6 +25,7 @@ def test_scan_files_and_quarantine(spark):
     assert sigs["demo.mix.Cache.Cache(Map<K, V>,long)"] == "ctor"
     assert sigs["demo.mix.Hs.In.k()"] == "method"                  # outer kept (Q9)
     assert sigs["demo.mix.Hs.Empty"] == "class"                    # member-less interface is a class-level unit
+    assert sigs["demo.mix.Ann.f(java.util.List<String>)"] == "method"   # braces inside annotation / lambda args
     assert "demo.mix.Pt" not in sigs                               # records are documented, not named (Q10)
     kinds = {(r.class_name, r.type_kind, r.has_doc) for r in decls.filter(F.col("unit_kind") == "type").collect()}
     assert ("Hs", "class", True) in kinds and ("Color", "enum", False) in kinds and ("Pt", "record", False) in kinds
