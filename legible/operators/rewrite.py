@@ -124,7 +124,7 @@ def count_replacements(files: DataFrame, rules: DataFrame, key: str = "doc_id",
         return hits.groupBy(key, old_col).agg(F.count(F.lit(1)).alias("hits"))
     toks = files.select(key, F.explode(tokens_of(text_col)).alias(old_col))
     per = toks.groupBy(key, old_col).agg(F.count(F.lit(1)).alias("hits"))
-    return per.join(rules.select(old_col).distinct(), old_col, "left_semi")
+    return per.join(rules.select(old_col).distinct(), old_col, "left_semi").select(key, old_col, "hits")
 
 
 # G7

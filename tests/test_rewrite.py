@@ -71,3 +71,15 @@ def test_import_prefix_and_package_line(spark):
     assert out.new_text == "package a.b;\nimport a.util.C;\nimport a.bc.D;\nimport static a.util.E.f;\n"
     assert out.n_import_changes == 2
     assert files.select(R.rewrite_package_line("text", F.lit("x.y"))).first()[0].startswith("package x.y;\n")
+
+
+def test_large_mapping_paths_agree(spark, monkeypatch):
+    files = _files(spark)
+    rules = spark.createDataFrame([("a", "x"), ("b", "y"), ("a1", "z")], "old_key string, new_name string")
+    small_counts = sorted(map(tuple, R.count_replacements(files, rules).collect()))
+    small_text = {r.doc_id: r.new_text for r in R.rewrite_tokens(files, rules).collect()}
+    monkeypatch.setattr(R, "MAP_LITERAL_MAX", 1)          # force the join forms
+    big_counts = sorted(map(tuple, R.count_replacements(files, rules).collect()))
+    big_text = {r.doc_id: r.new_text for r in R.rewrite_tokens(files, rules).collect()}
+    assert small_counts == big_counts and small_text == big_text
+    assert (1, "a", 3) in small_counts
