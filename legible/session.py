@@ -22,7 +22,9 @@ def build_session(master: str | None = None, app: str = "legible",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # runtime broadcast only for sides measured below 32 MB after their stage ran
+        # no broadcast from planning-time estimates (they can be far off after explode/aggregate);
+        # AQE broadcasts a side only after its stage ran and measured below 32 MB
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
