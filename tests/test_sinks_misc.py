@@ -129,3 +129,14 @@ def test_package_line_normalisation_flag(spark):
     assert all(r.new_text.startswith("package ") for r in rows)
     kept, _ = J.package_refactor_job(page_files(spark, SF001))
     assert moved.count() == kept.count()
+
+
+def test_bounded_helpers(spark):
+    from legible.operators.util import bounded_collect, bounded_rows, sized_broadcast
+    df = spark.range(10)
+    assert bounded_rows(df, 5) == 6 and bounded_rows(df, 50) == 10
+    assert bounded_collect(df, 5) is None and len(bounded_collect(df, 10)) == 10
+    assert sized_broadcast(df) is df                                   # default: AQE measures at runtime
+    hinted = sized_broadcast(df, max_rows=100)
+    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+    assert sized_broadcast(df, max_rows=5) is df
