@@ -10,7 +10,7 @@ from legible.functions import text as T
 
 
 def trim_model(code, head, tail):
-    lines = re.split(r"\r\n|[\n\x0b\x0c\r\x85  ]", code)
+    lines = re.split("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", code)
     if len(lines) <= head + tail + 5:
         return code
     return "".join(l + "\n" for l in lines[:head]) + "// ... (trimmed) ...\n" + \
@@ -60,3 +60,62 @@ def test_scalar_models(spark, codes, words, leaves, replies):
     assert run(words, T.sanitize_segment) == [segment_model(w) for w in words]
     assert run(leaves, T.looks_obfuscated) == [obfuscated_model(x) for x in leaves]
     assert run(replies, T.extract_json_payload) == [payload_model(r) for r in replies]
+
+
+def jtrim(s):
+    return s.strip("".join(chr(i) for i in range(33)))
+
+
+def clean_model(s):
+    t = jtrim(s)
+    if t.startswith("```"):
+        first = t.find("\n")
+        if first > 0:
+            t = t[first + 1:]
+        last = t.rfind("```")
+        if last >= 0:
+            t = t[:last]
+        t = jtrim(t)
+    if t.startswith("/**"):
+        end = t.rfind("*/")
+        if end >= 0:
+            t = jtrim(t[3:end])
+    out = ""
+    for ln in re.split(r"\r?\n", t):
+        ln = jtrim(ln)
+        if ln.startswith("*"):
+            ln = jtrim(ln[1:])
+        out += ln + "\n"
+    return jtrim(re.sub(r"[ \t\n\x0b\f\r]+\n", "\n", jtrim(out)))
+
+
+def block_model(main, tags):
+    def java_split(x):
+        parts = re.split("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]", x)
+        if x == "":
+            return [""]
+        while parts and parts[-1] == "":
+            parts.pop()
+        return parts
+    out = "/**\n"
+    for ln in java_split(main):
+        out += " *\n" if ln == "" else " * " + jtrim(ln) + "\n"
+    if tags:
+        for ln in java_split(tags):
+            out += (" *" if ln == "" else ln if ln.startswith(" *") else " * " + ln) + "\n"
+    return out + " */"
+
+
+DOCS = st.lists(st.sampled_from(["```", "java", "\n", "/**", "*/", " * ", "*", "Does x.", " ", "\t", "\n\n"]),
+                max_size=10).map("".join)
+TAGS = st.lists(st.sampled_from([" * @param a parameter\n", "@return r\n", "\n", ""]), max_size=3).map("".join)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(DOCS, min_size=1, max_size=6), st.lists(st.tuples(DOCS, TAGS), min_size=1, max_size=6))
+def test_doc_text_models(spark, docs, pairs):
+    df = spark.createDataFrame([(d,) for d in docs], "v string")
+    assert [r[0] for r in df.select(T.clean_doc_text(F.col("v"))).collect()] == [clean_model(d) for d in docs]
+    pf = spark.createDataFrame(pairs, "m string, t string")
+    got = [r[0] for r in pf.select(T.doc_block(F.col("m"), F.col("t"))).collect()]
+    assert got == [block_model(m, t) for m, t in pairs]
