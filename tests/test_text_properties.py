@@ -119,3 +119,38 @@ def test_doc_text_models(spark, docs, pairs):
     pf = spark.createDataFrame(pairs, "m string, t string")
     got = [r[0] for r in pf.select(T.doc_block(F.col("m"), F.col("t"))).collect()]
     assert got == [block_model(m, t) for m, t in pairs]
+
+
+def heuristic_model(snippet, lang, style):
+    from legible.operators import heuristics as H
+    header = jtrim(snippet.split("\n", 1)[0])
+    low = header.lower()
+    for kind, pat in (("get", H.GETTER), ("set", H.SETTER), ("is", H.ISSER)):
+        m = re.search(pat, header, re.A)
+        if m:
+            g = m.group(1)
+            pretty = "value" if not g else (g[0] + re.sub(r"([A-Z])", r" \1", g[1:])).lower().strip()
+            return H.ACCESSOR_TEXT["zh" if lang == "zh" else "en"][kind].replace("%s", pretty)
+    msg = H.DEFAULT_TEXT[1 if lang == "zh" else 0]
+    for words, en, zh in H.KEYWORD_RULES:
+        if any(w in low for w in words):
+            msg = zh if lang == "zh" else en
+            break
+    if style == "detailed":
+        msg += H.DETAILED_SUFFIX[1 if lang == "zh" else 0]
+    return msg
+
+
+HEADERS = st.lists(st.sampled_from(["public ", "static ", "@Override ", "String ", "void ", "boolean ", "List<X> ",
+                                    "getUserName", "setValue", "isReady", "parseJson", "fetchAll", "init", "close",
+                                    "hashCode", "(", ")", " ", "\n body"]), max_size=7).map("".join)
+
+
+@settings(max_examples=20, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(HEADERS, st.sampled_from(["en", "zh"]), st.sampled_from(["concise", "detailed"])),
+                min_size=1, max_size=8))
+def test_heuristic_doc_model(spark, rows):
+    from legible.operators.heuristics import heuristic_doc
+    df = spark.createDataFrame(rows, "s string, l string, st string")
+    got = [r[0] for r in df.select(heuristic_doc(F.col("s"), F.col("l"), F.col("st"))).collect()]
+    assert got == [heuristic_model(s, l, st) for s, l, st in rows]
