@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from legible.llm import bpe, tokens
 from legible.llm.common import read
+from legible.llm.near import jaccard_join
 from legible.llm.quality import quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +30,34 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
+RANKS, LIBRARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+
+
+@register
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes they decode to, as digests."""
+    path = public_tokenizers.path(RANKS)
+    ids = bpe.encode(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    return bpe.decode(ids, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@register
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back: every document's place and checksum."""
+    path = tokens.new_token_path(spark)
+    tokens.write_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path(LIBRARY))
+    return tokens.id_crc32(tokens.read_tokens(spark, path, "doc_id", "start", "n_tokens", "ids"))
+
+
+@register
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 4-word shingles, Jaccard 0.85 or more."""
+    return jaccard_join(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-supervision verdict of every document."""
