@@ -23,8 +23,9 @@ from legible.llm.common import stage, words
 SYMBOLS = r"[#*$%&|<>]"
 GRAM = 8
 ROUNDS = 15
-#: Strength (in rows) and centre of the Beta-like prior that keeps a rule's good vote likelier among good texts.
+#: Prior of a rule's votes in either class, worth ``PRIOR_ROWS`` texts: it names the classes (a bad vote is rare among good texts).
 PRIOR_ROWS = 20.0
+IF_GOOD, IF_BAD = {1: 0.68, 0: 0.30, -1: 0.02}, {1: 0.2, 0: 0.4, -1: 0.4}
 
 
 def _repeat_words(hashes: Column, n: Column) -> Column:
@@ -54,6 +55,7 @@ def signals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
         F.regexp_count(text, F.lit(r"[!#$%&*|?]{2}")).cast("long").alias("n_runs"),
         F.size(F.filter("_w", lambda x: x.rlike(r"^[\p{L}\p{M}'-]+[.,;:!?]?$"))).cast("long").alias("n_plain"),
+        F.size(F.filter("_w", lambda x, i: x == F.get("_w", i - 1))).cast("long").alias("n_stutter"),
         F.when(F.size("_w") >= GRAM, F.transform(
             F.sequence(F.lit(1), F.size("_w") - (GRAM - 1)),
             lambda i: F.xxhash64(F.slice("_w", i, GRAM)))).otherwise(F.array().cast("array<bigint>")).alias("_g"))
@@ -90,6 +92,7 @@ def rules() -> dict[str, Column]:
         "upper_case": _vote(_share("n_upper", "n_letters") <= 0.10, _share("n_upper", "n_letters") > 0.30),
         "same_lines": _vote((F.col("n_dup_lines") == 0), _share("n_dup_lines", "n_lines") > 0.30),
         "same_words": _vote(F.col("n_repeat_words") == 0, F.col("n_repeat_words") * 100 > n * 30),
+        "stutter": _vote(_share("n_stutter", "n_words") <= 0.05, _share("n_stutter", "n_words") > 0.20),
         "closed_lines": _vote(_share("n_closed_lines", "n_lines") >= 0.5, _share("n_closed_lines", "n_lines") < 0.1),
     }
 
@@ -119,8 +122,8 @@ def fit(patterns: DataFrame, names: list[str], rounds: int = ROUNDS) -> tuple[fl
         g, b = row["g"] or 0.0, row["b"] or 0.0
         prior = min(0.99, max(0.01, (g + 1) / (g + b + 2)))
         a = PRIOR_ROWS
-        odds = {r: {v: math.log(((row[f"{r}_{v + 1}__g"] or 0.0) + a * {1: 0.6, 0: 0.3, -1: 0.1}[v]) / (g + a))
-                    - math.log(((row[f"{r}_{v + 1}__b"] or 0.0) + a * {1: 0.2, 0: 0.4, -1: 0.4}[v]) / (b + a))
+        odds = {r: {v: math.log(((row[f"{r}_{v + 1}__g"] or 0.0) + a * IF_GOOD[v]) / (g + a))
+                    - math.log(((row[f"{r}_{v + 1}__b"] or 0.0) + a * IF_BAD[v]) / (b + a))
                     for v in (-1, 0, 1)} for r in names}
         post = _posterior(names, prior, odds)
     return prior, odds

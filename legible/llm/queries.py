@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legible.llm import bpe, tokens
+from legible.llm import bpe, tokens, warc
 from legible.llm.common import read
+from legible.llm.decontam import contained_items
+from legible.llm.lines import line_dedup
+from legible.llm.lm import lattice_scores
 from legible.llm.near import jaccard_join
+from legible.llm.oracles import ORACLE
 from legible.llm.quality import quality_rules
+from legible.llm.substring import substring_dedup
+from legible.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def register(fn):
@@ -30,7 +35,18 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
 
 
-RANKS, LIBRARY = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+RANKS, LIBRARY, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+#: (host, path, verdict) of the url query.
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@register
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are left after 20-word windows seen earlier are removed."""
+    kept = substring_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @register
@@ -52,12 +68,46 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.id_crc32(tokens.read_tokens(spark, path, "doc_id", "start", "n_tokens", "ids"))
 
 
+@register
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that are left after runs seen earlier are deleted."""
+    kept = line_dedup(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+@register
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lattice and word-unigram scores of every document."""
+    return lattice_scores(read(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(PIECES))
+
+
 @register
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, Jaccard 0.85 or more."""
     return jaccard_join(read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@register
+def op7_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict of every page's url by rules and host reputation (labels are joined on the page's id)."""
+    judged = judge_urls(read(spark, sf_dir, "pages", "page_id", "url"), read(spark, sf_dir, "labels"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+@register
+def op8_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, read back and assembled."""
+    path = warc.new_archive_path(spark)
+    warc.write_warc(read(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return warc.captured_pages(warc.assemble(warc.read_warc(spark, path)))
+
+
+@register
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds."""
+    return contained_items(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak-supervision verdict of every document."""
