@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from legible.llm.common import gram_hashes, partitions, text_batches, word_hashes
 
 #: Words of the sequences that compete for a window's minimiser.
-GRAM = 8
+GRAM = 6
 #: Runs of one minimiser that may meet in one bucket.
 HOT = 2000
 
@@ -62,19 +62,19 @@ def runs(h: np.ndarray, ends: np.ndarray, size: int, gram: int) -> tuple[np.ndar
 
 
 class _Marks:
-    """Marked places of an output batch: (id, text key, first window, windows)."""
+    """Marked places of an output batch: (id, first window and text key, windows)."""
 
     def __init__(self, kind: pa.DataType):
         self.kind, self.rows = kind, []
 
     def add(self, place: tuple, first: int, count: int) -> None:
-        self.rows.append((place[0], place[1], place[2] + first, count))
+        self.rows.append((place[0], place[2] + first << 32 | place[1], count))
 
     def batch(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows)) or [(), (), (), ()]
+        cols = list(zip(*self.rows)) or [(), (), ()]
         self.rows = []
         return pa.RecordBatch.from_arrays([pa.array(cols[0], self.kind), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                                          ["_id", "k", "s", "c"])
+                                          ["_id", "at", "c"])
 
 
 def _order(place: tuple) -> tuple:
@@ -126,18 +126,27 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             of, start, count, low = runs(*word_hashes(b.column(1).to_pylist()), size, gram)
+            order = np.argsort(low, kind="stable")  # one row a minimiser and batch, with its further places as lists
+            of, place, low = of[order], (start * (size + 1) + count)[order], low[order]
+            first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+            many = np.diff(np.append(first, len(low)))
+            rest = np.ones(len(low), bool)
+            rest[first] = False
+            ends = pa.array(np.concatenate([[0], np.cumsum(many - 1)]).astype(np.int32), mask=np.append(many == 1, False))
+            ids = b.column(0).take(pa.array(of))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(low.view(np.int64)), b.column(0).take(pa.array(of)), pa.array(start.astype(np.int32)),
-                 pa.array(count.astype(np.int32))], ["mini", "_id", "s", "c"])
+                [pa.array(low[first].view(np.int64)), pa.array(many), ids.take(pa.array(first)), pa.array(place[first]),
+                 pa.ListArray.from_arrays(ends, ids.filter(pa.array(rest))), pa.ListArray.from_arrays(ends, pa.array(place[rest]))],
+                ["mini", "n", "_id", "sc", "ids", "scs"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[tuple[int, bytes], list[tuple]] = {}
             single: dict[tuple[int, bytes], list[tuple]] = {}
             for i, text, rs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                words, k = (text or b"").split(), xxhash.xxh3_64_intdigest(text or b"") >> 1
+                words, k = (text or b"").split(), xxhash.xxh32_intdigest(text or b"")
                 for r in rs:
-                    s, c = r["s"], r["c"]
+                    s, c = divmod(r["sc"], size + 1)
                     if s + c + size - 1 > len(words):
                         continue  # a run of another text under the same id
                     if r["hot"]:
@@ -151,19 +160,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.bool_()),
                  pa.array([r[2] for r in rows], pa.binary()), pa.array([[p[0] for p in r[3]] for r in rows], pa.list_(b.column(0).type)),
-                 pa.array([[p[1] for p in r[3]] for r in rows], pa.list_(pa.int64())),
-                 pa.array([[p[2] for p in r[3]] for r in rows], pa.list_(pa.int64()))], ["key", "hot", "string", "ids", "ks", "ss"])
+                 pa.array([[p[2] << 32 | p[1] for p in r[3]] for r in rows], pa.list_(pa.int64()))], ["key", "hot", "string", "ids", "at"])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, bucket, judged, marks = None, [], {}, None
         for b in batches:
             if marks is None:
                 marks = _Marks(b.column(3).type.value_type)
-            for key, single, string, ids, ks, ss in zip(*(c.to_pylist() for c in b.columns)):
+            for key, single, string, ids, ats in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, single) != at:
                     _mark_bucket(bucket, size, marks)
                     at, bucket, judged = (key, single), [], {}
-                places = list(zip(ids, ks, ss))
+                places = [(i, a & 0xFFFFFFFF, a >> 32) for i, a in zip(ids, ats)]
                 if not single:
                     bucket.append((string, places))
                     continue
@@ -184,11 +192,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, ms in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 words = (text or b"").split()
                 if ms:
-                    k, gone = xxhash.xxh3_64_intdigest(text or b"") >> 1, np.zeros(len(words) + 1, np.int64)
+                    k, gone = xxhash.xxh32_intdigest(text or b""), np.zeros(len(words) + 1, np.int64)
                     for m in ms:
-                        if m["k"] == k:
-                            gone[m["s"]] += 1
-                            gone[m["s"] + m["c"] + size - 1] -= 1
+                        s, end = m["at"] >> 32, (m["at"] >> 32) + m["c"] + size - 1
+                        if m["at"] & 0xFFFFFFFF == k and end <= len(words):
+                            gone[s] += 1
+                            gone[end] -= 1
                     keep = np.cumsum(gone[:-1]) == 0
                     out.append((len(words), int(len(words) - keep.sum()), b" ".join([w for w, x in zip(words, keep.tolist()) if x])))
                 else:
@@ -197,17 +206,19 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 [b.column(0), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()),
                  pa.array([o[2] for o in out], pa.binary())], ["_id", "n_words", "n_removed", "kept"])
 
-    same = F.count(F.lit(1)).over(Window.partitionBy("mini"))
-    twice = (src.mapInArrow(scan, f"mini bigint, _id {kind}, s int, c int").repartition(n_parts, "mini")
-             .withColumn("m", same).filter("m > 1"))
-    of_doc = twice.groupBy(F.col("_id").alias("_of")).agg(
-        F.collect_list(F.struct("s", "c", "mini", (F.col("m") > hot).alias("hot"))).alias("rs"))
+    twice = (src.mapInArrow(scan, f"mini bigint, n bigint, _id {kind}, sc bigint, ids array<{kind}>, scs array<bigint>")
+             .repartition(n_parts, "mini").withColumn("m", F.sum("n").over(Window.partitionBy("mini"))).filter("m > 1"))
+    own = F.array(F.struct(F.col("_id").alias("id"), F.col("sc").alias("sc")))
+    more = F.transform(F.coalesce("ids", F.array()), lambda x, i: F.struct(x.alias("id"), F.get("scs", i).alias("sc")))
+    twice = twice.select("mini", "m", F.explode(F.concat(own, more)).alias("p"))
+    of_doc = twice.groupBy(F.col("p.id").alias("_of")).agg(
+        F.collect_list(F.struct(F.col("p.sc").alias("sc"), "mini", (F.col("m") > hot).alias("hot"))).alias("rs"))
     strings = src.join(of_doc, src["_id"].eqNullSafe(of_doc["_of"])).select("_id", "_text", "rs").mapInArrow(
-        pack, f"key bigint, hot boolean, string binary, ids array<{kind}>, ks array<bigint>, ss array<bigint>")
+        pack, f"key bigint, hot boolean, string binary, ids array<{kind}>, at array<bigint>")
     marks = (strings.repartition(n_parts, "key")
-             .sortWithinPartitions("key", "hot", F.col("ids")[0].asc_nulls_first(), F.col("ss")[0])
-             .mapInArrow(mark, f"_id {kind}, k bigint, s bigint, c bigint"))
-    by_doc = marks.groupBy(F.col("_id").alias("_of")).agg(F.collect_list(F.struct("k", "s", "c")).alias("ms"))
+             .sortWithinPartitions("key", "hot", F.col("ids")[0].asc_nulls_first(), F.col("at")[0])
+             .mapInArrow(mark, f"_id {kind}, at bigint, c bigint"))
+    by_doc = marks.groupBy(F.col("_id").alias("_of")).agg(F.collect_list(F.struct("at", "c")).alias("ms"))
     out = src.join(by_doc, src["_id"].eqNullSafe(by_doc["_of"]), "left").select("_id", "_text", "ms").mapInArrow(
         cut, f"_id {kind}, n_words bigint, n_removed bigint, kept binary")
     return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", F.col("kept").cast("string").alias("kept"))
