@@ -6,6 +6,8 @@ Lengths are counted in code points (Spark's ``length``), not UTF-16 units.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -291,9 +293,10 @@ def ext_of(path) -> Column:
 
 
 def relative_path(path, root: str) -> Column:
-    r = root.rstrip("/") + "/"
-    p = F.regexp_replace(_c(path), "^file:", "")
-    r = r[len("file:"):] if r.startswith("file:") else r
+    """Path below ``root``; scheme and authority are ignored on both sides (``file:///r``, ``hdfs:///r``, ``/r``)."""
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+    r = re.sub(scheme, "", root).rstrip("/") + "/"
+    p = F.regexp_replace(_c(path), scheme, "")
     return F.when(F.startswith(p, F.lit(r)), F.substring(p, len(r) + 1, 1 << 30)).otherwise(p)
 
 

@@ -46,7 +46,7 @@ def unit_counts(units: DataFrame) -> DataFrame:
 
 # E1
 def package_of(text) -> F.Column:
-    return F.regexp_extract(T._c(text), "(?m)^\\s*package\\s+([^;]+);", 1)
+    return F.trim(F.regexp_extract(T._c(text), "(?m)^\\s*package\\s+([^;]+);", 1))
 
 
 # E12 (text level)

@@ -9,7 +9,7 @@ aggregated token count, conflicts are resolved by ranking free suffix candidates
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
@@ -25,9 +25,6 @@ DEFAULT_SEGMENT = "module"
 FOLDERS_PER_CALL = 100
 # ----------------------------------------------------------------------------------------------
 
-MAX_CONFLICT_ROUNDS = 16
-
-
 def parent_of(folder) -> F.Column:
     return F.regexp_replace(T._c(folder), "/?[^/]*$", "")
 
@@ -53,16 +50,21 @@ def leaf_folders(files: DataFrame) -> DataFrame:
     return with_files.join(parents, "folder", "left_anti")
 
 
-# F3 + F4 + W5
+# W5
+def limit_candidates(cands: DataFrame, n: int = MAX_CANDIDATES) -> DataFrame:
+    """First ``n`` candidates in path order: an operator of its own, never applied unasked."""
+    return cands.orderBy("folder").limit(n)
+
+
+# F3 + F4
 def suspicious_folders(files: DataFrame, skip_regex: str = SKIP_PACKAGES,
-                       max_candidates: int = MAX_CANDIDATES) -> DataFrame:
-    """Leaf folders outside skipped packages whose leaf looks obfuscated; first ``max_candidates``
-    in path order (a top-k, planned as TakeOrderedAndProject)."""
+                       max_candidates: int | None = None) -> DataFrame:
+    """Leaf folders outside skipped packages whose leaf looks obfuscated; all of them unless ``max_candidates`` is given."""
     leaves = leaf_folders(files)
     c = leaves.select("folder", parent_of("folder").alias("parent"), T.normalize_package("folder").alias("pkg"),
                       leaf_of("folder").alias("leaf"))
     c = c.filter(~F.col("pkg").rlike(skip_regex) & T.looks_obfuscated("leaf"))
-    return c.orderBy("folder").limit(max_candidates)
+    return c if max_candidates is None else limit_candidates(c, max_candidates)
 
 
 # G6
@@ -100,13 +102,11 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
     it and the name is blocked for the other segment; rounds repeat until targets are unique."""
     c = cands.select("folder", "parent", F.col("segment").alias("base"), F.col(order_col).alias("_ord"))
     checkpoint_dir(cands.sparkSession)
-    # members per (parent, base) are bounded by max_candidates (the candidate list is a top-k),
-    # so a plain window ranks them; the free-name list below is ranked skew-safely
-    c = cut_lineage(c.withColumn("k", (F.row_number().over(
-        Window.partitionBy("parent", "base").orderBy("_ord")) - 1).cast("bigint")))
+    # members and free names are both ranked skew-safely: a (parent, base) group may be any size
+    c = cut_lineage(dense_seq(c, ["parent", "base"], ["_ord"], out="k"))
     blocked = existing.select("parent", "name", F.lit(None).cast("string").alias("owner"))
-    result = None
-    for _ in range(MAX_CONFLICT_ROUNDS):
+    # every round settles at least one more name for good, so the loop ends
+    while True:
         sizes = c.groupBy("parent", "base").agg(F.count(F.lit(1)).alias("m"))
         # a blocked name "foo12" can only collide with the sequences of "foo12", "foo1" and "foo":
         # expand it to those bases and equi-join, so a parent with many children never fans out
@@ -131,14 +131,11 @@ def resolve_name_conflicts(cands: DataFrame, existing: DataFrame, order_col: str
                        .agg(F.min_by("base", "_ord").alias("winner"), F.countDistinct("base").alias("nb"))
                        .filter(F.col("nb") > 1))
         if len(dup.limit(1).collect()) == 0:
-            result = assigned
             break
         blocked = blocked.unionByName(dup.select("parent", F.col("target").alias("name"), F.col("winner").alias("owner")))
         blocked = cut_lineage(blocked)   # reliable checkpoint in the shared folder cuts the round lineage
-    if result is None:
-        raise RuntimeError("name conflicts did not settle in %d rounds" % MAX_CONFLICT_ROUNDS)
     new_folder = F.when(F.col("parent") == "", F.col("target")).otherwise(F.concat("parent", F.lit("/"), "target"))
-    return result.select("folder", "parent", F.col("base").alias("segment"), "target", new_folder.alias("new_folder"))
+    return assigned.select("folder", "parent", F.col("base").alias("segment"), "target", new_folder.alias("new_folder"))
 
 
 def package_map(plan: DataFrame) -> DataFrame:
@@ -153,13 +150,17 @@ def move_paths(files: DataFrame, plan: DataFrame) -> DataFrame:
     """Replace the folder part of each file path by its new folder."""
     p = plan.select("folder", "new_folder")
     j = files.join(p, "folder", "left")
-    return j.withColumn("new_path", F.concat(F.coalesce("new_folder", "folder"), F.lit("/"), F.col("file_name")))
+    return j.withColumn("new_path", F.concat_ws(
+        "/", F.when(F.coalesce("new_folder", "folder") != "", F.coalesce("new_folder", "folder")), F.col("file_name")))
 
 
 # J8
 def lookup_or_default(seg: DataFrame, model_segments: DataFrame) -> DataFrame:
     """Model segment per folder when the reply named it (sanitised), else the heuristic segment."""
-    m = model_segments.groupBy("folder").agg(F.first("new_segment", ignorenulls=True).alias("_m"))
+    # the earliest reply (by its call and position columns) that names the folder wins
+    order = [c for c in model_segments.columns if c not in ("folder", "new_segment")] + ["new_segment"]
+    m = (model_segments.filter(F.col("new_segment").isNotNull()).groupBy("folder")
+         .agg(F.min_by("new_segment", F.struct(*order)).alias("_m")))
     j = seg.join(m, "folder", "left")
     return (j.withColumn("source", F.when(F.col("_m").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")))
              .withColumn("segment", F.when(F.col("_m").isNotNull(), T.sanitize_segment(F.col("_m")))

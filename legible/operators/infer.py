@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
+from legible.session import cut_lineage
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
 NAMES_MAX_TOKENS = 4096       # max_tokens of a rename request
@@ -43,8 +44,8 @@ DOC_RULES = {"en": "Write a one-sentence Javadoc summary for the code below. Rep
              "zh": "为下面的代码写一句 Javadoc 摘要，只回复这句话。"}
 TRANSIENT = "(?i)(timeout|timed out|429|rate limit|502|503|504|connection reset|temporar)"
 
-REPLY_SCHEMA = ("array<struct<kind:string,type:string,old:string,`from`:string,key:string,name:string,"
-                "new:string,`to`:string,value:string,rename:string>>")
+REPLY_SCHEMA = ("array<struct<kind:string,type:string,old:string,oldName:string,`from`:string,key:string,name:string,"
+                "new:string,newName:string,`to`:string,value:string,rename:string>>")
 WRAPPED_SCHEMA = "struct<renames:%s,items:%s>" % (REPLY_SCHEMA, REPLY_SCHEMA)
 
 
@@ -194,13 +195,15 @@ def batch_infer(prompts: DataFrame, provider: Callable[[list[str]], list[str]],
 # I6
 def retry_failed(results: DataFrame, prompts: DataFrame, provider, key_cols: list[str], rounds: int = 1,
                  prompt_col: str = "prompt", policy: RetryPolicy | None = None) -> DataFrame:
-    """Re-run rows whose error looks transient, ``rounds`` times; finished rows are kept as they are."""
+    """Re-run rows whose error looks transient, ``rounds`` times; finished rows are kept as they are.
+
+    Every round's replies are written before they are read, so no later action calls the model again."""
     cur = results
     for _ in range(rounds):
         failed = cur.filter(F.col("error").isNotNull() & F.col("error").rlike(TRANSIENT)).select(*key_cols)
         redo = prompts.join(failed, key_cols, "left_semi")
-        again = batch_infer(redo, provider, key_cols, prompt_col, policy=policy)
-        cur = cur.join(failed, key_cols, "left_anti").unionByName(again)
+        again = cut_lineage(batch_infer(redo, provider, key_cols, prompt_col, policy=policy))
+        cur = cut_lineage(cur.join(failed, key_cols, "left_anti").unionByName(again))
     return cur
 
 
@@ -229,8 +232,8 @@ def parse_suggestions(replies: DataFrame, key_cols: list[str], reply_col: str =
         F.coalesce(F.col("_w.renames"), F.col("_w.items")))
     x = p.select(*key_cols, F.posexplode(arr).alias("pos", "it"))
     kind = F.coalesce(F.col("it.kind"), F.col("it.type"))
-    old = F.coalesce(F.col("it.old"), F.col("it.from"), F.col("it.key"), F.col("it.name"))
-    new = F.coalesce(F.col("it.new"), F.col("it.to"), F.col("it.value"), F.col("it.rename"))
+    old = F.coalesce(F.col("it.old"), F.col("it.oldName"), F.col("it.from"), F.col("it.key"), F.col("it.name"))
+    new = F.coalesce(F.col("it.new"), F.col("it.newName"), F.col("it.to"), F.col("it.value"), F.col("it.rename"))
     return (x.select(*key_cols, F.col("pos").cast("bigint").alias("pos"), kind.alias("kind"), old.alias("old"),
                      new.alias("new"))
              .filter(F.col("kind").isNotNull() & F.col("old").isNotNull() & F.col("new").isNotNull()))

@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from legible.operators.util import join_nulls
+from legible.session import cut_lineage
+
 
 def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
@@ -26,26 +29,22 @@ def dense_seq(df: DataFrame, group_cols: list[str], order_cols: list, out: str =
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = list(group_cols)
-    ranged = df.repartitionByRange(n, *_cols(keys + list(order_cols))).withColumn(
-        "_pid", F.spark_partition_id())
+    # written once: range bounds are sampled anew by every plan that holds the exchange, so the counts and
+    # the rows must read one and the same partitioning
+    ranged = cut_lineage(df.repartitionByRange(n, *_cols(keys + list(order_cols))).withColumn(
+        "_pid", F.spark_partition_id()))
     # numbering inside one range partition: a (partition, group) piece is bounded by the partition size
     local = ranged.withColumn(
         "_local", F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*_cols(order_cols))) - 1)
-    counts = local.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = ranged.groupBy("_pid", *keys).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.withColumn(
         "_off", F.coalesce(F.sum("_n").over(
             Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return (local.join(offsets.select("_pid", *keys, "_off"), ["_pid", *keys])
+    return (join_nulls(local, offsets.select("_pid", *keys, "_off"), ["_pid", *keys])
                  .withColumn(out, (F.col("_off") + F.col("_local")).cast("bigint"))
                  .drop("_pid", "_local", "_off"))
 
 
-def row_seq(df: DataFrame, group_cols: list[str], order_cols: list, out: str = "seq") -> DataFrame:
-    """Plain window numbering for inputs whose groups are known to be bounded (e.g. one file)."""
-    w = Window.partitionBy(*group_cols).orderBy(*_cols(order_cols))
-    return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-
-
 def fixed_slices(df: DataFrame, group_cols: list[str], order_cols: list, size: int,
                  out: str = "slice_no") -> DataFrame:
     """Consecutive chunks of ``size`` rows per group (12 docs, 100 folders, 300 files)."""

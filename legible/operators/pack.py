@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from legible.functions.text import approx_tokens
 from legible.operators.order import dense_seq
+from legible.operators.util import join_nulls
 from legible.session import checkpoint_dir, cut_lineage
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
@@ -122,7 +123,7 @@ def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token
 
     if max_n <= small_group_max:
         assigned = _fold_small_groups(items, keys, budget, max_items)
-        return (base.join(assigned, [*keys, "_seq"]).withColumn("tokens", F.col("_tok"))
+        return (join_nulls(base, assigned, [*keys, "_seq"]).withColumn("tokens", F.col("_tok"))
                     .drop("_seq", "_tok"))
 
     checkpoint_dir(spark)
@@ -133,14 +134,14 @@ def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token
     path = items.filter(F.col("seq") == 0).select(*keys, "seq", F.lit(0).cast("bigint").alias("dist"))
     for r in range(rounds):
         step = 1 << r
-        moved = (path.join(jump, [*keys, "seq"])
+        moved = (join_nulls(path, jump, [*keys, "seq"])
                      .select(*keys, F.col("j").alias("seq"), (F.col("dist") + step).alias("dist")))
         # distances 0..2^r-1 and 2^r..2^(r+1)-1 are disjoint: a plain union, no dedup shuffle;
         # the terminal node (seq == n) has no jump entry, so nothing moves past a group's end
         path = path.unionByName(moved)
         if r + 1 < rounds:
             j2 = jump.alias("a").join(jump.alias("b"),
-                                      [F.col("a." + k) == F.col("b." + k) for k in keys] +
+                                      [F.col("a." + k).eqNullSafe(F.col("b." + k)) for k in keys] +
                                       [F.col("a.j") == F.col("b.seq")], "left")
             jump = j2.select(*[F.col("a." + k).alias(k) for k in keys], F.col("a.seq").alias("seq"),
                              F.coalesce(F.col("b.j"), F.col("a.j")).alias("j"))
@@ -149,10 +150,10 @@ def pack_by_budget(df: DataFrame, group_cols: list[str], order_cols: list, token
         if r + 1 < rounds:
             jump = cut_lineage(jump)
 
-    starts = path.join(nxt, [*keys, "seq"])            # drops the terminal node (seq == n)
+    starts = join_nulls(path, nxt, [*keys, "seq"])     # drops the terminal node (seq == n)
     members = starts.select(*keys, F.col("dist").alias("batch_no"), F.col("seq").alias("_start"),
                             F.explode(F.sequence(F.col("seq"), F.col("nxt") - 1)).alias("_seq"))
-    out = (base.join(members, [*keys, "_seq"])
+    out = (join_nulls(base, members, [*keys, "_seq"])
                .withColumn("pos", (F.col("_seq") - F.col("_start")).cast("bigint"))
                .withColumn("tokens", F.col("_tok"))
                .drop("_seq", "_start", "_tok"))

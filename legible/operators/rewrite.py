@@ -79,10 +79,21 @@ def rewrite_with_map(text, m: Column, keys: list[str] | None = None) -> tuple[Co
     return F.when(t.isNull(), F.lit(None)).otherwise(new), hits
 
 
+def token_rules(rules: DataFrame, old_col: str = "old_key", new_col: str = "new_name") -> DataFrame:
+    """One rule per identifier key."""
+    order = [F.col(c) for c in ("prio", new_col) if c in rules.columns]
+    return (rules.filter(F.col(old_col).rlike("^[%s]+$" % IDENT_CLASS) & F.col(new_col).isNotNull())
+            .groupBy(old_col).agg(F.min_by(new_col, F.struct(*order)).alias(new_col)))
+
+
 # A6 + A8
 def rewrite_tokens(files: DataFrame, rules: DataFrame, key: str = "doc_id", text_col: str = "text",
                    old_col: str = "old_key", new_col: str = "new_name") -> DataFrame:
-    """Add ``new_text`` and ``n_replacements`` (true token hits) to ``files``."""
+    """Add ``new_text`` and ``n_replacements`` (true token hits) to ``files``.
+
+    A rule's key is a whole identifier token; other keys match nothing.  Of several rules for a key the first by
+    ``prio`` (if the table has it), then by new name, holds.  Both are settled before the mapping's size picks a plan."""
+    rules = token_rules(rules, old_col, new_col)
     rows = bounded_collect(rules.select(old_col, new_col), MAP_LITERAL_MAX)
     if rows is not None:
         pairs = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None)
@@ -114,6 +125,7 @@ def count_replacements(files: DataFrame, rules: DataFrame, key: str = "doc_id",
 
     Small rule sets extract only the hits (one regex of the keys); large ones pre-aggregate all
     tokens per file and semi-join the rule table."""
+    rules = rules.filter(F.col(old_col).rlike("^[%s]+$" % IDENT_CLASS))
     rows = bounded_collect(rules.select(old_col).distinct(), MAP_LITERAL_MAX)
     if rows is not None:
         keys = [r[0] for r in rows if r[0] is not None]
@@ -167,17 +179,32 @@ def rewrite_cascade(text, rules: list[dict]) -> Column:
     return out
 
 
-def class_rules(mapping: DataFrame) -> list[dict]:
-    """A1 + A2 rules from class mapping rows (import line and simple class name)."""
-    rows = bounded_collect(mapping.filter(F.col("kind") == "class").select("old_key", "new_name", "prio"),
-                           CASCADE_MAX // 2)
-    if rows is None:
-        raise ValueError("too many class rules for the cascade form")
-    out = []
-    for r in rows:
-        out.append({"kind": "import", "old": r[0], "new": r[1], "prio": r[2]})
-        out.append({"kind": "class", "old": r[0].split(".")[-1], "new": r[1].split(".")[-1], "prio": r[2]})
-    return out
+WHOLE_IMPORT = r"^[ \t]*import[ \t]+([A-Za-z_$][\w$]*(?:\.[\w$]+)*)[ \t]*;[ \t]*\r?$"
+
+
+# A1
+def rewrite_imports(files: DataFrame, class_map: DataFrame, key: str = "rel_path", text_col: str = "text") -> DataFrame:
+    """``import old;`` lines -> new FQN (whole-line match) for any number of class rules: add ``new_text`` and
+    ``n_imports``.  Import lines are looked up by name; only changed lines go back to their file."""
+    first = (class_map.groupBy(F.col("old_key").alias("_old"))
+             .agg(F.min_by("new_name", F.struct("prio", "new_name")).alias("_new")))
+    lines = files.select(key, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line"))
+    named = lines.select(key, "ln", F.regexp_extract("line", WHOLE_IMPORT, 1).alias("_old")).filter(F.col("_old") != "")
+    changed = named.join(first, "_old").groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("ln", "_new"))).alias("_chg"), F.count(F.lit(1)).cast("bigint").alias("n_imports"))
+    j = files.join(changed, key, "left")
+    new = F.array_join(F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.when(
+        F.col("_chg")[i].isNotNull(), F.concat(F.lit("import "), F.col("_chg")[i], F.lit(";"))).otherwise(l)), "\n")
+    return (j.withColumn("new_text", F.when(F.col("_chg").isNull(), F.col(text_col)).otherwise(new))
+             .withColumn("n_imports", F.coalesce("n_imports", F.lit(0).cast("bigint"))).drop("_chg"))
+
+
+# A2
+def rewrite_class_names(files: DataFrame, class_map: DataFrame, key: str = "rel_path", text_col: str = "text") -> DataFrame:
+    """Simple class names as whole tokens, for any number of class rules: add ``new_text`` and ``n_replacements``."""
+    simple = class_map.select(F.substring_index("old_key", ".", -1).alias("old_key"),
+                              F.substring_index("new_name", ".", -1).alias("new_name"), "prio")
+    return rewrite_tokens(files, simple, key, text_col)
 
 
 # Owner-scoped rules (method and field), keyed by the owner's FQN

@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
+def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the left side's key columns stay."""
+    r = right.withColumnsRenamed({k: "_right_" + k for k in keys})
+    on = [left[k].eqNullSafe(r["_right_" + k]) for k in keys]
+    return left.join(r, on, how).drop(*["_right_" + k for k in keys])
+
+
 def bounded_rows(df: DataFrame, limit: int) -> int:
     """Exact row count if it is <= ``limit``, else ``limit + 1`` (never scans past the bound)."""
     return df.limit(limit + 1).count()

@@ -67,7 +67,7 @@ cands0 AS (SELECT folder, regexp_replace(folder, '/?[^/]*$', '') AS parent, %(pk
 cands AS (SELECT * FROM cands0
           WHERE NOT regexp_matches(pkg, '^(androidx?|com\.google|org|kotlinx?|java|javax|sun)\b')
             AND regexp_full_match(lower(leaf), '([a-z]{1,2}[0-9]*|[a-z][0-9]+|ui[0-9]+|controls[0-9]+)')
-          ORDER BY folder LIMIT 1000),
+          ),
 names AS (SELECT folder, name FROM (
             SELECT f.folder, f.name, row_number() OVER (PARTITION BY f.folder ORDER BY f.name) AS rn
             FROM files f WHERE f.folder IN (SELECT folder FROM cands)) WHERE rn <= 40),
@@ -130,6 +130,11 @@ def q_suspicious_folders(spark, d):
     return _cands(spark, d).select("folder", "parent", "pkg", "leaf")
 
 
+@register("limit_candidates", SQL_FILES + " SELECT folder, parent, pkg, leaf FROM cands ORDER BY folder LIMIT 1000")
+def q_limit_candidates(spark, d):
+    return FO.limit_candidates(_cands(spark, d)).select("folder", "parent", "pkg", "leaf")
+
+
 @register("top_token_per_group", SQL_FILES + " SELECT folder, token, cnt FROM top")
 def q_top_token_per_group(spark, d):
     files = _files(spark, d)

@@ -108,10 +108,13 @@ def q_pack_by_budget(spark, d):
 
 
 @register("fixed_slices", """
-SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 12)::BIGINT AS slice_no
+SELECT doc_id, lang, ((row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1) // 12)::BIGINT AS slice_no,
+       length(text)::BIGINT AS n_text
 FROM documents""")
 def q_fixed_slices(spark, d):
-    return fixed_slices(docs(spark, d, "doc_id", "lang"), ["lang"], ["doc_id"], 12).select("doc_id", "lang", "slice_no")
+    # the text travels along as payload
+    return fixed_slices(docs(spark, d, "doc_id", "lang", "text"), ["lang"], ["doc_id"], 12).select(
+        "doc_id", "lang", "slice_no", F.length("text").cast("bigint").alias("n_text"))
 
 
 # ============================================================ prompts

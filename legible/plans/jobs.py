@@ -20,6 +20,7 @@ from legible.operators import rewrite as R
 from legible.operators import suggest as S
 from legible.operators.heuristics import heuristic_doc
 from legible.operators.order import dense_seq
+from legible.operators.util import join_nulls
 from legible.operators.pack import MAX_ITEMS, TOKEN_BUDGET, pack_by_budget
 from legible.session import cut_lineage
 
@@ -62,12 +63,11 @@ def suggest_job(units: DataFrame, opts: Options = Options()) -> DataFrame:
         replies = cut_lineage(I.batch_infer(prompts, opts.provider, ["_grp", "batch_no"], concurrency=opts.concurrency))
         if opts.retries:
             replies = I.retry_failed(replies, prompts, opts.provider, ["_grp", "batch_no"], rounds=opts.retries)
-        # submission order = (group, batch): the distinct groups get a dense rank by range partitioning
-        # (no single-partition window, however many packages there are)
-        groups = dense_seq(prompts.select("_grp").distinct().withColumn("_one", F.lit(0)), ["_one"], ["_grp"],
-                           out="_gr").drop("_one")
-        ranked = replies.join(groups, "_grp").withColumn(
-            "batch_id", (F.col("_gr") * F.lit(1 << 24) + F.col("batch_no")).cast("bigint"))
+        # submission order = (group, batch): a dense rank by range partitioning (no single-partition window, and
+        # numbers that leave room for the position however many packages there are)
+        calls = dense_seq(prompts.select("_grp", "batch_no").distinct().withColumn("_one", F.lit(0)), ["_one"],
+                          ["_grp", "batch_no"], out="batch_id").drop("_one")
+        ranked = join_nulls(replies, calls, ["_grp", "batch_no"])
         sugg = I.parse_suggestions(ranked, ["batch_id"])
         mapping = S.suggestions_to_mapping(sugg, None, keys)
     restricted = S.restrict_to_allowed(mapping, keys)
@@ -76,13 +76,13 @@ def suggest_job(units: DataFrame, opts: Options = Options()) -> DataFrame:
 
 # L3
 def apply_job(files: DataFrame, mapping: DataFrame, key: str = "rel_path") -> DataFrame:
-    """Class rules as import + simple-name regex cascade (bounded), method/field rules in
-    their owner's file, short names by simultaneous token substitution."""
-    rules = S.effective_rules(mapping)
-    cls = R.class_rules(rules)
-    staged = files.withColumn("_t1", R.rewrite_cascade(F.col("text"), cls) if cls else F.col("text"))
-    owned = R.rewrite_owned(staged.withColumnRenamed("text", "_orig").withColumnRenamed("_t1", "text"), rules,
-                            path_col=key)
+    """Imports, then class names, method/field rules in their owner's file, short names; lookups, so any
+    number of rules.  The mapping is written once: several operators read it."""
+    rules = cut_lineage(S.effective_rules(mapping))
+    classes = rules.filter(F.col("kind") == "class")
+    staged = R.rewrite_imports(files, classes, key).drop("n_imports").withColumnRenamed("text", "_orig")
+    staged = R.rewrite_class_names(staged.withColumnRenamed("new_text", "text"), classes, key).drop("text", "n_replacements")
+    owned = R.rewrite_owned(staged.withColumnRenamed("new_text", "text"), rules, path_col=key)
     owned = owned.drop("text").withColumnRenamed("new_text", "_t2")
     simple = rules.filter(F.col("kind") == "simple").select("old_key", "new_name")
     out = R.rewrite_tokens(owned.withColumnRenamed("_t2", "text"), simple, key=key)

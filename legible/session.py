@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -53,7 +54,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     d = spark.conf.get(CHECKPOINT_CONF, None) or (sc.getCheckpointDir() if sc else None)
     if not d:
         master = sc.master if sc else spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", master):      # not local-cluster: its executors share no folder
             raise RuntimeError("set %s to a folder every executor can reach" % CHECKPOINT_CONF)
         d = tempfile.mkdtemp(prefix="legible-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, d)

@@ -26,21 +26,33 @@ def normalize_exts(exts: list[str]) -> list[str]:
 
 # S1 + S2 + S3 + S6
 def scan_files(spark: SparkSession, root: str, exts: list[str] = (".java",), exclude_globs: list[str] = ()) -> DataFrame:
-    """Recursive scan: ``path, rel_path, ext, text`` (whole file, UTF-8), unreadable files skipped.
+    """Recursive scan: ``path, rel_path, ext, text`` (whole file, UTF-8); unreadable files and files that are not
+    UTF-8 are skipped (see :func:`scan_rejects`)."""
+    df = _scan(spark, root, exts, exclude_globs)
+    return df.filter(F.is_valid_utf8("text")).select("path", "rel_path", "ext", "text")
 
-    The extension filter and the exclusion globs are predicates on the path column only
-    (``pathGlobFilter`` is not used because it cannot express a set of extensions case-insensitively)."""
-    allow = normalize_exts(list(exts))
-    # binaryFile yields exactly one row per file (empty files included) with its path; the bytes
-    # are decoded JVM-side
+
+def scan_rejects(spark: SparkSession, root: str, exts: list[str] = (".java",), exclude_globs: list[str] = ()) -> DataFrame:
+    """Files of the scan whose bytes are not UTF-8: ``path, rel_path, ext, error``."""
+    df = _scan(spark, root, exts, exclude_globs)
+    return df.filter(~F.is_valid_utf8("text")).select("path", "rel_path", "ext", F.lit("not UTF-8").alias("error"))
+
+
+def ext_glob(exts: list[str]) -> str:
+    """A listing glob for a set of extensions in any case, so other files' bytes are never read."""
+    one = ["".join("[%s%s]" % (c.lower(), c.upper()) if c.isalpha() else c for c in e) for e in normalize_exts(list(exts))]
+    return "*" + one[0] if len(one) == 1 else "*{%s}" % ",".join(one)
+
+
+def _scan(spark: SparkSession, root: str, exts: list[str], exclude_globs: list[str]) -> DataFrame:
+    # binaryFile yields exactly one row per file (empty files included) with its path
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
-          .option("ignoreCorruptFiles", True).load(root))
-    df = df.select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text"))
+          .option("ignoreCorruptFiles", True).option("pathGlobFilter", ext_glob(exts)).load(root))
+    df = df.select(F.col("path"), F.col("content").cast("string").alias("text"))
     df = df.withColumn("rel_path", T.relative_path("path", root)).withColumn("ext", T.ext_of("rel_path"))
-    df = df.filter(F.col("ext").isin(*allow))
     if exclude_globs:
         df = df.filter(~T.excluded_by("rel_path", list(exclude_globs)))
-    return df.select("path", "rel_path", "ext", "text")
+    return df
 
 
 # S4

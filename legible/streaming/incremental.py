@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from legible.operators import rewrite as R
-from legible.session import checkpoint_dir
+from legible.session import checkpoint_dir, cut_lineage
 
 
 def stream_parquet(spark: SparkSession, source_dir: str, schema, glob: str | None = None,
@@ -42,7 +42,8 @@ def stream_source_files(spark: SparkSession, root: str, glob: str = "*.java") ->
 def incremental_rewrite(stream: DataFrame, mapping: DataFrame, sink: str, checkpoint: str, key: str,
                         text_col: str = "text", old_col: str = "old_key", new_col: str = "new_name"):
     """Start the incremental rewrite and wait until every available file is processed."""
-    rules = mapping.select(F.col(old_col).alias("old_key"), F.col(new_col).alias("new_name"))
+    # written before the stream starts: a micro-batch reads rules, it never computes them
+    rules = cut_lineage(mapping.select(F.col(old_col).alias("old_key"), F.col(new_col).alias("new_name")))
 
     def per_batch(batch: DataFrame, epoch_id: int):
         out = R.rewrite_tokens(batch, rules, key=key, text_col=text_col)

@@ -75,7 +75,7 @@ def test_end_to_end_offline(spark):
 
 def test_package_of_and_effective_rules(spark):
     df = spark.createDataFrame([("// c\n  package a.b.c ;\nclass X {}",), ("class Y {}",)], "t string")
-    assert [r[0] for r in df.select(E.package_of("t")).collect()] == ["a.b.c ", ""]
+    assert [r[0] for r in df.select(E.package_of("t")).collect()] == ["a.b.c", ""]
     from legible.operators.suggest import effective_rules
     m = spark.createDataFrame([("simple", "a", "a"), ("simple", "b", " "), ("simple", "c", "d"),
                                ("method", "noowner", "x"), ("method", "p.C#m(..)", "run"), ("field", "p.C#f", "g")],
@@ -87,7 +87,7 @@ def test_package_of_and_effective_rules(spark):
 def test_package_refactor_job_matches_query(spark):
     import __spark_entry__ as ENTRY
     from legible.plans.catalog_folders import page_files
-    from conftest import SF001
+    SF001 = "/root/testdata/sf0.01"
     moved, pm = J.package_refactor_job(page_files(spark, SF001))
     got = sorted((r.page_id, r.new_path, r.new_text) for r in moved.select("page_id", "new_path", "new_text").collect())
     want = sorted(map(tuple, ENTRY.queries()["full_refactor_paths"](spark, SF001).select(
@@ -122,7 +122,7 @@ def test_overwrite_docs_and_saved_replies(spark):
 
 def test_package_line_normalisation_flag(spark):
     from legible.plans.catalog_folders import page_files
-    from conftest import SF001
+    SF001 = "/root/testdata/sf0.01"
     moved, _ = J.package_refactor_job(page_files(spark, SF001), normalize_all=True)
     rows = moved.select("new_text", "new_folder", "folder").collect()
     from legible.functions import text as T  # noqa: F401
