@@ -20,6 +20,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,7 +54,27 @@ class Vocabulary:
             self.parts.append(pair)
             if len(t) > 1:
                 self.joined[pair] = i
-        self.fits = lru_cache(1 << 20)(self._fits)
+        self.fits = lru_cache(1 << 18)(self._fits)
+
+    def last_token(self, data: bytes, last, i: int) -> int:
+        """Last token of prefix ``i`` (``i >= 1``), given those of all shorter prefixes: the only token that ends
+        there and may follow the last token of the prefix before it."""
+        rank, fits, j = self.rank.get, self.fits, i - 1
+        low = max(0, i - self.longest)
+        while j >= low:
+            t = rank(data[j:i])
+            if t is not None and (j == 0 or fits(last[j], t)):
+                return t
+            j -= 1
+        raise ValueError("a byte has no token")
+
+    def back(self, data: bytes, last) -> list[int]:
+        """Follow the last tokens from the end."""
+        out, i, tokens = [], len(data), self.tokens
+        while i:
+            out.append(last[i])
+            i -= len(tokens[last[i]])
+        return out[::-1]
 
     def _last_merge(self, token: bytes, below: int) -> tuple[int, int]:
         """The two tokens left when every merge of a rank under ``below`` has been made in ``token``."""
@@ -88,20 +109,11 @@ class PrefixTable:
         self.vocab, self.data, self.last = vocab, b"", array("i", [-1])
         self.append(data)
 
-    def _token(self, data: bytes, last: array, i: int) -> int:
-        """Last token of prefix ``i`` (``i >= 1``), given those of all shorter prefixes."""
-        rank, fits = self.vocab.rank, self.vocab.fits
-        for n in range(min(i, self.vocab.longest), 0, -1):
-            t = rank.get(data[i - n:i])
-            if t is not None and (i == n or fits(last[i - n], t)):
-                return t
-        raise ValueError("a byte has no token")
-
     def append(self, more: bytes) -> None:
         start = len(self.data) + 1
         self.data += more
         for i in range(start, len(self.data) + 1):
-            self.last.append(self._token(self.data, self.last, i))
+            self.last.append(self.vocab.last_token(self.data, self.last, i))
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` for bytes ``start:end``; returns how many entries were computed anew."""
@@ -110,7 +122,7 @@ class PrefixTable:
         last = old[:start + 1]
         same, i = 0, start + 1
         while i <= len(data):
-            last.append(self._token(data, last, i))
+            last.append(self.vocab.last_token(data, last, i))
             # a full longest-token length of unchanged entries after the edit: all later ones are unchanged too
             same = same + 1 if i > start + len(new) and last[i] == old[i - shift] else 0
             if same >= self.vocab.longest and i - start - len(new) >= 2 * self.vocab.longest:
@@ -121,18 +133,18 @@ class PrefixTable:
         return min(i, len(data)) - start
 
     def ids(self) -> list[int]:
-        out, i = [], len(self.data)
-        while i:
-            t = self.last[i]
-            out.append(t)
-            i -= len(self.vocab.tokens[t])
-        return out[::-1]
+        return self.vocab.back(self.data, self.last)
 
 
 def encode_bytes(vocab: Vocabulary, data: bytes) -> list[int]:
     """ids of one match of the pattern."""
     whole = vocab.rank.get(data)
-    return [whole] if whole is not None else PrefixTable(vocab, data).ids()
+    if whole is not None:
+        return [whole]
+    last, find = [-1], vocab.last_token
+    for i in range(1, len(data) + 1):
+        last.append(find(data, last, i))
+    return vocab.back(data, last)
 
 
 def _encoder(tokens: list[bytes], pattern: str):
@@ -146,26 +158,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``<id_col>, ids array<int>``: one row per input row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    text_batches(spark)
+    text_batches(spark, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = process_memo(shared.value, pattern, _encoder)
         for b in batches:
-            found = [memo.ids(t or "") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(found)], ["_id", "ids"])
+            flat, ends = memo.ids([t or b"" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(flat, ends)], ["_id", "ids"])
 
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     return src.mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
-def id_lists(found: list[bytes]) -> pa.ListArray:
-    """id bytes of the rows of a batch as one Arrow list column."""
-    ends = [0]
-    for f in found:
-        ends.append(ends[-1] + len(f) // 4)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()),
-                                    pa.Array.from_buffers(pa.int32(), ends[-1], [None, pa.py_buffer(b"".join(found))]))
+def id_lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    """ids of the rows of a batch as one Arrow list column."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -175,10 +183,11 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     keep = [c for c in encoded.columns if c != out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value
+        tokens = np.array(shared.value, object)
         for b in batches:
             lists = b.column(keep.index(ids_col))
-            made = [b"".join(map(tokens.__getitem__, x)) if x else b"" for x in lists.to_pylist()]
+            found, ends = tokens[lists.values.to_numpy()], lists.offsets.to_numpy()
+            made = [b"".join(found[s:e].tolist()) for s, e in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], [*keep, out_col])
 
     src = encoded.select(*keep)

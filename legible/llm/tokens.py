@@ -31,8 +31,10 @@ from tokenizers import Tokenizer
 
 from legible.llm.bpe import id_lists
 from legible.llm.common import partitions, shared_dir, text_batches
-from legible.llm.units import process_memo
+from legible.llm.units import plain, process_memo
 
+#: New units that are encoded in one string.
+JOINED = 50
 #: Bytes of a row group and rows of a page: what one selective read has to touch at least.
 ROW_GROUP, PAGE_ROWS = 16 << 20, 200
 
@@ -44,7 +46,28 @@ def _library(description: str, _: str):
     tok.encode_special_tokens = True
     tok.no_truncation()
     tok.no_padding()
-    return lambda texts: [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    size = tok.get_vocab_size(with_added_tokens=True)
+    blank = np.array([(tok.id_to_token(i) or "").startswith("\u0120") for i in range(size)])  # how byte-level files write a blank
+
+    def each(units: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(units, add_special_tokens=False)]
+
+    def encode(units: list[str]) -> list[bytes]:
+        # units of one blank and a word are encoded many in a string: their ids part again where a token begins with a blank
+        inline = [u for u in units if plain(u)]
+        rows = [inline[i:i + JOINED] for i in range(0, len(inline), JOINED)]
+        known = {}
+        for us, e in zip(rows, tok.encode_batch_fast(["".join(us) for us in rows], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            cuts = [*(np.flatnonzero(blank[ids]) * 4).tolist(), len(ids) * 4]
+            data = ids.tobytes()
+            if len(cuts) == len(us) + 1:
+                known.update(zip(us, [data[s:e] for s, e in zip(cuts, cuts[1:])]))
+        other = [u for u in units if u not in known]
+        known.update(zip(other, each(other)))
+        return [known[u] for u in units]
+
+    return encode
 
 
 def encode_with_library(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int | None) -> DataFrame:
@@ -60,16 +83,16 @@ def encode_with_library(docs: DataFrame, tokenizer_path: str, id_col: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, done = process_memo(shared.value, "library", _library), TaskContext.get().partitionId(), 0
         for b in batches:
-            found = [memo.ids(t or "") + end for t in b.column(1).to_pylist()]
-            n = np.array([len(f) // 4 for f in found], np.int64)
-            starts = done + np.cumsum(n) - n
-            done += int(n.sum())
+            flat, ends = memo.ids([t or b"" for t in b.column(1).to_pylist()], end)
+            n = np.diff(ends)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(starts), pa.array(n), id_lists(found)],
+                [b.column(0), pa.array(np.full(len(n), part, np.int64)), pa.array(done + ends[:-1]), pa.array(n), id_lists(flat, ends)],
                 ["_id", "part", "part_start", "n_tokens", "ids"])
+            done += int(ends[-1])
+        pa.default_memory_pool().release_unused()
 
-    text_batches(spark)
-    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    text_batches(spark, 2000)
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     ranged = src.repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id", "_text")
     return ranged.mapInArrow(run, f"_id {kind}, part bigint, part_start bigint, n_tokens bigint, ids array<int>")
@@ -79,7 +102,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
                  end_id: int | None = 0) -> None:
     """Encode ``docs`` and write the files of the format to ``path`` (any store Spark can write)."""
     out = encode_with_library(docs, tokenizer_path, id_col, text_col, end_id).withColumnRenamed("_id", id_col)
-    w = out.write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0")
+    w = out.write.option("compression", "snappy").option("parquet.writer.version", "PARQUET_2_0")
     w = w.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
     for c in (id_col, "part", "part_start", "n_tokens"):
         w = w.option(f"parquet.enable.dictionary#{c}", "false")
@@ -108,7 +131,7 @@ def id_crc32(tokens: DataFrame, ids_col: str = "ids", out_col: str = "ids_crc32"
         for b in batches:
             lists = b.column(len(keep))
             flat, ends = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
-            crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(ends[:-1], ends[1:])]
+            crc = [zlib.crc32(flat[s:e]) for s, e in zip(ends[:-1], ends[1:])]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], [*keep, out_col])
 
     src = tokens.select(*keep, ids_col)
