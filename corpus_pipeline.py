@@ -31,7 +31,9 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the rules' posterior keep."""
-    return quality_rules(_rows(docs), id_col="row").filter("kept").select("row.*")
+    key = F.struct(F.col("doc_id").alias("_of"), F.xxhash64("text").alias("_k"))
+    kept = quality_rules(docs.select(key.alias("row"), "text"), id_col="row").filter("kept").select("row.*").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_of"]) & (F.xxhash64(docs["text"]) == kept["_k"]), "left_semi")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,7 +47,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     and computes the plan a single time (``checkpoint()`` computes it twice)."""
     path = f"{shared_dir(df.sparkSession)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(t.stage_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -10,7 +10,8 @@ bands, so a set signs for the instance of its own band and for the next one.
 ``n1`` partitions, each into ``n2`` pieces, and all subsets of ``n2 - k2`` pieces of a partition are
 enumerated; a signature is the hash of the set's shingles in the subset.  With ``n1 > k / (k2 + 1)`` some
 partition holds at most k2 differing pieces, so linked sets share a signature.  ``slack`` more partitions
-than needed let a set leave out its empty projections unless it has more than ``slack`` of them.
+than needed let a set leave out its empty (at thresholds under 85: also its one-shingle) projections unless it
+has more than ``slack`` of them.
 
 *Candidates.*  Signatures held by one set only are dropped.  Sets of a small bucket are paired.  In a crowded
 bucket (a large family of near copies) pairing all would be quadratic: its sets are joined further on the
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legible.llm.common import mix, partitions, shingles, stage, text_batches, word_hashes
+from legible.llm.common import mix, partitions, shingles, stage, text_batches, unstage, word_hashes
 from legible.llm.components import components
 
 #: Members up to which a signature's bucket is paired directly.
@@ -47,6 +48,9 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.tops = percent, [0]
+        # a projection of fewer shingles than this is left out like an empty one: at low thresholds partitions are
+        # small, and one common shingle alone would make a bucket
+        self.weak = 1 if percent >= 85 else 2
 
     def of(self, size: int) -> int:
         """Band number (1, 2, ...) of a set size."""
@@ -62,7 +66,7 @@ class Bands:
         if k == 0:
             return 1, 1, 0, 0
         k2 = 1 if k <= ENUMERATE else 0
-        slack = 1 + k // 32
+        slack = 1 + (k // 32 if self.weak == 1 or k2 else k * 16 // 100)
         return -(-(k + 1) // (k2 + 1)) + slack, 3 if k2 else 1, k2, slack
 
 
@@ -83,7 +87,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         else:  # all subsets of n2 - 1 pieces: the partition without one piece
             sums, count = sums.reshape(n1, n2), count.reshape(n1, n2)
             sums, count = sums.sum(1, dtype=np.uint64, keepdims=True) - sums, count.sum(1, keepdims=True) - count
-        full = count > 0
+        full = count >= (bands.weak if n2 == 1 and n1 > 1 else 1)
         if (~full).any(1).sum() > slack:
             full[:] = True
         which = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
@@ -172,15 +176,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .withColumn("_min", F.min("hi").over(own)).withColumn("_max", F.max("hi").over(own))
         .filter("_min < _max").select("sig", "hi", "lo").distinct(), "near-shared")
     held = shared.select("hi", "lo").distinct()
-    wanted = classes.join(held, ["hi", "lo"])
+    wanted = stage(classes.join(held, ["hi", "lo"]), "near-wanted")
     sets = stage(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
                  .mapInArrow(collect, "hi bigint, lo bigint, shingles array<bigint>").dropDuplicates(["hi", "lo"])
                  .select(_node(), "shingles"), "near-sets")
 
-    pairs, crowd = _first_pairs(shared, sets, percent)
+    pairs, crowd, buckets = _first_pairs(shared, sets, percent)
     links = stage(verified(pairs, sets, percent), "near-links")
+    unstage(shared, buckets)
     if crowd is not None:
         links = links.union(stage(verified(_late_pairs(crowd, components(links), percent), sets, percent), "near-links"))
+        unstage(crowd)
+    unstage(sets)
     label = components(links)
     named = wanted.select(_node(), "rep").join(label, "node")
     names = named.join(named.groupBy("label").agg(F.min("rep").alias("component")), "label").select("node", "component")
@@ -191,9 +198,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("component", "_id").alias("component_id")))
 
 
-def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Pairs of small buckets and, for sets of crowded buckets, pairs with the centres of their rare-shingle groups;
-    the rare-shingle rows too (None without crowded buckets)."""
+    the rare-shingle rows (None without crowded buckets) and the sized buckets too."""
     sized = stage(shared.select("sig", _node()).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "near-buckets")
     # at most SMALL nodes a list; equal lists (one family shares many signatures) count once
     lists = (sized.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list("node")).alias("l"))
@@ -202,7 +209,7 @@ def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
         F.slice("l", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
     crowded = sized.filter(F.col("m") > SMALL).select("node").distinct()
     if crowded.limit(1).count() == 0:
-        return pairs.distinct(), None
+        return pairs.distinct(), None, sized
 
     tokens = sets.join(crowded, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
@@ -214,7 +221,7 @@ def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
     crowd = stage(ranked.filter((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0))), "near-crowd")
     centre = crowd.groupBy("t").agg(F.max(F.struct("central", "node")).alias("c")).select("t", F.col("c.node").alias("c"))
     star = crowd.join(centre, "t").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
-    return pairs.union(star).distinct(), crowd
+    return pairs.union(star).distinct(), crowd, sized
 
 
 def _late_pairs(crowd: DataFrame, label: DataFrame, percent: int) -> DataFrame:

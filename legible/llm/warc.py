@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from legible.llm.common import shared_dir, text_batches
+from legible.llm.common import shared_dir, stage, text_batches
 
 #: Fixed values of the format.
 VERSION = "WARC/1.1\r\n"
@@ -69,6 +69,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     src = src.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
     again = (src.filter(F.col("size") >= least).groupBy("digest").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("m"))
              .filter("m > 1 and first is not null").select(F.col("digest").alias("_d"), "first"))
+    again = stage(again, "warc-again")
     if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
     src = src.join(again, src["digest"] == again["_d"], "left")
@@ -166,6 +167,7 @@ def captured_pages(captures: DataFrame) -> DataFrame:
         F.when(F.col("type") == "revisit", F.regexp_extract("http", r"(?im)^content-length:\s*(\d+)", 1).cast("long"))
         .otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
         F.when(F.col("type") == "revisit", F.col("payload_digest")).otherwise(base32_sha1(F.col("payload"))).alias("payload_digest"))
+    rows = stage(rows, "warc-rows")  # numbers only; the archives are read and assembled once
     heads = rows.filter("record_type = 'response'").select(F.col("record_id").alias("_rid"), F.col("page_id").alias("refers_to")).dropDuplicates(["_rid"])
     later = rows.filter("record_type = 'revisit'")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
