@@ -10,8 +10,7 @@ bands, so a set signs for the instance of its own band and for the next one.
 ``n1`` partitions, each into ``n2`` pieces, and all subsets of ``n2 - k2`` pieces of a partition are
 enumerated; a signature is the hash of the set's shingles in the subset.  With ``n1 > k / (k2 + 1)`` some
 partition holds at most k2 differing pieces, so linked sets share a signature.  ``slack`` more partitions
-than needed let a set leave out its empty (at thresholds under 85: also its one-shingle) projections unless it
-has more than ``slack`` of them.
+than needed let a set leave out its empty projections unless it has more than ``slack`` of them.
 
 *Candidates.*  Signatures held by one set only are dropped.  Sets of a small bucket are paired.  In a crowded
 bucket (a large family of near copies) pairing all would be quadratic: its sets are joined further on the
@@ -48,9 +47,6 @@ class Bands:
 
     def __init__(self, percent: int):
         self.percent, self.tops = percent, [0]
-        # a projection of fewer shingles than this is left out like an empty one: at low thresholds partitions are
-        # small, and one common shingle alone would make a bucket
-        self.weak = 1 if percent >= 85 else 2
 
     def of(self, size: int) -> int:
         """Band number (1, 2, ...) of a set size."""
@@ -66,7 +62,7 @@ class Bands:
         if k == 0:
             return 1, 1, 0, 0
         k2 = 1 if k <= ENUMERATE else 0
-        slack = 1 + (k // 32 if self.weak == 1 or k2 else k * 16 // 100)
+        slack = 1 + (k // 32 if self.percent >= 85 else k * 12 // 100)  # lower thresholds: smaller partitions, more of them empty
         return -(-(k + 1) // (k2 + 1)) + slack, 3 if k2 else 1, k2, slack
 
 
@@ -87,7 +83,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         else:  # all subsets of n2 - 1 pieces: the partition without one piece
             sums, count = sums.reshape(n1, n2), count.reshape(n1, n2)
             sums, count = sums.sum(1, dtype=np.uint64, keepdims=True) - sums, count.sum(1, keepdims=True) - count
-        full = count >= (bands.weak if n2 == 1 and n1 > 1 else 1)
+        full = count > 0
         if (~full).any(1).sum() > slack:
             full[:] = True
         which = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
