@@ -36,9 +36,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BROADCAST_ROWS = 100_000
 
 
-def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1 (five hex digits are four base32 digits)."""
-    digits = F.sha1(data.cast("binary"))
+def base32(digits: Column) -> Column:
+    """Upper-case base32 of 40 hex digits (five hex digits are four base32 digits)."""
 
     def four(i: Column) -> Column:
         v = F.conv(F.substring(digits, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -66,13 +65,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Three records per row to gzip files below ``path``."""
     src = pages.select(F.col(id_col).alias("_id"), F.regexp_replace(F.coalesce(url_col, F.lit("")), r"[\r\n]", "").alias("uri"),
                        F.coalesce(payload_col, F.lit("")).alias("payload"))
-    src = src.withColumn("digest", base32_sha1(F.col("payload"))).withColumn("size", F.octet_length("payload"))
-    again = (src.filter(F.col("size") >= least).groupBy("digest").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("m"))
-             .filter("m > 1 and first is not null").select(F.col("digest").alias("_d"), "first"))
+    src = src.withColumn("hex", F.sha1(F.col("payload").cast("binary"))).withColumn("size", F.octet_length("payload"))
+    again = (src.filter(F.col("size") >= least).groupBy("hex").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("m"))
+             .filter("m > 1 and first is not null").select(F.col("hex").alias("_d"), "first"))
     again = stage(again, "warc-again")
     if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         again = F.broadcast(again)
-    src = src.join(again, src["digest"] == again["_d"], "left")
+    src = src.join(again, src["hex"] == again["_d"], "left").withColumn("digest", base32(F.col("hex")))
     revisit = F.col("first").isNotNull() & ~F.col("_id").eqNullSafe(F.col("first"))
     uri, rid = F.col("uri"), _urn(F.lit("response"), F.col("_id"), F.col("digest"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
@@ -166,7 +165,7 @@ def captured_pages(captures: DataFrame) -> DataFrame:
         "record_id", F.when(page != "", page).cast("long").alias("page_id"), F.col("type").alias("record_type"), F.col("refers_to").alias("_to"),
         F.when(F.col("type") == "revisit", F.regexp_extract("http", r"(?im)^content-length:\s*(\d+)", 1).cast("long"))
         .otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(F.col("type") == "revisit", F.col("payload_digest")).otherwise(base32_sha1(F.col("payload"))).alias("payload_digest"))
+        F.when(F.col("type") == "revisit", F.col("payload_digest")).otherwise(base32(F.sha1("payload"))).alias("payload_digest"))
     rows = stage(rows, "warc-rows")  # numbers only; the archives are read and assembled once
     heads = rows.filter("record_type = 'response'").select(F.col("record_id").alias("_rid"), F.col("page_id").alias("refers_to")).dropDuplicates(["_rid"])
     later = rows.filter("record_type = 'revisit'")
