@@ -54,7 +54,7 @@ class Vocabulary:
             self.parts.append(pair)
             if len(t) > 1:
                 self.joined[pair] = i
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
 
     def last_token(self, data: bytes, last, i: int) -> int:
         """Last token of prefix ``i`` (``i >= 1``), given those of all shorter prefixes: the only token that ends
@@ -158,7 +158,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """``<id_col>, ids array<int>``: one row per input row."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    text_batches(spark, 2000)
+    text_batches(spark, 800)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = process_memo(shared.value, pattern, _encoder)
