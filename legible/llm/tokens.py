@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from legible.llm.bpe import id_lists
@@ -95,7 +96,8 @@ def encode_with_library(docs: DataFrame, tokenizer_path: str, id_col: str, text_
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()
     ranged = src.repartitionByRange(partitions(spark), "_id").sortWithinPartitions("_id", "_text")
-    return ranged.mapInArrow(run, f"_id {kind}, part bigint, part_start bigint, n_tokens bigint, ids array<int>")
+    numbers = T.StructType.fromDDL(f"_id {kind}, part bigint, part_start bigint, n_tokens bigint")
+    return ranged.mapInArrow(run, numbers.add("ids", T.ArrayType(T.IntegerType(), False)))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -106,7 +108,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, id_col: str =
     w = w.option("parquet.block.size", ROW_GROUP).option("parquet.page.row.count.limit", PAGE_ROWS)
     for c in (id_col, "part", "part_start", "n_tokens"):
         w = w.option(f"parquet.enable.dictionary#{c}", "false")
-    w.parquet(path)
+    # lists without nulls as repeated values in place of groups: one call of the writer per id, not five
+    form = "spark.sql.parquet.writeLegacyFormat"
+    before = docs.sparkSession.conf.get(form)
+    docs.sparkSession.conf.set(form, "true")
+    try:
+        w.parquet(path)
+    finally:
+        docs.sparkSession.conf.set(form, before)
 
 
 def read_tokens(spark: SparkSession, path: str, *cols: str, where=None) -> DataFrame:
