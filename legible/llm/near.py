@@ -208,13 +208,14 @@ def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
         return pairs.distinct(), None, sized
 
     tokens = sets.join(crowded, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(often, "t")
+    # a shingle of one set only links nothing: such come first in a set's order, so their number is all that is needed
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per = Window.partitionBy("node")
-    ranked = ranked.select("node", "n", "t", "df", F.avg("df").over(per).alias("central"),
-                           (F.row_number().over(per.orderBy("df", "t")) - 1).alias("pos"))
-    # a set and any linked one share a shingle among the first n - need + 1; a shingle of one set only links nothing
-    crowd = stage(ranked.filter((F.col("df") > 1) & (F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0))), "near-crowd")
+    ranked = tokens.join(often, "t").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(per))
+    ranked = ranked.select("node", "n", "t", ((F.sum("df").over(per) + F.col("alone")) / F.col("n")).alias("central"),
+                           (F.col("alone") + F.row_number().over(per.orderBy("df", "t")) - 1).alias("pos"))
+    # a set and any linked one share a shingle among the first n - need + 1
+    crowd = stage(ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0)), "near-crowd")
     centre = crowd.groupBy("t").agg(F.max(F.struct("central", "node")).alias("c")).select("t", F.col("c.node").alias("c"))
     star = crowd.join(centre, "t").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     return pairs.union(star).distinct(), crowd, sized
