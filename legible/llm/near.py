@@ -108,7 +108,8 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _node() -> F.Column:
-    return F.concat_ws(":", "hi", "lo").alias("node")
+    """The 16 bytes of a set's digest."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo")])).alias("node")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
