@@ -16,7 +16,7 @@ than needed let a set leave out its empty projections unless it has more than ``
 bucket (a large family of near copies) pairing all would be quadratic: its sets are joined further on the
 rarest shingles of each set (a linked pair must share one early in rarest-first order).  First every set is compared with the most
 central set of its rare-shingle groups, which is linear; then only pairs whose sets are still in different
-components are formed.  All candidates are verified on the exact sets.
+components are formed.  All candidates are verified on the exact sets, after a bound by short marks.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle
 give the whole sequence as one shingle; equal sets are one class (never paired); null ids take part like any
@@ -40,6 +40,8 @@ from legible.llm.components import components
 SMALL = 8
 #: Distance bounds up to which subsets of pieces are enumerated (larger bounds use whole partitions).
 ENUMERATE = 6
+#: Bits of a set's mark.
+MARK = 2048
 
 
 class Bands:
@@ -112,13 +114,35 @@ def _node() -> F.Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo")])).alias("node")
 
 
+def _mark(s: np.ndarray) -> np.ndarray:
+    """``MARK`` bits of a set: those that its shingles' lowest bits name."""
+    bits = np.zeros(MARK, np.bool_)
+    bits[s & np.uint64(MARK - 1)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of nodes whose exact sets are similar enough."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+    """Pairs ``a, b`` of nodes whose exact sets are similar enough, as a staged table.
+
+    Marks go first, since whole sets are long: every bit that one mark alone has is a shingle that the other set
+    lacks, so the common shingles are at most the set's size less those bits.  Pairs that this bound cannot
+    exclude meet their exact sets."""
+    def enough(both: F.Column, n: F.Column) -> F.Column:
+        return 100 * both >= percent * (n - both)
+
+    def alone(x: str, y: str) -> F.Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
+
+    x = sets.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("mark").alias("_p"))
+    y = sets.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("mark").alias("_q"))
+    most = F.least(F.col("_n") - alone("_p", "_q"), F.col("_m") - alone("_q", "_p"))
+    able = stage(pairs.join(x, "a").join(y, "b").filter(enough(most, F.col("_n") + F.col("_m"))).select("a", "b"), "near-able")
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    return (pairs.join(left, "a").join(right, "b")
-            .filter(100 * both >= percent * (F.size("_x") + F.size("_y") - both)).select("a", "b"))
+    links = stage(able.join(x, "a").join(y, "b").filter(enough(both, F.size("_x") + F.size("_y"))).select("a", "b"), "near-links")
+    unstage(able)
+    return links
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
@@ -157,13 +181,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found, want = [], zip(b.column(1).to_pylist(), b.column(2).to_pylist())
             for s, w in zip(_sets(b.column(0).to_pylist(), n), want):
                 if _digest(s) == w:
-                    found.append((*w, s.view(np.int64)))
+                    found.append((*w, len(s), _mark(s), s.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
-                 pa.array([f[2] for f in found], pa.list_(pa.int64()))], ["hi", "lo", "shingles"])
+                [*(pa.array([f[k] for f in found], pa.int64()) for k in range(3)),
+                 *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (3, 4))], ["hi", "lo", "n", "mark", "shingles"])
 
     rows = stage(src.mapInArrow(describe, f"_id {kind}, n bigint, hi bigint, lo bigint"), "near-rows")
-    classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("rep"))
+    classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("rep"), F.min("n").alias("n"))
 
     # signatures that two different sets hold
     own = Window.partitionBy("sig")
@@ -175,14 +199,14 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = shared.select("hi", "lo").distinct()
     wanted = stage(classes.join(held, ["hi", "lo"]), "near-wanted")
     sets = stage(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
-                 .mapInArrow(collect, "hi bigint, lo bigint, shingles array<bigint>").dropDuplicates(["hi", "lo"])
-                 .select(_node(), "shingles"), "near-sets")
+                 .mapInArrow(collect, "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>").dropDuplicates(["hi", "lo"])
+                 .select(_node(), "n", "mark", "shingles"), "near-sets")
 
-    pairs, crowd, buckets = _first_pairs(shared, sets, percent)
-    links = stage(verified(pairs, sets, percent), "near-links")
+    pairs, crowd, buckets = _first_pairs(shared, wanted.select(_node(), "n"), sets, percent)
+    links = verified(pairs, sets, percent)
     unstage(shared, buckets)
     if crowd is not None:
-        links = links.union(stage(verified(_late_pairs(crowd, components(links), percent), sets, percent), "near-links"))
+        links = links.union(verified(_late_pairs(crowd, components(links), percent), sets, percent))
         unstage(crowd)
     unstage(sets)
     label = components(links)
@@ -195,20 +219,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce("component", "_id").alias("component_id")))
 
 
-def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def _first_pairs(shared: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Pairs of small buckets and, for sets of crowded buckets, pairs with the centres of their rare-shingle groups;
     the rare-shingle rows (None without crowded buckets) and the sized buckets too."""
-    sized = stage(shared.select("sig", _node()).withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))), "near-buckets")
+    sized = stage(shared.select("sig", _node()).join(sizes, "node").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))),
+                  "near-buckets")
     # at most SMALL nodes a list; equal lists (one family shares many signatures) count once
-    lists = (sized.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list("node")).alias("l"))
+    lists = (sized.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("l"))
              .select("l").distinct())
-    pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(
-        F.slice("l", i + 2, SMALL), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p")).select("p.a", "p.b")
+    pairs = lists.select(F.explode(F.flatten(F.transform("l", lambda x, i: F.transform(F.filter(
+        F.slice("l", i + 2, SMALL), lambda y: 100 * x["n"] >= percent * y["n"]),
+        lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))))).alias("p")).select("p.a", "p.b")
     crowded = sized.filter(F.col("m") > SMALL).select("node").distinct()
     if crowded.limit(1).count() == 0:
         return pairs.distinct(), None, sized
 
-    tokens = sets.join(crowded, "node", "left_semi").select("node", F.size("shingles").alias("n"), F.explode("shingles").alias("t"))
+    tokens = sets.join(crowded, "node", "left_semi").select("node", "n", F.explode("shingles").alias("t"))
     # a shingle of one set only links nothing: such come first in a set's order, so their number is all that is needed
     often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     per = Window.partitionBy("node")
@@ -217,8 +243,10 @@ def _first_pairs(shared: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
                            (F.col("alone") + F.row_number().over(per.orderBy("df", "t")) - 1).alias("pos"))
     # a set and any linked one share a shingle among the first n - need + 1
     crowd = stage(ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0)), "near-crowd")
-    centre = crowd.groupBy("t").agg(F.max(F.struct("central", "node")).alias("c")).select("t", F.col("c.node").alias("c"))
-    star = crowd.join(centre, "t").filter("node <> c").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+    centre = (crowd.groupBy("t").agg(F.max(F.struct("central", "node", "n")).alias("c"))
+              .select("t", F.col("c.node").alias("c"), F.col("c.n").alias("m")))
+    fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    star = crowd.join(centre, "t").filter((F.col("node") != F.col("c")) & fits).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
     return pairs.union(star).distinct(), crowd, sized
 
 
