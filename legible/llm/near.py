@@ -236,13 +236,14 @@ def _first_pairs(shared: DataFrame, sizes: DataFrame, sets: DataFrame, percent:
 
     tokens = sets.join(crowded, "node", "left_semi").select("node", "n", F.explode("shingles").alias("t"))
     # a shingle of one set only links nothing: such come first in a set's order, so their number is all that is needed
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    often = stage(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "near-often")
     per = Window.partitionBy("node")
     ranked = tokens.join(often, "t").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(per))
     ranked = ranked.select("node", "n", "t", ((F.sum("df").over(per) + F.col("alone")) / F.col("n")).alias("central"),
                            (F.col("alone") + F.row_number().over(per.orderBy("df", "t")) - 1).alias("pos"))
     # a set and any linked one share a shingle among the first n - need + 1
     crowd = stage(ranked.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * percent / 100.0)), "near-crowd")
+    unstage(often)
     centre = (crowd.groupBy("t").agg(F.max(F.struct("central", "node", "n")).alias("c"))
               .select("t", F.col("c.node").alias("c"), F.col("c.n").alias("m")))
     fits = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
