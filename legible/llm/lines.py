@@ -1,9 +1,10 @@
-"""Line dedup by winnowing over line hashes (DataFrame functions only).
+"""Line dedup over line hashes (DataFrame functions only).
 
-A line counts if it has a word; lines compare by their words.  Fingerprints of a document are the hashes of
-``min_lines`` consecutive lines, thinned by winnowing (of every ``window`` neighbouring ones the smallest stays, the
-last of equals), and the hash of every single line of ``min_words`` words or more.  So every repeated run of
-``min_lines + window - 1`` lines, and every repeated long line, shares a fingerprint with its first occurrence.
+A line counts if it has a word; lines compare by their words.  Fingerprints of a document are the hashes of every
+``min_lines`` consecutive lines and of every fewer lines with ``min_words`` words or more: each smallest stretch
+that can go has one, so every repeated stretch meets its own first occurrence.  ``window`` above 1 thins the hashes of
+``min_lines`` lines by winnowing (of every ``window`` neighbouring ones the smallest stays, the last of equals); then
+only repeated runs of ``min_lines + window - 1`` lines are sure to share a fingerprint.
 
 Each later position of a fingerprint is joined to the first one (in order of id and line), never to all others.
 The two documents are then laid side by side at that distance, the match is extended both ways, and every
@@ -35,6 +36,10 @@ def winnowed(hashes: Column, window: int) -> Column:
             F.get(hashes, i).alias("h"), (-i).alias("i"))))["i"]).cast("int"))))
 
 
+def _total(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _line_table(src: DataFrame, min_lines: int, min_words: int, window: int) -> DataFrame:
     """``_id, _k`` (text key), line hashes ``h``, words ``w`` and line numbers ``p`` of lines that count, and fingerprints ``f``."""
     df = src.select("_id", "_k", F.filter(F.transform(
@@ -46,14 +51,14 @@ def _line_table(src: DataFrame, min_lines: int, min_words: int, window: int) ->
         F.sequence(F.lit(1), F.size("h") - (min_lines - 1)), lambda i: F.xxhash64(F.lit("run"), F.slice("h", i, min_lines))))
         .otherwise(F.array().cast("array<bigint>")))
     run = F.transform(winnowed(F.col("g"), window), lambda i: F.struct(F.get("g", i).alias("f"), i.alias("i")))
-    long = F.transform(F.filter(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.cast("int").alias("i"))),
-                                lambda x: F.get("w", x["i"]) >= min_words),
-                       lambda x: F.struct(F.xxhash64(F.lit("line"), x["h"]).alias("f"), x["i"].alias("i")))
-    return df.select("_id", "_k", "h", "w", "p", F.concat(run, long).alias("f"))
+    heavy = [F.transform(F.filter(F.transform("h", lambda h, i: i.cast("int")), lambda i: (i + n <= F.size("h")) & (_total(
+        F.slice("w", i + 1, n)) >= min_words)), lambda i: F.struct(F.xxhash64(F.lit("line"), F.slice("h", i + 1, n)).alias("f"), i.alias("i")))
+        for n in range(1, max(min_lines, 2))]
+    return df.select("_id", "_k", "h", "w", "p", F.concat(run, *heavy).alias("f"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2,
-               min_words: int = 50, window: int = 2, carry: str | None = None) -> DataFrame:
+               min_words: int = 50, window: int = 1, carry: str | None = None) -> DataFrame:
     """Per input row: ``<id_col>, n_lines`` (that count), ``n_deleted, kept`` (the text without the deleted lines), and the
     whole input row as a struct ``carry`` if that is named."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_k"),
@@ -81,8 +86,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = F.filter(at, lambda i: same(i) & ~same(i - 1))
     ends = F.filter(at, lambda i: same(i) & ~same(i + 1))
     side = side.select("_id", "_k", "w", "p", F.arrays_zip(starts.alias("s"), ends.alias("e")).alias("r"))
-    enough = F.filter("r", lambda r: (r["e"] - r["s"] + 1 >= min_lines) | (F.aggregate(
-        F.slice("w", r["s"] + 1, r["e"] - r["s"] + 1), F.lit(0).cast("long"), lambda a, x: a + x) >= min_words))
+    enough = F.filter("r", lambda r: (r["e"] - r["s"] + 1 >= min_lines) | (
+        _total(F.slice("w", r["s"] + 1, r["e"] - r["s"] + 1)) >= min_words))
     gone = side.select("_id", "_k", F.explode(enough).alias("r"), "p").select(
         "_id", "_k", F.slice("p", F.col("r.s") + 1, F.col("r.e") - F.col("r.s") + 1).alias("g"))
     gone = gone.groupBy("_id", "_k").agg(F.array_distinct(F.flatten(F.collect_set("g"))).alias("gone")).select(
