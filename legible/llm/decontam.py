@@ -8,8 +8,10 @@ any set holding ``percent`` of the shingles of an item of its size class must ho
 classes it is large enough for; items with a sketch hash among its shingles are candidates, verified by
 counting the item's shingles in the document.  The search misses nothing.
 
-Scale: documents never move; the items go to all tasks in blocks of at most ``BLOCK`` shingles (the size is
-counted first), one pass over the documents for each block, however large the benchmark is.
+Scale: documents never move between tasks; the items go to all tasks in blocks of at most ``BLOCK`` shingles (counted
+while they are read), one pass over the documents for each block, however large the benchmark is.  The result of a
+block is staged, and its broadcast destroyed, before the next block is sent: a task runs one index, and the driver holds
+two blocks and one partition of the items at most.
 
 Edge cases: words are lower-cased (A-Z); null, empty and blank texts hold nothing and items without words
 are in nothing; an item shorter than a shingle is one shingle of its own length; items that repeat an id
@@ -23,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legible.llm.common import gram_hashes, text_batches, word_hashes
+from legible.llm.common import gram_hashes, stage, text_batches, unstage, word_hashes
 
 #: Shingles of items that are sent to the tasks at once (8 bytes each, and a few times that as Python objects).
 BLOCK = 1_000_000
@@ -105,9 +108,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                       F.lit(0.0).alias("best"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in src.schema)
 
-    def passed(df: DataFrame, block: list[tuple[object, bytes]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
+    def passed(df: DataFrame, shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value, n, percent)
             for b in batches:
@@ -122,8 +123,16 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
         return df.mapInArrow(run, schema)
 
+    shared = staged = None
     for block in _blocks(items, item_id, item_text):
-        src = passed(src, block)
+        if shared:  # one block lives at a time
+            before, staged = staged, stage(src, "decontam")
+            shared.destroy()
+            if before:
+                unstage(before)
+            src = staged
+        shared = spark.sparkContext.broadcast(block)
+        src = passed(src, shared)
     return src.select(F.col("_id").alias(id_col), F.sort_array("found").alias("item_ids"),
                       F.size("found").cast("long").alias("n_items"), F.col("best").alias("containment"),
                       (F.size("found") > 0).alias("contaminated"))
