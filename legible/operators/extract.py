@@ -98,8 +98,8 @@ def java_units(decls: DataFrame, flat_names: bool = False, naming_kinds=("class"
     return (u.withColumn("class_fqn", fqn)
              .withColumn("qualified_signature", sig)
              .withColumn("decl", decl)
+             .withColumn("strings", T.string_literals(F.col("code")))  # of the whole member; only the code is cut
              .withColumn("code", T.truncate_text(F.col("code")))
-             .withColumn("strings", T.string_literals(F.col("code")))
              .withColumn("unit_order", F.struct(F.col("file"), F.col("ordinal")))
              .withColumn("unit_kind", F.when(F.col("unit_kind") == "type", F.lit("class")).otherwise(F.col("unit_kind"))))
 

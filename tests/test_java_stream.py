@@ -106,3 +106,12 @@ def test_sample_shaped_fixture_expectations(spark):
     mapping = J.suggest_job(units)
     keys = [(r.kind, r.old_key) for r in mapping.collect()]
     assert len(keys) == len(set(keys))                              # one rule per (kind, key)
+
+
+def test_strings_past_the_cut_of_a_long_member(spark):
+    body = "".join("        int filler%05d = %d;\n" % (k, k) for k in range(600))
+    text = "package p;\nclass Long {\n    void f() {\n        String a = \"first\";\n%s        String z = \"last\";\n    }\n}\n" % body
+    _, units, _ = J.analyze_job(spark.createDataFrame([("p/Long.java", text)], "rel_path string, text string"))
+    f = units.filter(F.col("method_name") == "f").first()
+    assert len(body) > 12000 > len(f.code) - 100 and "last" not in f.code
+    assert f.strings == ["first", "last"]
