@@ -104,15 +104,19 @@ def rewrite_tokens(files: DataFrame, rules: DataFrame, key: str = "doc_id", text
 
 def rewrite_tokens_join(files: DataFrame, rules: DataFrame, key: str = "doc_id", text_col: str = "text",
                         old_col: str = "old_key", new_col: str = "new_name") -> DataFrame:
-    """Large-mapping form: explode tokens, join on token, rebuild each file in token order."""
-    toks = files.select(key, F.posexplode(tokens_of(text_col)).alias("p", "tok"))
+    """Large-mapping form: explode the tokens of every distinct text, join on token, rebuild each text in token order.
+
+    Texts are keyed by their digest, so a null or repeated ``key`` changes nothing and no other column is read."""
+    digest = F.sha2(F.col(text_col).cast("binary"), 256)
+    texts = files.select(digest.alias("_key"), F.col(text_col).alias("_of")).filter("_of is not null").dropDuplicates(["_key"])
+    toks = texts.select("_key", F.posexplode(tokens_of("_of")).alias("p", "tok"))
     r = rules.select(F.col(old_col).alias("tok"), F.col(new_col).alias("_new"))
     joined = toks.join(r, "tok", "left")
-    rebuilt = joined.groupBy(key).agg(
+    rebuilt = joined.groupBy("_key").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("_new", "tok").alias("t")))),
                                  lambda s: s["t"]), "").alias("new_text"),
         F.count("_new").cast("bigint").alias("n_replacements"))
-    out = files.join(rebuilt, key, "left")
+    out = files.withColumn("_key", digest).join(rebuilt, "_key", "left").drop("_key")
     return (out.withColumn("new_text", F.when(F.col(text_col).isNull(), F.lit(None))
                            .otherwise(F.coalesce("new_text", F.col(text_col))))
                .withColumn("n_replacements", F.coalesce("n_replacements", F.lit(0).cast("bigint"))))
