@@ -27,6 +27,14 @@ from legible.llm.common import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bounds of a level's prior strength (in labelled pages).
 WEAKEST, STRONGEST = 1.0, 1000.0
+#: Public suffixes of several labels (the common ones); hosts below any other suffix are cut at their last label.
+SUFFIXES = tuple(f"{a}.{c}" for c, kinds in {
+    "uk": "co org ac gov net me ltd plc sch nhs", "au": "com net org edu gov id asn", "nz": "co net org ac govt school",
+    "jp": "co ne or ac go ad ed gr lg", "kr": "co ne or ac go re", "br": "com net org gov edu", "ar": "com net org gob edu",
+    "mx": "com net org gob edu", "cn": "com net org gov edu ac", "tw": "com net org gov edu", "hk": "com net org gov edu",
+    "sg": "com net org gov edu", "my": "com net org gov edu", "in": "co net org gov ac edu firm gen ind", "id": "co net or go ac",
+    "th": "co in or go ac", "tr": "com net org gov edu", "za": "co net org gov ac", "il": "co net org gov ac", "ua": "com net org gov edu"}.items()
+    for a in kinds.split())
 
 
 def url_host(url: Column) -> Column:
@@ -47,13 +55,20 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str, str]],
     return out
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels (the host itself if it has fewer)."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Public suffix: the longest listed one, else the last label."""
+    out = F.substring_index(host, ".", -1)
+    for s in sorted(suffixes, key=lambda s: (s.count("."), s)):
+        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
+    return out
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Registered domain: the public suffix and the label before it (the host itself if it has none)."""
+    out = F.substring_index(host, ".", -2)
+    for s in sorted(suffixes, key=lambda s: (s.count("."), s)):
+        out = F.when((host == s) | host.endswith("." + s), F.substring_index(host, ".", -(s.count(".") + 2))).otherwise(out)
+    return out
 
 
 def _strength(children: DataFrame) -> float:
@@ -70,11 +85,12 @@ def _strength(children: DataFrame) -> float:
     return min(STRONGEST, max(WEAKEST, 1 / rho - 1)) if rho > 0 else STRONGEST
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """From ``host, bad`` (null: no label): ``host, n_labelled, rate, deviation`` of the posterior bad rate."""
     hosts = stage(outcomes.groupBy("host").agg(
         F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("k"), F.count("bad").alias("n")
-    ).select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "k", "n"), "url-hosts")
+    ).select("host", domain_of(F.col("host"), suffixes).alias("domain"),
+             suffix_of(F.col("host"), suffixes).alias("suffix"), "k", "n"), "url-hosts")
     domains = stage(hosts.groupBy("domain", "suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n")), "url-domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     all_ = suffixes.agg(F.sum("k").alias("k"), F.sum("n").alias("n")).first()
@@ -91,10 +107,10 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id",
                url_col: str = "url", label_id: str = "doc_id", bad: Column | None = None, limit: float = 0.5,
-               z: float = 2.0) -> DataFrame:
+               z: float = 2.0, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """Per input row: ``<id_col>, host, path, rule, verdict, bad_rate, bad_bound`` (posterior mean and lower bound).
 
-    ``bad``: outcome expression over ``labels`` (default: quality is 0 or toxic is 1)."""
+    ``suffixes``: public suffixes of several labels; ``bad``: outcome expression over ``labels`` (default: quality is 0 or toxic is 1)."""
     if bad is None:
         bad = F.when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), F.coalesce(F.col("quality") == 0, F.lit(False)) |
                      F.coalesce(F.col("toxic") == 1, F.lit(False)))
@@ -102,7 +118,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str,
     src = pages.select(F.col(id_col).alias("_id"), url_host(url).alias("host"), url_path(url).alias("path"))
     marks = labels.select(F.col(label_id).alias("_of"), bad.cast("int").alias("_bad")).groupBy("_of").agg(F.max("_bad").alias("_bad"))
     outcomes = src.join(marks, F.col("_id") == F.col("_of"), "left").select("host", F.col("_bad").alias("bad"))
-    known = reputation(outcomes).select("host", F.col("rate").alias("bad_rate"),
+    known = reputation(outcomes, suffixes).select("host", F.col("rate").alias("bad_rate"),
                                         F.greatest(F.lit(0.0), F.col("rate") - z * F.col("deviation")).alias("bad_bound"))
     judged = src.join(known, "host", "left")
     host, path = F.col("host"), F.col("path")
