@@ -85,8 +85,11 @@ def top_token_per_group(names: DataFrame) -> DataFrame:
 
 
 # G5 + T7
-def heuristic_segment(cands: DataFrame, files: DataFrame) -> DataFrame:
-    names = class_names_per_folder(files.join(cands.select("folder"), "folder", "left_semi"))
+def heuristic_segment(cands: DataFrame, files: DataFrame, k: int | None = None) -> DataFrame:
+    """Segment from the top token of all names of a folder, or (parity with the reference) of its first ``k`` names."""
+    names = files.join(cands.select("folder"), "folder", "left_semi").select("folder", "name")
+    if k is not None:
+        names = class_names_per_folder(names, k)
     top = top_token_per_group(names)
     return cands.join(top.select("folder", "token"), "folder", "left").withColumn(
         "segment", T.sanitize_segment(F.coalesce("token", F.lit(DEFAULT_SEGMENT)))).drop("token")

@@ -116,7 +116,7 @@ def _plan(spark, d):
     checkpoint_dir(spark)
     files = cut_lineage(_files(spark, d))   # the file table feeds five branches: materialise once
     cands = FO.suspicious_folders(files)
-    seg = FO.heuristic_segment(cands, files)
+    seg = FO.heuristic_segment(cands, files, FO.NAMES_PER_FOLDER)
     return FO.resolve_name_conflicts(seg, FO.existing_folders(files)), files
 
 
@@ -145,7 +145,7 @@ def q_top_token_per_group(spark, d):
 @register("heuristic_segment", SQL_FILES + " SELECT folder, segment FROM seg")
 def q_heuristic_segment(spark, d):
     files = _files(spark, d)
-    return FO.heuristic_segment(FO.suspicious_folders(files), files).select("folder", "segment")
+    return FO.heuristic_segment(FO.suspicious_folders(files), files, FO.NAMES_PER_FOLDER).select("folder", "segment")
 
 
 @register("resolve_name_conflicts", SQL_FILES + " SELECT folder, new_folder FROM plan")
@@ -253,7 +253,7 @@ FROM seg s LEFT JOIN model m USING (folder)""")
 def q_lookup_or_default(spark, d):
     files = _files(spark, d)
     cands = FO.suspicious_folders(files)
-    seg = FO.heuristic_segment(cands, files)
+    seg = FO.heuristic_segment(cands, files, FO.NAMES_PER_FOLDER)
     replies = _folder_replies(cands).withColumnRenamed("folder", "asked")
     parsed = I.parse_folder_segments(replies, ["asked"]).select("folder", "new_segment")
     return FO.lookup_or_default(seg, parsed).select("folder", "segment", "source")

@@ -108,14 +108,15 @@ def annotate_job(files: DataFrame, decls: DataFrame, opts: Options = Options(),
 
 
 # L5
-def package_refactor_job(files: DataFrame, normalize_all: bool = False) -> tuple[DataFrame, DataFrame]:
+def package_refactor_job(files: DataFrame, normalize_all: bool = False, names: int | None = None) -> tuple[DataFrame, DataFrame]:
     """files (folder, name, file_name, text) -> (rewritten files with new_path, package map).
 
     By default only moved folders get a new package line (Q17); ``normalize_all`` rewrites every
-    file's package line to its path-derived package, as the reference does."""
+    file's package line to its path-derived package, as the reference does.  A folder is named from all its
+    names, or from its first ``names`` (the reference: 40)."""
     files = cut_lineage(files)
     cands = FO.suspicious_folders(files)
-    plan = FO.resolve_name_conflicts(FO.heuristic_segment(cands, files), FO.existing_folders(files))
+    plan = FO.resolve_name_conflicts(FO.heuristic_segment(cands, files, names), FO.existing_folders(files))
     pm = FO.package_map(plan)
     rw = R.rewrite_import_prefix(files, pm, "page_id" if "page_id" in files.columns else "rel_path")
     moved = FO.move_paths(rw, plan)
