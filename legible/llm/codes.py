@@ -30,86 +30,99 @@ from legible.llm.common import stage
 EXACT = 1 << 53                 # integers that a double holds exactly
 
 
-def up(x: np.ndarray) -> np.ndarray:
-    return np.nextafter(np.nextafter(x, np.inf), np.inf)
+SLACK = 2.0 ** -40              # roots and ranges are widened by this share, far more than any rounding of theirs
 
 
-def down(x: np.ndarray) -> np.ndarray:
-    return np.nextafter(np.nextafter(x, -np.inf), -np.inf)
+def reach(*rows: np.ndarray) -> int:
+    """The largest component of either sign, as a Python integer."""
+    return max((max(abs(int(x.min())), abs(int(x.max()))) for x in rows if x.size), default=0)
 
 
-def squares(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact squared distances of the rows of two integer matrices."""
+def squares(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact squared distances of the rows of two integer matrices (len(p) x len(q)): whole doubles where they are exact."""
     if not len(q) or not len(p):
-        return np.zeros((len(q), len(p)), np.int64)
-    reach = max(abs(int(q.min())), abs(int(q.max()))) + max(abs(int(p.min())), abs(int(p.max())))
-    if q.shape[1] * reach * reach < EXACT:
-        a, b = q.astype(np.float64), p.astype(np.float64)
-        return ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)).astype(np.int64)
-    if q.shape[1] * reach * reach >= 1 << 63:
+        return np.zeros((len(p), len(q)))
+    bound = p.shape[1] * (2 * reach(p, q)) ** 2
+    if bound < EXACT:
+        a, b = p.astype(np.float64), q.astype(np.float64)
+        return _expanded(a, b, (a * a).sum(1), (b * b).sum(1))
+    if bound >= 1 << 63:
         raise ValueError("vector components too large: a squared distance needs more than 63 bits")
-    out = np.empty((len(q), len(p)), np.int64)
+    out = np.empty((len(p), len(q)), np.int64)
     for j in range(len(p)):
         d = q - p[j]
-        out[:, j] = (d * d).sum(1)
+        out[j] = (d * d).sum(1)
     return out
 
 
+def _expanded(a: np.ndarray, b: np.ndarray, aa: np.ndarray, bb: np.ndarray) -> np.ndarray:
+    d = a @ b.T
+    d *= -2
+    d += aa[:, None]
+    d += bb
+    return d
+
+
 class Gnat:
     """The tree over the rows of ``points``; ``nearest`` answers many queries at once."""
 
-    def __init__(self, points: np.ndarray, arity: int = 12):
+    def __init__(self, points: np.ndarray, arity: int = 16):
         self.points, self.arity = np.ascontiguousarray(points, np.int64), arity
         self.root = self._node(np.arange(len(points))) if len(points) else None
         self.tested = 0                                     # distances computed, for measurements
 
-    def _node(self, ids: np.ndarray) -> dict:
-        if len(ids) <= self.arity:
-            return {"ids": ids, "kids": []}
-        # split points far apart: each next one is the entry farthest from those chosen
-        chosen = [0]
-        gap = squares(self.points[ids], self.points[ids[:1]])[:, 0]
-        while len(chosen) < self.arity:
-            chosen.append(int(gap.argmax()))
-            gap = np.minimum(gap, squares(self.points[ids], self.points[ids[chosen[-1:]]])[:, 0])
-            gap[chosen] = -1
-        chosen = np.sort(np.array(chosen))
-        splits, rest = ids[chosen], np.delete(ids, chosen)
-        d = squares(self.points[rest], self.points[splits])
-        home, root = d.argmin(1), np.sqrt(d.astype(np.float64))
-        kids = []
-        for j in range(len(splits)):
-            of = home == j
-            if of.any():
-                kids.append((j, self._node(rest[of]), down(root[of].min(0)), up(root[of].max(0))))
-        return {"ids": splits, "kids": kids}
+    def _node(self, ids: np.ndarray, kids: tuple = ()) -> dict:
+        if len(ids) > self.arity:
+            # split points far apart: each next one is the entry farthest from those chosen
+            chosen = [0]
+            gap = squares(self.points[ids[:1]], self.points[ids])[0]
+            while len(chosen) < self.arity:
+                chosen.append(int(gap.argmax()))
+                gap = np.minimum(gap, squares(self.points[ids[chosen[-1:]]], self.points[ids])[0])
+                gap[chosen] = -1
+            chosen = np.sort(np.array(chosen))
+            ids, rest = ids[chosen], np.delete(ids, chosen)
+            d = squares(self.points[ids], self.points[rest])
+            home, root = d.argmin(0), np.sqrt(d.astype(np.float64))
+            kids = [(j, self._node(rest[home == j]), root[:, home == j].min(1)[:, None] * (1 - SLACK),
+                     root[:, home == j].max(1)[:, None] * (1 + SLACK)) for j in range(len(ids)) if (home == j).any()]
+        mine = self.points[ids].astype(np.float64)
+        return {"ids": ids, "kids": kids, "points": mine, "norms": (mine * mine).sum(1)}
 
     def nearest(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of each query's nearest entry."""
         best = np.full(len(q), np.iinfo(np.int64).max)
         index = np.zeros(len(q), np.int64)
         if self.root is not None and len(q):
-            self._visit(self.root, q, np.arange(len(q)), best, index)
+            whole = q.shape[1] * (2 * reach(q, self.points)) ** 2 < EXACT
+            x = q.astype(np.float64) if whole else q
+            self._visit(self.root, x, (x * x).sum(1) if whole else None, np.arange(len(q)), best, index)
         return index, best
 
-    def _visit(self, node: dict, q: np.ndarray, rows: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
+    def _visit(self, node: dict, q: np.ndarray, norms, rows: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
+        """``norms``: the queries' squared lengths where doubles are exact, else None."""
         if not len(rows):
             return
-        d = squares(q[rows], self.points[node["ids"]])
+        if norms is None:
+            d = squares(self.points[node["ids"]], q[rows])
+        else:
+            d = _expanded(node["points"], q[rows], node["norms"], norms[rows])
         self.tested += d.size
-        home = d.argmin(1)                                  # ids ascend, so the first minimum is the lowest index
-        least, which = d[np.arange(len(rows)), home], node["ids"][home]
-        wins = (least < best[rows]) | ((least == best[rows]) & (which < index[rows]))
+        home = d.argmin(0)                                  # ids ascend, so the first minimum is the lowest index
+        least, which = d[home, np.arange(len(rows))].astype(np.int64), node["ids"][home]
+        old = best[rows]
+        wins = (least < old) | ((least == old) & (which < index[rows]))
         best[rows[wins]], index[rows[wins]] = least[wins], which[wins]
         if not node["kids"]:
             return
-        root = np.sqrt(d.astype(np.float64))
         for j, kid, _, _ in node["kids"]:                   # the own child first: it gives a tight radius
-            self._visit(kid, q, rows[home == j], best, index)
+            self._visit(kid, q, norms, rows[home == j], best, index)
+        root = np.sqrt(d.astype(np.float64))
+        radius = np.sqrt(best[rows].astype(np.float64)) * (1 + SLACK)
+        inner, outer = root * (1 - SLACK) - radius, root * (1 + SLACK) + radius
         for j, kid, low, high in node["kids"]:
-            radius = up(np.sqrt(best[rows].astype(np.float64)))[:, None]
-            beyond = (down(down(root) - radius) > high) | (up(up(root) + radius) < low)
-            self._visit(kid, q, rows[(home != j) & ~beyond.any(1)], best, index)
+            beyond = (inner > high).any(0) | (outer < low).any(0)
+            self._visit(kid, q, norms, rows[(home != j) & ~beyond], best, index)
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
