@@ -1,11 +1,10 @@
 """Rewriting operators (A1-A14, J6, J10): apply a rename mapping to every file.
 
-Two execution shapes, chosen behind a checked size bound:
+Every form rewrites a text where it stands.  The size of the mapping only picks how a row learns its rules:
 
-* small mapping (<= ``MAP_LITERAL_MAX`` rules): the mapping becomes a literal map column and every
-  file is rewritten in place by a narrow projection — no shuffle at all, whole-stage codegen;
-* large mapping: tokens are exploded with their positions, left-joined to the mapping (AQE splits
-  hot tokens), and each file is rebuilt from its ordered tokens.  One file is one bounded group.
+* up to ``MAP_LITERAL_MAX`` rules: one alternation of the keys, a narrow projection in whole-stage codegen;
+* above: the row's distinct identifiers are looked up (``lookup.with_map``: a constant behind a measured bound,
+  beyond it a salted join that gives every row its own small map).
 """
 
 from __future__ import annotations
@@ -14,11 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions.text import IDENT_CLASS, fqn_from_path
+from legible.operators.lookup import let, with_map
+from legible.operators.spans import apply_spans, identifiers
 from legible.operators.util import bounded_collect
+from legible.session import cut_lineage
 
 MAP_LITERAL_MAX = 256        # rules inlined as a map literal (Spark map lookup is a linear scan)
 CASCADE_MAX = 200            # rules applied as a chain of regexp_replace (plan size grows per rule)
 
+IDENT_RUN = "[%s]+" % IDENT_CLASS
 TOKENS = "[%s]+|[^%s]+" % (IDENT_CLASS, IDENT_CLASS)   # identifier runs and the text between them
 KIND_ORDER = {"import": 0, "class": 1, "method": 2, "field": 3, "simple": 4}
 
@@ -99,27 +102,24 @@ def rewrite_tokens(files: DataFrame, rules: DataFrame, key: str = "doc_id", text
         pairs = sorted((r[0], r[1]) for r in rows if r[0] is not None and r[1] is not None)
         new, hits = rewrite_with_map(text_col, map_literal(pairs), [k for k, _ in pairs])
         return files.withColumn("new_text", new).withColumn("n_replacements", hits)
-    return rewrite_tokens_join(files, rules, key, text_col, old_col, new_col)
+    return rewrite_tokens_lookup(files, cut_lineage(rules), text_col, old_col, new_col)
 
 
-def rewrite_tokens_join(files: DataFrame, rules: DataFrame, key: str = "doc_id", text_col: str = "text",
-                        old_col: str = "old_key", new_col: str = "new_name") -> DataFrame:
-    """Large-mapping form: explode the tokens of every distinct text, join on token, rebuild each text in token order.
+def rewrite_tokens_lookup(files: DataFrame, rules: DataFrame, text_col: str = "text", old_col: str = "old_key",
+                          new_col: str = "new_name") -> DataFrame:
+    """Large-mapping form: the row's distinct identifiers -> one small map -> rewriting in place.
 
-    Texts are keyed by their digest, so a null or repeated ``key`` changes nothing and no other column is read."""
-    digest = F.sha2(F.col(text_col).cast("binary"), 256)
-    texts = files.select(digest.alias("_key"), F.col(text_col).alias("_of")).filter("_of is not null").dropDuplicates(["_key"])
-    toks = texts.select("_key", F.posexplode(tokens_of("_of")).alias("p", "tok"))
-    r = rules.select(F.col(old_col).alias("tok"), F.col(new_col).alias("_new"))
-    joined = toks.join(r, "tok", "left")
-    rebuilt = joined.groupBy("_key").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.coalesce("_new", "tok").alias("t")))),
-                                 lambda s: s["t"]), "").alias("new_text"),
-        F.count("_new").cast("bigint").alias("n_replacements"))
-    out = files.withColumn("_key", digest).join(rebuilt, "_key", "left").drop("_key")
-    return (out.withColumn("new_text", F.when(F.col(text_col).isNull(), F.lit(None))
-                           .otherwise(F.coalesce("new_text", F.col(text_col))))
-               .withColumn("n_replacements", F.coalesce("n_replacements", F.lit(0).cast("bigint"))))
+    No key column is used and no separator, position or token leaves its row."""
+    mapped = with_map(files, identifiers(F.col(text_col)), rules, "_map", old_col, new_col)
+
+    def both(m):
+        return let(tokens_of(text_col), lambda ts: F.struct(
+            F.array_join(F.transform(ts, lambda x: F.coalesce(m[x], x)), "").alias("t"),
+            F.size(F.filter(ts, lambda x: m[x].isNotNull())).cast("bigint").alias("n")))
+    same = F.struct(F.col(text_col).alias("t"), F.lit(0).cast("bigint").alias("n"))
+    done = F.when(F.col(text_col).isNull() | (F.size("_map") == 0), same).otherwise(let(F.col("_map"), both))
+    out = mapped.withColumn("_done", done)
+    return out.select(*files.columns, F.col("_done.t").alias("new_text"), F.col("_done.n").alias("n_replacements"))
 
 
 # A8 per rule
@@ -183,70 +183,27 @@ def rewrite_cascade(text, rules: list[dict]) -> Column:
     return out
 
 
-WHOLE_IMPORT = r"^[ \t]*import[ \t]+([A-Za-z_$][\w$]*(?:\.[\w$]+)*)[ \t]*;[ \t]*\r?$"
-
-
 # A1
-def rewrite_imports(files: DataFrame, class_map: DataFrame, key: str = "rel_path", text_col: str = "text") -> DataFrame:
-    """``import old;`` lines -> new FQN (whole-line match) for any number of class rules: add ``new_text`` and
-    ``n_imports``.  Import lines are looked up by name; only changed lines go back to their file."""
-    first = (class_map.groupBy(F.col("old_key").alias("_old"))
-             .agg(F.min_by("new_name", F.struct("prio", "new_name")).alias("_new")))
-    lines = files.select(key, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line"))
-    named = lines.select(key, "ln", F.regexp_extract("line", WHOLE_IMPORT, 1).alias("_old")).filter(F.col("_old") != "")
-    changed = named.join(first, "_old").groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("ln", "_new"))).alias("_chg"), F.count(F.lit(1)).cast("bigint").alias("n_imports"))
-    j = files.join(changed, key, "left")
-    new = F.array_join(F.transform(F.split(F.col(text_col), "\n", -1), lambda l, i: F.when(
-        F.col("_chg")[i].isNotNull(), F.concat(F.lit("import "), F.col("_chg")[i], F.lit(";"))).otherwise(l)), "\n")
-    return (j.withColumn("new_text", F.when(F.col("_chg").isNull(), F.col(text_col)).otherwise(new))
-             .withColumn("n_imports", F.coalesce("n_imports", F.lit(0).cast("bigint"))).drop("_chg"))
+def rewrite_imports(files: DataFrame, class_map: DataFrame, text_col: str = "text") -> DataFrame:
+    """``import old;`` lines -> new FQN (whole-line match; the line end stays) for any number of class rules: add
+    ``new_text`` and ``n_imports``."""
+    out = apply_spans(files, class_map.withColumn("kind", F.lit("class")), text_col=text_col, kinds=("import",))
+    return out.withColumnRenamed("n_replacements", "n_imports").drop("hits")
 
 
 # A2
-def rewrite_class_names(files: DataFrame, class_map: DataFrame, key: str = "rel_path", text_col: str = "text") -> DataFrame:
+def rewrite_class_names(files: DataFrame, class_map: DataFrame, text_col: str = "text") -> DataFrame:
     """Simple class names as whole tokens, for any number of class rules: add ``new_text`` and ``n_replacements``."""
-    simple = class_map.select(F.substring_index("old_key", ".", -1).alias("old_key"),
-                              F.substring_index("new_name", ".", -1).alias("new_name"), "prio")
-    return rewrite_tokens(files, simple, key, text_col)
-
-
-# Owner-scoped rules (method and field), keyed by the owner's FQN
-def owner_rules(mapping: DataFrame) -> DataFrame:
-    """``owner, old_name, pattern, repl`` for method keys (``owner#m(..)`` or ``owner.m(T,..)``)
-    and field keys (``owner#f``)."""
-    key = F.col("old_key")
-    has_hash = F.instr(key, "#") > 0
-    head = F.regexp_replace(key, "\\(.*$", "")
-    owner = F.when(has_hash, F.substring_index(key, "#", 1)).otherwise(F.regexp_replace(head, "\\.[^.]*$", ""))
-    name = F.when(has_hash, F.regexp_replace(F.substring_index(key, "#", -1), "\\(.*$", "")) \
-        .otherwise(F.substring_index(head, ".", -1))
-    name = F.trim(name)
-    quoted = F.concat(F.lit("\\Q"), F.replace(name, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    esc_new = F.regexp_replace(F.regexp_replace("new_name", "\\\\", "\\\\\\\\"), "\\$", "\\\\\\$")
-    is_method = F.col("kind") == "method"
-    pattern = F.when(is_method, F.concat(F.lit("(?<=\\W)"), quoted, F.lit("\\s*\\("))) \
-        .otherwise(F.concat(F.lit("(?<![%s])" % IDENT_CLASS), quoted, F.lit("(?![%s])" % IDENT_CLASS)))
-    repl = F.when(is_method, F.concat(esc_new, F.lit("("))).otherwise(esc_new)
-    return (mapping.filter(F.col("kind").isin("method", "field"))
-            .select(owner.alias("owner"), name.alias("old_name"), "new_name", "prio",
-                    pattern.alias("pattern"), repl.alias("repl"))
-            .filter((F.col("owner") != "") & (F.col("old_name") != "")))
-
-
-# A3 + A4
-def rewrite_owned(files: DataFrame, mapping: DataFrame, path_col: str = "rel_path",
-                  text_col: str = "text", owner_col: Column | None = None) -> DataFrame:
-    """Apply method/field rules only in the file whose path-derived FQN is the owner."""
-    rules = owner_rules(mapping)
-    per_owner = rules.groupBy("owner").agg(
-        F.array_sort(F.collect_list(F.struct("prio", "pattern", "repl"))).alias("_rules"))
+    return apply_spans(files, class_map.withColumn("kind", F.lit("class")), text_col=text_col, kinds=("class",)).drop("hits")
+
+
+# A3 + A4 (rules keyed by their owner, J6: ``spans.owner_members``)
+def rewrite_owned(files: DataFrame, mapping: DataFrame, path_col: str = "rel_path", text_col: str = "text",
+                  owner_col: Column | None = None) -> DataFrame:
+    """Method and field rules only in the file whose path-derived FQN is the owner: add ``owner``, ``new_text`` and
+    ``n_replacements``."""
     own = owner_col if owner_col is not None else fqn_from_path(path_col)
-    f = files.withColumn("owner", own)
-    j = f.join(per_owner, "owner", "left")
-    new = F.aggregate(F.coalesce("_rules", F.array().cast(per_owner.schema["_rules"].dataType)),
-                      F.col(text_col), lambda acc, r: F.regexp_replace(acc, r["pattern"], r["repl"]))
-    return j.withColumn("new_text", new).drop("_rules")
+    return apply_spans(files, mapping, path_col, text_col, own, ("method", "field")).drop("hits").withColumn("owner", own)
 
 
 # A9
@@ -258,37 +215,49 @@ def rewrite_package_line(text, new_pkg) -> Column:
 
 
 IMPORT_LINE = "^\\s*import\\s+(?:static\\s+)?([A-Za-z_$][\\w$]*(?:\\.[\\w$*]+)*)"
+IMPORT_HEAD = "^\\s*import\\s+(static\\s+)?"
+
+
+def _import_name(line: Column) -> Column:
+    return F.when(F.contains(line, F.lit("import")), F.regexp_extract(line, IMPORT_LINE, 1)).otherwise(F.lit(""))
+
+
+def _prefixes(name: Column) -> Column:
+    """Proper dotted prefixes of an imported name: ``a.b.C`` -> ``a``, ``a.b``."""
+    return let(F.split(name, "\\."), lambda parts: F.when(F.size(parts) > 1, F.transform(
+        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).otherwise(
+            F.array().cast("array<string>")))
 
 
 # A10
-def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``import oldPkg.`` -> ``import newPkg.`` at line start, for any size of package map.
-
-    Import lines are exploded with their line number, every dotted prefix of the imported name
-    is joined to the map (the earliest map entry wins, as in the reference's ordered map), and
-    only the changed lines travel back to their file, where they are spliced by line number."""
-    lines = files.select(key, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("ln", "line"))
-    imp = lines.withColumn("name", F.regexp_extract("line", IMPORT_LINE, 1)).filter(F.col("name") != "")
-    parts = F.split("name", "\\.")
-    prefixes = imp.select(key, "ln", "line", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("old_pkg"))
-    pm = pkg_map.select("old_pkg", "new_pkg", F.col("prio").alias("_prio"))
-    hit = prefixes.join(pm, "old_pkg")
-    best = hit.groupBy(key, "ln").agg(F.min_by(F.struct("line", "old_pkg", "new_pkg"), F.col("_prio")).alias("b"))
-    # ``import static`` lines are handled too (the keyword is kept)
-    pat = F.concat(F.lit("^\\s*import\\s+(static\\s+)?"), F.lit("\\Q"), F.col("b.old_pkg"), F.lit("\\E\\."))
-    safe_new = F.regexp_replace(F.regexp_replace(F.col("b.new_pkg"), "\\\\", "\\\\\\\\"), "\\$", "\\\\\\$")
-    changed = best.select(key, "ln", F.regexp_replace(F.col("b.line"), pat,
-                                                      F.concat(F.lit("import $1"), safe_new, F.lit(".")))
-                          .alias("new_line"))
-    per_file = changed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("ln", "new_line"))).alias("_chg"),
-                                        F.count(F.lit(1)).cast("bigint").alias("n_import_changes"))
-    j = files.join(per_file, key, "left")
-    new = F.array_join(F.transform(F.split(F.col(text_col), "\n", -1),
-                                   lambda l, i: F.coalesce(F.col("_chg")[i], l)), "\n")
-    return (j.withColumn("new_text", F.when(F.col("_chg").isNull(), F.col(text_col)).otherwise(new))
-             .withColumn("n_import_changes", F.coalesce("n_import_changes", F.lit(0).cast("bigint")))
-             .drop("_chg"))
+def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str | None = None, text_col: str = "text") -> DataFrame:
+    """``import oldPkg.`` -> ``import newPkg.`` at line start, for any size of package map: add ``new_text`` and
+    ``n_import_changes``.
+
+    Every dotted prefix of the imported names in a row is looked up in the row; of several that are mapped the earliest
+    map entry (by ``prio``) wins.  ``import static`` lines are handled too (the keyword is kept).  ``key`` is not used."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    asked = F.array_distinct(F.flatten(F.transform(F.coalesce(lines, F.array().cast("array<string>")), lambda ln: _prefixes(_import_name(ln)))))
+    rules = (pkg_map.filter("old_pkg is not null and new_pkg is not null")
+             .groupBy("old_pkg").agg(F.min(F.struct("prio", "new_pkg")).alias("rule")))
+    mapped = with_map(files, asked, cut_lineage(rules), "_pk", "old_pkg", "rule")
+
+    def renamed(line: Column, best: Column) -> Column:
+        head = F.length(F.regexp_extract(line, IMPORT_HEAD, 0)) + F.length(best["old"])
+        return F.concat(F.lit("import "), F.regexp_extract(line, IMPORT_HEAD, 1), best["new"], F.substr(line, head + 1))
+
+    def one(m):
+        def line(ln):
+            found = F.filter(F.transform(_prefixes(_import_name(ln)), lambda p: F.struct(
+                m[p]["prio"].alias("prio"), p.alias("old"), m[p]["new_pkg"].alias("new"))), lambda z: z["new"].isNotNull())
+            return let(F.array_min(found), lambda b: F.struct(F.when(b.isNull(), ln).otherwise(renamed(ln, b)).alias("t"), b.isNotNull().alias("hit")))
+        return let(F.transform(F.split(F.col(text_col), "\n", -1), line), lambda ls: F.struct(
+            F.array_join(F.transform(ls, lambda z: z["t"]), "\n").alias("t"), F.size(F.filter(ls, lambda z: z["hit"])).cast("bigint").alias("n")))
+
+    same = F.struct(F.col(text_col).alias("t"), F.lit(0).cast("bigint").alias("n"))
+    done = F.when(F.col(text_col).isNull() | (F.size("_pk") == 0), same).otherwise(let(F.col("_pk"), one))
+    out = mapped.withColumn("_done", done)
+    return out.select(*files.columns, F.col("_done.t").alias("new_text"), F.col("_done.n").alias("n_import_changes"))
 
 
 # Splice sorted, non-overlapping spans into a text

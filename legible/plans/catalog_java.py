@@ -103,7 +103,7 @@ SELECT file AS rel_path,
   replace(replace(replace(tmpl, '{G}', CASE WHEN owned THEN gguess ELSE 'get' || c0 END),
                   '{S}', CASE WHEN owned THEN 'process' ELSE 'set' || c1 END),
           '{H}', CASE WHEN owned THEN 'add' WHEN nn IS NOT NULL AND nn <> short THEN nn ELSE short END) AS new_text,
-  (CASE WHEN NOT owned AND nn IS NOT NULL AND nn <> short THEN 1 ELSE 0 END)::BIGINT AS n_replacements
+  (CASE WHEN owned THEN 3 WHEN nn IS NOT NULL AND nn <> short THEN 1 ELSE 0 END)::BIGINT AS n_replacements
 FROM ex""" % {"pool": pool}
 
 

@@ -20,6 +20,7 @@ from legible.operators import rewrite as R
 from legible.operators import suggest as S
 from legible.operators.heuristics import heuristic_doc
 from legible.operators.order import dense_seq
+from legible.operators.spans import apply_spans
 from legible.operators.util import join_nulls
 from legible.operators.pack import MAX_ITEMS, TOKEN_BUDGET, pack_by_budget
 from legible.session import cut_lineage
@@ -76,17 +77,10 @@ def suggest_job(units: DataFrame, opts: Options = Options()) -> DataFrame:
 
 # L3
 def apply_job(files: DataFrame, mapping: DataFrame, key: str = "rel_path") -> DataFrame:
-    """Imports, then class names, method/field rules in their owner's file, short names; lookups, so any
-    number of rules.  The mapping is written once: several operators read it."""
-    rules = cut_lineage(S.effective_rules(mapping))
-    classes = rules.filter(F.col("kind") == "class")
-    staged = R.rewrite_imports(files, classes, key).drop("n_imports").withColumnRenamed("text", "_orig")
-    staged = R.rewrite_class_names(staged.withColumnRenamed("new_text", "text"), classes, key).drop("text", "n_replacements")
-    owned = R.rewrite_owned(staged.withColumnRenamed("new_text", "text"), rules, path_col=key)
-    owned = owned.drop("text").withColumnRenamed("new_text", "_t2")
-    simple = rules.filter(F.col("kind") == "simple").select("old_key", "new_name")
-    out = R.rewrite_tokens(owned.withColumnRenamed("_t2", "text"), simple, key=key)
-    return out.drop("text").withColumnRenamed("_orig", "text")
+    """A1-A8 in one pass: imports, class names, members in their owner's file and short names are spans on the original
+    text (``spans.apply_spans``); adds ``new_text``, ``n_replacements`` (all kinds) and ``hits`` by kind.  The mapping is
+    written once: several lookups read it."""
+    return apply_spans(files, cut_lineage(S.effective_rules(mapping)), path_col=key)
 
 
 # L4

@@ -28,7 +28,7 @@ def test_rewrite_forms_agree_with_model(spark, docs, mapping):
     rules = spark.createDataFrame(list(mapping.items()) or [], "old_key string, new_name string")
     want = {i: model(t, mapping) for i, t in enumerate(docs)}
     small = {r.doc_id: r.new_text for r in R.rewrite_tokens(files, rules).collect()}
-    big = {r.doc_id: r.new_text for r in R.rewrite_tokens_join(files, rules).collect()}
+    big = {r.doc_id: r.new_text for r in R.rewrite_tokens_lookup(files, rules).collect()}
     assert small == want and big == want
     occ = R.token_occurrences(files, "[a-z]{1,2}[0-9]?", "simple")
     m = rules.selectExpr("'simple' AS kind", "old_key", "new_name")

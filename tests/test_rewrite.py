@@ -28,7 +28,7 @@ def test_bijection_then_inverse_restores(spark):
 def test_small_and_join_forms_agree(spark):
     rules = spark.createDataFrame([("a", "x"), ("b", "y"), ("a1", "z")], "old_key string, new_name string")
     small = {r.doc_id: (r.new_text, r.n_replacements) for r in R.rewrite_tokens(_files(spark), rules).collect()}
-    big = {r.doc_id: (r.new_text, r.n_replacements) for r in R.rewrite_tokens_join(_files(spark), rules).collect()}
+    big = {r.doc_id: (r.new_text, r.n_replacements) for r in R.rewrite_tokens_lookup(_files(spark), rules).collect()}
     assert small == big
     assert small[1] == ("int x = y + z; x.y(); $a = x", 6)   # "$a" is one identifier token
 
