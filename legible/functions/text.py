@@ -253,14 +253,24 @@ def truncate_text(c, n: int = SNIPPET_CAP) -> Column:
     return F.substring(F.coalesce(_c(c), F.lit("")), 1, n)
 
 
-# E9
-# unrolled, possessive form of "((?:[^"\\]|\\.)*)": same matches, no deep regex recursion on long literals
-STRING_LITERAL = '"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)"'
+# What is not code, recognised from left to right in one alternation: line comment, block comment, text block, string,
+# char.  Possessive loops: linear, and no regex recursion on long literals.  Valid in Java's and in Python's syntax.
+LEXEME = "|".join((r"//[^\n]*+", r"/\*(?s:.*?)(?:\*/|(?![\s\S]))", r'"""[^"\\]*+(?:(?:\\(?s:.)|"(?!""))[^"\\]*+)*+"""',
+                   r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'"))
+
 
+def code_only(code) -> Column:
+    """Code with every comment and literal replaced by a blank."""
+    return F.regexp_replace(F.coalesce(_c(code), F.lit("")), LEXEME, " ")
 
-def string_literals(code, limit: int = 64) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(F.coalesce(_c(code), F.lit("")),
-                                                         F.lit(STRING_LITERAL), 1)), 1, limit)
+
+# E9
+def string_literals(code, limit: int | None = None) -> Column:
+    """Distinct string literals in order (text blocks, chars and comments are none); all of them unless ``limit`` is given."""
+    found = F.filter(F.regexp_extract_all(F.coalesce(_c(code), F.lit("")), F.lit(LEXEME), 0),
+                     lambda x: F.startswith(x, F.lit('"')) & ~F.startswith(x, F.lit('"""')))
+    lits = F.array_distinct(F.transform(found, lambda x: F.substr(x, F.lit(2), F.length(x) - 2)))
+    return lits if limit is None else F.slice(lits, 1, limit)
 
 
 # G9

@@ -67,7 +67,7 @@ def prompt_block(units: DataFrame, head: int = HEAD_LINES, tail: int = TAIL_LINE
          .otherwise(F.lit("")),
         F.when(F.size(strings) > 0, F.concat(F.lit("strings: "), T.string_hint(strings), F.lit("\n")))
          .otherwise(F.lit("")),
-        F.lit("\n```java\n"), T.trim_head_tail(F.col("code"), head, tail), F.lit("\n```\n"))
+        F.lit("\n```java\n"), T.trim_head_tail(T.truncate_text("code"), head, tail), F.lit("\n```\n"))
     return units.withColumn("block", block)
 
 

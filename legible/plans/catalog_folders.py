@@ -204,7 +204,7 @@ def q_full_refactor_paths(spark, d):
     return moved.select("page_id", "new_path", text.alias("new_text"))
 
 
-from legible.plans import catalog_java, catalog_rewrite  # noqa: E402,F401  (registers the Java-source and rewriting queries)
+from legible.plans import catalog_java, catalog_rewrite, catalog_units  # noqa: E402,F401  (registers their queries)
 
 
 # ============================================================ folder prompts (I4) and model-or-heuristic names

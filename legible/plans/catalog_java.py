@@ -90,21 +90,22 @@ src AS (SELECT *, 'package ' || pkgline || ';' || chr(10) || chr(10) || 'import
           '    interface In' || page_id || ' { }' || chr(10) || '}' || chr(10) AS tmpl,
           -- the file's path-derived owner equals the declared class only when the folder is clean
           replace(folder, '/', '.') || '.' || cls = CASE WHEN pkgline = '' THEN cls ELSE pkgline || '.' || cls END AS owned,
-          '{ return "' || c0 || '"; }' AS gcode FROM k),
+          'String get' || c0 || '()' || chr(10) || '{ return "' || c0 || '"; }' AS gcode,
+          'void set' || c1 || '(String)' || chr(10) || '{ if (v != null) { this.' || fld || ' = v; } }' AS scode FROM k),
 hcnt AS (SELECT short AS tok, count(*) AS c FROM k GROUP BY short),
 htop AS (SELECT tok, (row_number() OVER (ORDER BY c DESC, tok ASC) - 1)::BIGINT AS rnk FROM hcnt
          ORDER BY c DESC, tok ASC LIMIT 32),
 hpool AS (SELECT tok, %(pool)s[(rnk %% 16) + 1] || CASE WHEN rnk // 16 = 0 THEN '' ELSE (rnk // 16)::VARCHAR END AS nn
           FROM htop),
 ex AS (SELECT s.*, p.nn,
-         CASE WHEN contains(gcode, '+') THEN 'add' WHEN contains(gcode, 'get') THEN 'get'
-              WHEN contains(gcode, 'put') THEN 'put' ELSE 'process' END AS gguess FROM src s LEFT JOIN hpool p ON p.tok = s.short)
+         %(guess_g)s AS gguess, %(guess_s)s AS sguess FROM src s LEFT JOIN hpool p ON p.tok = s.short)
 SELECT file AS rel_path,
   replace(replace(replace(tmpl, '{G}', CASE WHEN owned THEN gguess ELSE 'get' || c0 END),
-                  '{S}', CASE WHEN owned THEN 'process' ELSE 'set' || c1 END),
+                  '{S}', CASE WHEN owned THEN sguess ELSE 'set' || c1 END),
           '{H}', CASE WHEN owned THEN 'add' WHEN nn IS NOT NULL AND nn <> short THEN nn ELSE short END) AS new_text,
   (CASE WHEN owned THEN 3 WHEN nn IS NOT NULL AND nn <> short THEN 1 ELSE 0 END)::BIGINT AS n_replacements
-FROM ex""" % {"pool": pool}
+FROM ex""" % {"pool": pool, **{"guess_" + x: f"CASE WHEN contains({x}code, '+') THEN 'add' WHEN contains({x}code, 'get') THEN 'get' "
+                                  f"WHEN contains({x}code, 'put') THEN 'put' ELSE 'process' END" for x in "gs"}}
 
 
 @register("java_rename_job", _rename_sql())

@@ -52,10 +52,17 @@ def q_qualified_signature(spark, d):
     return u.select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), "qualified_signature")
 
 
-@register("string_literals", r"""
+#: The lexical mask in DuckDB's syntax: comments, text blocks, strings and chars, left to right.
+SQL_LEXEME = (r"//[^\n]*|/\*(?s:.*?)(?:\*/|\z)|" + '"{3}' + r'(?s:(?:[^"\\]|\\.|"[^"]|""[^"])*)"{3}|"(?:[^"\\\n]|\\[^\n])*"|'
+              + r"''(?:[^''\\\n]|\\[^\n])*''")
+
+
+@register("string_literals", r'''
 SELECT page_id, len(lits)::BIGINT AS n_literals, array_to_string(lits, chr(31)) AS literals FROM (
-  SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i)[1:64] AS lits
-  FROM (SELECT page_id, regexp_extract_all(html, '"((?:[^"\\]|\\.)*)"', 1) AS l FROM pages))""")
+  SELECT page_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS lits
+  FROM (SELECT page_id, list_transform(list_filter(regexp_extract_all(html, '{lex}'),
+               lambda x: starts_with(x, chr(34)) AND NOT starts_with(x, repeat(chr(34), 3))), lambda x: substr(x, 2, length(x) - 2)) AS l
+        FROM pages))'''.replace("{lex}", SQL_LEXEME))
 def q_string_literals(spark, d):
     lits = T.string_literals(F.col("html"))
     return table(spark, d, "pages", "page_id", "html").select(
@@ -64,15 +71,13 @@ def q_string_literals(spark, d):
 
 @register("behavior_signals", r"""
 SELECT doc_id,
-  len(list_filter(toks, lambda t: t IN ('for', 'while', 'do')))::BIGINT AS loops,
-  len(list_filter(toks, lambda t: t IN ('if', 'switch')))::BIGINT AS conditionals,
-  (length(text) - length(replace(text, ';', '')))::BIGINT AS size
-FROM (SELECT doc_id, text, regexp_split_to_array(text, '[^A-Za-z0-9_$]') AS toks FROM documents)""")
+  len(list_filter(toks, lambda t: t IN ('for', 'while')))::BIGINT AS loops,
+  len(list_filter(toks, lambda t: t IN ('if', 'switch')))::BIGINT AS conditionals
+FROM (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '%s', ' ', 'g'), '[^A-Za-z0-9_$]') AS toks FROM documents)""" % SQL_LEXEME)
 def q_behavior_signals(spark, d):
     s = behavior_signals(F.col("text"))
     return docs(spark, d, "doc_id", "text").select(
-        "doc_id", s["loops"].cast("bigint").alias("loops"), s["conditionals"].cast("bigint").alias("conditionals"),
-        s["size"].cast("bigint").alias("size"))
+        "doc_id", s["loops"].cast("bigint").alias("loops"), s["conditionals"].cast("bigint").alias("conditionals"))
 
 
 # ============================================================ packing

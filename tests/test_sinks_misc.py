@@ -101,7 +101,7 @@ def test_suggest_job_with_provider(spark):
     opts = J.Options(provider=I.EchoRenameProvider(), token_budget=300, max_items=2, concurrency=2)
     mapping = {(r.kind, r.old_key): (r.new_name, r.source) for r in J.suggest_job(units, opts).collect()}
     assert mapping[("method", "demo.mix.Hs.h(String)")] == ("handleH", "model")
-    assert mapping[("method", "demo.mix.Color.code()")] == ("handleCode", "model")
+    assert ("method", "demo.mix.Color.code()") not in mapping       # enum members are documented, not named
     # no simple rule came back from the model, so the first short keys are filled from the pool
     assert any(src == "fallback" for (kind, _), (_, src) in mapping.items() if kind == "simple")
     applied = {r.rel_path: r.new_text for r in J.apply_job(files, J.suggest_job(units, opts)).collect()}
