@@ -260,20 +260,66 @@ def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str | None
     return out.select(*files.columns, F.col("_done.t").alias("new_text"), F.col("_done.n").alias("n_import_changes"))
 
 
-# Splice sorted, non-overlapping spans into a text
+# ---------------------------------------------------------------- offsets and splicing inside a row
+
+SUM_BLOCK, TEXT_BLOCK = 64, 1024
+
+
+def starts_of(lengths) -> Column:
+    """Exclusive running sums of an array: where each of consecutive pieces begins.  Sums of blocks first, then inside
+    a block, so a row with many pieces costs little more than one pass."""
+    def total(xs):
+        return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+    def inside(ls, base):
+        return F.transform(ls, lambda x, i: F.get(base, F.floor(i / SUM_BLOCK).cast("int")) + total(
+            F.slice(ls, F.floor(i / SUM_BLOCK).cast("int") * SUM_BLOCK + 1, i % SUM_BLOCK)))
+
+    def blocks(ls):
+        count = F.ceil(F.size(ls) / SUM_BLOCK).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), count - 1), lambda b: total(F.slice(ls, b * SUM_BLOCK + 1, F.lit(SUM_BLOCK))))
+        bases = let(sums, lambda s: F.transform(s, lambda x, b: total(F.slice(s, F.lit(1), b))))
+        return F.when(F.size(ls) == 0, ls).otherwise(let(bases, lambda base: inside(ls, base)))
+    return let(F.transform(_c(lengths), lambda x: x.cast("int")), blocks)
+
+
+def token_spans(text, token_regex: str) -> Column:
+    """Array of (start, end, tok): code-point offsets of the identifier tokens that fully match ``token_regex`` (a pattern
+    of identifier characters), from the lengths of what a split leaves between them."""
+    rx = "(?<![%s])(?:%s)(?![%s])" % (IDENT_CLASS, token_regex, IDENT_CLASS)
+    t = F.coalesce(_c(text), F.lit(""))
+    pairs = F.arrays_zip(F.split(t, rx, -1).alias("gap"), F.regexp_extract_all(t, F.lit(rx), 0).alias("tok"))
+
+    def spans(z):
+        step = F.transform(z, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["tok"]), F.lit(0)))
+        found = F.zip_with(z, starts_of(step), lambda x, at: F.struct(
+            (at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + F.length(x["tok"])).alias("end"), x["tok"].alias("tok")))
+        return F.filter(found, lambda x: x["tok"].isNotNull())
+    return let(pairs, spans)
+
+
 def splice(text, spans) -> Column:
     """``spans``: array<struct<start:int,end:int,new:string>> sorted by start (0-based, end exclusive).
 
-    Each span contributes the gap since the previous span's end plus its replacement; the pieces
-    are joined once, so the cost is linear in the text and the span count."""
+    Each span contributes the gap since the previous span's end plus its replacement.  The text is cut into blocks
+    once and a gap is taken from its own blocks, so the cost is linear in the text and the span count."""
+    def build(z):
+        sp, blocks = z["sp"], z["bl"]
+
+        def between(a, b):
+            p, q = F.floor(a / TEXT_BLOCK).cast("int"), F.floor(b / TEXT_BLOCK).cast("int")
+            first, last = F.coalesce(F.get(blocks, p), F.lit("")), F.coalesce(F.get(blocks, q), F.lit(""))
+            return F.when(p == q, F.substr(first, a % TEXT_BLOCK + 1, b - a)).otherwise(F.concat(
+                F.substr(first, a % TEXT_BLOCK + 1), F.array_join(F.slice(blocks, p + 2, q - p - 1), ""), F.substr(last, F.lit(1), b % TEXT_BLOCK)))
+
+        def prev_end(i):
+            return F.when(i == 0, F.lit(0)).otherwise(F.get(sp, i - 1)["end"])
+        pieces = F.transform(sp, lambda s, i: F.concat(between(prev_end(i), s["start"]), s["new"]))
+        end = F.when(F.size(sp) == 0, F.lit(0)).otherwise(F.element_at(sp, -1)["end"])
+        return F.concat(F.array_join(pieces, ""), between(end, z["n"]))
     t = _c(text)
-    sp = _c(spans)
-
-    def prev_end(i):
-        return F.when(i == 0, F.lit(0)).otherwise(F.element_at(sp, i)["end"])
-    pieces = F.transform(sp, lambda s, i: F.concat(F.substring(t, prev_end(i) + 1, s["start"] - prev_end(i)), s["new"]))
-    last_end = F.when(F.size(sp) == 0, F.lit(0)).otherwise(F.element_at(sp, -1)["end"])
-    return F.concat(F.array_join(pieces, ""), F.substring(t, last_end + 1, 1 << 30))
+    cut = F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % TEXT_BLOCK), 0)
+    return F.when(t.isNotNull(), let(F.struct(_c(spans).alias("sp"), cut.alias("bl"), F.length(t).alias("n")), build))
 
 
 # A12
@@ -296,22 +342,26 @@ def rewrite_occurrences(files: DataFrame, occurrences: DataFrame, mapping: DataF
 
 def token_occurrences(files: DataFrame, token_regex: str, kind: str, key: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """Spans (code-point offsets) of identifier tokens that fully match ``token_regex``
-    (a pattern of identifier characters only).
+    """Spans (code-point offsets) of identifier tokens that fully match ``token_regex``, one row per occurrence; they are
+    found inside the row, so only (key, start, end, token) leaves it."""
+    found = files.select(key, F.inline(token_spans(text_col, token_regex)))
+    return found.select(key, F.lit(kind).alias("kind"), F.col("tok").alias("old_key"), "start", "end")
 
-    Only the matches are exploded: the text is split on the pattern, and a running sum of
-    (gap + match) lengths inside one file — a bounded group — gives each match's start."""
-    from pyspark.sql import Window
-    rx = "(?<![%s])(?:%s)(?![%s])" % (IDENT_CLASS, token_regex, IDENT_CLASS)
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    pieces, matches = F.split(t, rx, -1), F.regexp_extract_all(t, F.lit(rx), 0)
-    pairs = files.select(key, F.posexplode(F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"),
-                                                        matches.alias("tok"))).alias("p", "z"))
-    w = Window.partitionBy(key).orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    step = F.length(F.col("z.gap")) + F.length(F.col("z.tok"))
-    spans = pairs.withColumn("end", F.sum(step).over(w).cast("int"))
-    return spans.select(key, F.lit(kind).alias("kind"), F.col("z.tok").alias("old_key"),
-                        (F.col("end") - F.length(F.col("z.tok"))).cast("int").alias("start"), "end")
+
+def rewrite_token_spans(files: DataFrame, token_regex: str, mapping: DataFrame, kind: str = "simple", text_col: str = "text") -> DataFrame:
+    """A12 without leaving the row: the occurrences of tokens that match ``token_regex`` and have a rule of ``kind`` are
+    found, looked up and spliced where the text is; adds ``new_text`` and ``n_replacements``."""
+    spans = files.withColumn("_spans", token_spans(text_col, token_regex))
+    rules = mapping.filter(F.col("kind") == kind).select("old_key", "new_name").filter("old_key is not null and new_name is not null")
+    rules = rules.groupBy("old_key").agg(F.min("new_name").alias("new_name"))
+    out = with_map(spans, F.transform("_spans", lambda x: x["tok"]), rules, "_map")
+
+    def hits(m):
+        return F.filter(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), m[x["tok"]].alias("new"))),
+                        lambda x: x["new"].isNotNull())
+    out = out.withColumn("_hits", let(F.col("_map"), hits))
+    return out.select(*files.columns, F.when(F.size("_hits") == 0, F.col(text_col)).otherwise(splice(text_col, "_hits")).alias("new_text"),
+                      F.size("_hits").cast("bigint").alias("n_replacements"))
 
 
 # A13
@@ -327,18 +377,27 @@ def rename_file_for_type(files: DataFrame, mapping: DataFrame, path_col: str = "
 
 
 # A14
+def doc_spans(items, indent=None) -> Column:
+    """Items (start, end, block[, indent]) -> splice spans: the block, a line break and the target's indentation."""
+    def one(x):
+        pad = F.coalesce(x["indent"], F.lit("")) if indent else F.lit("")
+        new = F.concat(F.replace(x["block"], F.lit("\n"), F.concat(F.lit("\n"), pad)), F.lit("\n"), pad)
+        return F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"), new.alias("new"))
+    return F.array_sort(F.transform(_c(items), one))
+
+
+def attach_docs_in_row(files: DataFrame, items: Column, text_col: str = "text", indent: bool = False) -> DataFrame:
+    """Doc blocks whose items (array of start, end, block[, indent]) were found in the row itself: add ``new_text``, ``n_docs``."""
+    out = files.withColumn("_spans", doc_spans(items, indent))
+    return out.select(*files.columns, F.when(F.coalesce(F.size("_spans"), F.lit(0)) <= 0, F.col(text_col)).otherwise(splice(text_col, "_spans")).alias("new_text"),
+                      F.greatest(F.coalesce(F.size("_spans"), F.lit(0)), F.lit(0)).cast("bigint").alias("n_docs"))
+
+
 def attach_docs(files: DataFrame, doc_items: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Insert doc blocks before their targets.  ``doc_items``: (key, start, end, block[, indent]) where
     [start, end) is the span of an existing block to overwrite (start = end to insert); with an
     ``indent`` column every block line after the first and the target line keep that indentation."""
-    indent = F.col("indent") if "indent" in doc_items.columns else F.lit("")
-    block = F.concat(F.replace(F.col("block"), F.lit("\n"), F.concat(F.lit("\n"), indent)), F.lit("\n"), indent)
-    spans = doc_items.select(key, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
-                             block.alias("new"))
-    per_file = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("_spans"),
-                                      F.count(F.lit(1)).cast("bigint").alias("n_docs"))
+    indent = ["indent"] if "indent" in doc_items.columns else []
+    per_file = doc_items.groupBy(key).agg(F.collect_list(F.struct("start", "end", "block", *indent)).alias("_items"))
     j = files.join(per_file, key, "left")
-    return (j.withColumn("new_text", F.when(F.col("_spans").isNull(), F.col(text_col))
-                         .otherwise(splice(text_col, "_spans")))
-             .withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("bigint"))).drop("_spans"))
-
+    return attach_docs_in_row(j, F.col("_items"), text_col, bool(indent)).drop("_items")

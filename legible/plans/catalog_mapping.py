@@ -12,6 +12,7 @@ from legible.operators import suggest as S
 from legible.operators.extract import line_units
 from legible.operators.heuristics import (ACCESSOR_TEXT, DEFAULT_TEXT, DETAILED_SUFFIX, GETTER, ISSER,
                                           KEYWORD_RULES, SETTER, heuristic_doc)
+from legible.operators.lookup import let
 from legible.operators.pack import pack_by_budget
 from legible.session import checkpoint_dir, cut_lineage
 from legible.plans.catalog import SQL_POOL, _pool, docs, register
@@ -175,9 +176,19 @@ SELECT d.doc_id,
 FROM d CROSS JOIN m""" % SQL_POOL)
 def q_rewrite_occurrences(spark, d):
     ds = docs(spark, d, "doc_id", "text")
-    occ = R.token_occurrences(ds, S.SHORT_ID, "simple")
     mapping = _pool(spark, d).select(F.lit("simple").alias("kind"), F.col("token").alias("old_key"), "new_name")
-    return R.rewrite_occurrences(ds, occ, mapping).select("doc_id", "new_text", "n_replacements")
+    return R.rewrite_token_spans(ds, S.SHORT_ID, mapping).select("doc_id", "new_text", "n_replacements")
+
+
+@register("token_occurrences", """
+WITH t AS (SELECT doc_id, i, toks[i] AS tok FROM (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i
+             FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+') AS toks FROM documents))),
+p AS (SELECT *, sum(length(tok)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM t)
+SELECT doc_id, tok AS old_key, (stop - length(tok))::BIGINT AS start, stop::BIGINT AS stop
+FROM p WHERE regexp_full_match(tok, '[a-z]{1,2}[0-9]?')""")
+def q_token_occurrences(spark, d):
+    occ = R.token_occurrences(docs(spark, d, "doc_id", "text"), S.SHORT_ID, "simple")
+    return occ.select("doc_id", "old_key", F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("stop"))
 
 
 @register("attach_docs", r"""
@@ -188,15 +199,14 @@ SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambd
 FROM documents""")
 def q_attach_docs(spark, d):
     ds = docs(spark, d, "doc_id", "text")
-    lines = ds.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
-    # target = a line starting with a capital ASCII letter; its offset is the running length
-    from pyspark.sql import Window
-    w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("int"))
-    items = lines.filter(F.col("line").rlike("^[A-Z]")).select(
-        "doc_id", "start", F.col("start").alias("end"),
-        F.concat(F.lit("/** "), F.regexp_extract("line", "^[A-Za-z]+", 0), F.lit(" */")).alias("block"))
-    return R.attach_docs(ds, items).select("doc_id", "new_text", "n_docs")
+
+    # target = a line starting with a capital ASCII letter; its offset is the running length, found in the row
+    def items(lines):
+        at = R.starts_of(F.transform(lines, lambda x: F.length(x) + 1))
+        both = F.zip_with(lines, at, lambda x, k: F.struct(k.alias("start"), k.alias("end"), F.concat(
+            F.lit("/** "), F.regexp_extract(x, "^[A-Za-z]+", 0), F.lit(" */")).alias("block"), x.alias("line")))
+        return F.filter(both, lambda z: z["line"].rlike("^[A-Z]"))
+    return R.attach_docs_in_row(ds, let(F.split("text", "\n", -1), items)).select("doc_id", "new_text", "n_docs")
 
 
 # ============================================================ docs
