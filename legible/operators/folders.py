@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
+from legible.operators.lookup import with_map
 from legible.operators.order import dense_seq, top_k_per_group
 from legible.session import checkpoint_dir, cut_lineage
 
@@ -150,11 +151,13 @@ def package_map(plan: DataFrame) -> DataFrame:
 
 # A11
 def move_paths(files: DataFrame, plan: DataFrame) -> DataFrame:
-    """Replace the folder part of each file path by its new folder."""
-    p = plan.select("folder", "new_folder")
-    j = files.join(p, "folder", "left")
-    return j.withColumn("new_path", F.concat_ws(
-        "/", F.when(F.coalesce("new_folder", "folder") != "", F.coalesce("new_folder", "folder")), F.col("file_name")))
+    """Replace the folder part of each file path by its new folder: add ``new_folder`` (null: stays) and ``new_path``.
+
+    The plan is looked up in the row (``lookup.with_map``), so a file's other columns stay where they are."""
+    moved = with_map(files, F.array("folder"), plan.select("folder", "new_folder").filter("folder is not null"), "_to", "folder", "new_folder")
+    out = moved.withColumn("new_folder", F.col("_to")[F.coalesce("folder", F.lit(""))]).drop("_to")
+    folder = F.coalesce("new_folder", "folder")
+    return out.withColumn("new_path", F.concat_ws("/", F.when(folder != "", folder), F.col("file_name")))
 
 
 # J8
@@ -162,7 +165,7 @@ def lookup_or_default(seg: DataFrame, model_segments: DataFrame) -> DataFrame:
     """Model segment per folder when the reply named it (sanitised), else the heuristic segment."""
     # the earliest reply (by its call and position columns) that names the folder wins
     order = [c for c in model_segments.columns if c not in ("folder", "new_segment")] + ["new_segment"]
-    m = (model_segments.filter(F.col("new_segment").isNotNull()).groupBy("folder")
+    m = (model_segments.filter(F.col("new_segment").isNotNull() & (F.trim("new_segment") != "")).groupBy("folder")
          .agg(F.min_by("new_segment", F.struct(*order)).alias("_m")))
     j = seg.join(m, "folder", "left")
     return (j.withColumn("source", F.when(F.col("_m").isNotNull(), F.lit("model")).otherwise(F.lit("heuristic")))

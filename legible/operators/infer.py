@@ -14,7 +14,10 @@ import json
 import random
 import re
 import time
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import TimeoutError as FutureTimeout
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
+from legible.operators.util import join_nulls
 from legible.session import cut_lineage
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
@@ -127,6 +131,7 @@ class RetryPolicy:
     jitter_ms: int = RETRY_JITTER_MS
     cap_ms: int = RETRY_CAP_MS
     sleep: bool = True
+    timeout_s: float | None = None           # of one call; None leaves it to the provider's transport
 
     def delays(self):
         d = self.initial_ms
@@ -135,15 +140,33 @@ class RetryPolicy:
             d = d * self.factor
 
 
+def _timed(call, timeout_s: float | None):
+    """``call()``; after ``timeout_s`` seconds a timeout error (the worker thread is left behind)."""
+    if timeout_s is None:
+        return call()
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(call).result(timeout_s)
+    except FutureTimeout:
+        raise TimeoutError("timeout after %s s" % timeout_s) from None
+    finally:
+        pool.shutdown(wait=False)
+
+
 def _call_with_retry(provider, prompt: str, policy: RetryPolicy):
+    return _retried(lambda: provider([prompt])[0], policy)
+
+
+def _retried(call, policy: RetryPolicy):
+    """(result, error, attempts) of a call without arguments."""
     attempts, last = 0, None
     delays = list(policy.delays()) + [None]
     for delay in delays:
         attempts += 1
         try:
-            return provider([prompt])[0], None, attempts
+            return _timed(call, policy.timeout_s), None, attempts
         except Exception as e:  # noqa: BLE001 - a provider error becomes data
-            last = T_squash(str(e))
+            last = T_squash(str(e)) or type(e).__name__
             if not re.search(TRANSIENT, last) or delay is None:
                 break
             retry_after = getattr(e, "retry_after", None)       # seconds, when the transport knows it
@@ -167,26 +190,34 @@ def batch_infer(prompts: DataFrame, provider: Callable[[list[str]], list[str]],
                 policy: RetryPolicy | None = None) -> DataFrame:
     """Run ``provider`` over every prompt; output ``key_cols + reply, error, attempts``.
 
-    ``concurrency`` partitions = concurrent calls.  Inputs are hash-partitioned on the key so a
-    retried task sees the same prompts."""
+    A string ``prompt_col`` is one prompt and gets one reply; an array of strings is one call for several items and gets
+    the array of what the provider returned (``reply array<string>``, of any length).  ``concurrency`` partitions =
+    concurrent calls.  Inputs are hash-partitioned on the key so a retried task sees the same prompts."""
     pol = policy or RetryPolicy()
+    many = prompts.schema[prompt_col].dataType.simpleString() != "string"
     sch = prompts.select(*key_cols).schema
     out_schema = ", ".join("`%s` %s" % (f.name, f.dataType.simpleString()) for f in sch.fields) + \
-        ", reply string, error string, attempts int"
+        ", reply %s, error string, attempts int" % ("array<string>" if many else "string")
     src = prompts.select(*key_cols, prompt_col)
     if concurrency:
         src = src.repartition(concurrency, *key_cols)
 
+    def ask(p):
+        if many:
+            out = provider([str(x) for x in p])
+            return None if out is None else [None if x is None else str(x) for x in out]
+        return provider([p])[0]
+
     def run(batches):
         for pdf in batches:
             replies, errors, attempts = [], [], []
             for p in pdf[prompt_col].tolist():
-                r, e, a = _call_with_retry(provider, p, pol)
+                r, e, a = _retried(lambda p=p: ask(p), pol)
                 replies.append(r)
                 errors.append(e)
                 attempts.append(a)
             out = pdf[key_cols].copy()
-            out["reply"], out["error"], out["attempts"] = replies, errors, pd.array(attempts, dtype="int32")
+            out["reply"], out["error"], out["attempts"] = pd.Series(replies, dtype=object, index=out.index), errors, pd.array(attempts, dtype="int32")
             yield out
 
     return src.mapInPandas(run, out_schema)
@@ -194,19 +225,51 @@ def batch_infer(prompts: DataFrame, provider: Callable[[list[str]], list[str]],
 
 # I6
 def retry_failed(results: DataFrame, prompts: DataFrame, provider, key_cols: list[str], rounds: int = 1,
-                 prompt_col: str = "prompt", policy: RetryPolicy | None = None) -> DataFrame:
-    """Re-run rows whose error looks transient, ``rounds`` times; finished rows are kept as they are.
+                 prompt_col: str = "prompt", policy: RetryPolicy | None = None, concurrency: int | None = None) -> DataFrame:
+    """Re-run rows whose error looks transient, ``rounds`` times; finished rows are kept as they are.  Null keys are
+    keys like any other.
 
     Every round's replies are written before they are read, so no later action calls the model again."""
     cur = results
     for _ in range(rounds):
         failed = cur.filter(F.col("error").isNotNull() & F.col("error").rlike(TRANSIENT)).select(*key_cols)
-        redo = prompts.join(failed, key_cols, "left_semi")
-        again = cut_lineage(batch_infer(redo, provider, key_cols, prompt_col, policy=policy))
-        cur = cut_lineage(cur.join(failed, key_cols, "left_anti").unionByName(again))
+        redo = join_nulls(prompts, failed, key_cols, "left_semi")
+        again = cut_lineage(batch_infer(redo, provider, key_cols, prompt_col, concurrency, policy))
+        cur = cut_lineage(join_nulls(cur, failed, key_cols, "left_anti").unionByName(again))
     return cur
 
 
+def saved_infer(prompts: DataFrame, provider, key_cols: list[str], prompt_col: str = "prompt", concurrency: int | None = None,
+                policy: RetryPolicy | None = None, rounds: int = 1, path: str | None = None) -> DataFrame:
+    """I5 and I6 with replies written before use.  With ``path`` they are kept there across runs: a prompt whose digest has
+    a reply without error in it is not asked again."""
+    if path is None:
+        first = cut_lineage(batch_infer(prompts, provider, key_cols, prompt_col, concurrency, policy))
+        return retry_failed(first, prompts, provider, key_cols, rounds, prompt_col, policy, concurrency) if rounds else first
+    spark = prompts.sparkSession
+    many = prompts.schema[prompt_col].dataType.simpleString() != "string"
+    digest = F.sha2(F.to_json(F.struct(prompt_col)), 256)
+    keyed = cut_lineage(prompts.withColumn("_digest", digest))
+    run_id = uuid.uuid4().hex
+    schema = "_digest string, reply %s, error string, attempts int, run string" % ("array<string>" if many else "string")
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def saved():
+        return spark.read.schema(schema).parquet(path) if fs.exists(fs_path) else spark.createDataFrame([], schema)
+
+    once = keyed.dropDuplicates(["_digest"])
+    for _ in range(rounds + 1):
+        done = saved().filter("error is null").select("_digest")
+        # an error that no retry can mend is not asked again in this run, a transient one is
+        given_up = saved().filter((F.col("run") == run_id) & F.col("error").isNotNull() & ~F.col("error").rlike(TRANSIENT)).select("_digest")
+        todo = once.join(done.unionByName(given_up).distinct(), "_digest", "left_anti")
+        asked = batch_infer(todo, provider, ["_digest"], prompt_col, concurrency, policy)
+        asked.withColumn("run", F.lit(run_id)).write.mode("append").parquet(path)
+    best = saved().groupBy("_digest").agg(F.min_by(F.struct("reply", "error", "attempts"), F.col("error").isNotNull()).alias("r"))
+    return keyed.select(*key_cols, "_digest").join(best, "_digest", "left").select(*key_cols, "r.reply", "r.error", "r.attempts")
+
+
 def save_replies(results: DataFrame, path: str) -> DataFrame:
     """Persist inference output so later stages (and task retries) never call the model again."""
     results.write.mode("append").parquet(path)
@@ -216,7 +279,7 @@ def save_replies(results: DataFrame, path: str) -> DataFrame:
 def pending_prompts(prompts: DataFrame, saved: DataFrame, key_cols: list[str]) -> DataFrame:
     """Prompts without a saved successful reply."""
     done = saved.filter(F.col("error").isNull()).select(*key_cols)
-    return prompts.join(done, key_cols, "left_anti")
+    return join_nulls(prompts, done, key_cols, "left_anti")
 
 
 # I7
@@ -253,7 +316,24 @@ def align_by_position(inputs: DataFrame, outputs: DataFrame, batch_keys: list[st
                       out_col: str = "doc") -> DataFrame:
     """Attach outputs to inputs by (batch, position); missing outputs become '' and extra ones drop."""
     o = outputs.select(*batch_keys, F.col(pos_col), F.col(out_col).alias("_o"))
-    return inputs.join(o, [*batch_keys, pos_col], "left").withColumn(out_col, F.coalesce("_o", F.lit(""))).drop("_o")
+    return join_nulls(inputs, o, [*batch_keys, pos_col], "left").withColumn(out_col, F.coalesce("_o", F.lit(""))).drop("_o")
+
+
+# W8 -> I5 -> J9: items in slices, one call a slice, replies back by position
+def infer_items(items: DataFrame, provider, order_cols: list[str], size: int, prompt_col: str = "prompt", out_col: str = "doc",
+                concurrency: int | None = None, policy: RetryPolicy | None = None, rounds: int = 1, path: str | None = None) -> DataFrame:
+    """One text per item from calls of ``size`` items in the order of ``order_cols``: ``order_cols``, ``out_col``.
+
+    A call that fails or returns too few texts leaves '' for what is missing; texts beyond the slice are dropped."""
+    from legible.operators.order import dense_seq
+    seq = cut_lineage(dense_seq(items.select(*order_cols, prompt_col).withColumn("_one", F.lit(0)), ["_one"], order_cols, out="_seq")
+                      .withColumn("call_no", F.floor(F.col("_seq") / F.lit(size)).cast("bigint"))
+                      .withColumn("pos", (F.col("_seq") % size).cast("bigint")).drop("_one", "_seq"))
+    calls = seq.groupBy("call_no").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(prompt_col).alias("p")))).alias("_xs"))
+    calls = calls.select("call_no", F.transform("_xs", lambda x: x["p"]).alias("prompts"))
+    replies = saved_infer(calls, provider, ["call_no"], "prompts", concurrency, policy, rounds, path)
+    given = replies.select("call_no", F.posexplode("reply").alias("pos", out_col)).withColumn("pos", F.col("pos").cast("bigint"))
+    return align_by_position(seq.drop(prompt_col), given, ["call_no"], "pos", out_col).select(*order_cols, out_col)
 
 
 # I11
@@ -262,7 +342,7 @@ def provider_fallback(base: DataFrame, model_out: DataFrame, heuristic_out: Data
     """Model value where present and non-blank, else the heuristic's; ``source`` tells which."""
     m = model_out.select(*keys, F.col(value_col).alias("_m"))
     h = heuristic_out.select(*keys, F.col(value_col).alias("_h"))
-    j = base.join(m, keys, "left").join(h, keys, "left")
+    j = join_nulls(join_nulls(base, m, keys, "left"), h, keys, "left")
     use_m = F.col("_m").isNotNull() & (F.trim("_m") != "")
     return (j.withColumn(value_col, F.when(use_m, F.col("_m")).otherwise(F.col("_h")))
              .withColumn("source", F.when(use_m, F.lit("model")).otherwise(F.lit("heuristic")))

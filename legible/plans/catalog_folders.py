@@ -68,7 +68,8 @@ cands AS (SELECT * FROM cands0
           WHERE NOT regexp_matches(pkg, '^(androidx?|com\.google|org|kotlinx?|java|javax|sun)\b')
             AND regexp_full_match(lower(leaf), '([a-z]{1,2}[0-9]*|[a-z][0-9]+|ui[0-9]+|controls[0-9]+)')
           ),
-names AS (SELECT folder, name FROM (
+names AS (SELECT folder, name FROM files WHERE folder IN (SELECT folder FROM cands)),
+prompt_names AS (SELECT folder, name FROM (
             SELECT f.folder, f.name, row_number() OVER (PARTITION BY f.folder ORDER BY f.name) AS rn
             FROM files f WHERE f.folder IN (SELECT folder FROM cands)) WHERE rn <= 40),
 toks AS (SELECT folder, tok FROM (SELECT folder, unnest(regexp_split_to_array(lower(name), '[^A-Za-z0-9]+')) AS tok FROM names)
@@ -116,7 +117,7 @@ def _plan(spark, d):
     checkpoint_dir(spark)
     files = cut_lineage(_files(spark, d))   # the file table feeds five branches: materialise once
     cands = FO.suspicious_folders(files)
-    seg = FO.heuristic_segment(cands, files, FO.NAMES_PER_FOLDER)
+    seg = FO.heuristic_segment(cands, files)
     return FO.resolve_name_conflicts(seg, FO.existing_folders(files)), files
 
 
@@ -138,14 +139,13 @@ def q_limit_candidates(spark, d):
 @register("top_token_per_group", SQL_FILES + " SELECT folder, token, cnt FROM top")
 def q_top_token_per_group(spark, d):
     files = _files(spark, d)
-    names = FO.class_names_per_folder(files.join(_cands(spark, d).select("folder"), "folder", "left_semi"))
-    return FO.top_token_per_group(names)
+    return FO.top_token_per_group(files.join(_cands(spark, d).select("folder"), "folder", "left_semi").select("folder", "name"))
 
 
 @register("heuristic_segment", SQL_FILES + " SELECT folder, segment FROM seg")
 def q_heuristic_segment(spark, d):
     files = _files(spark, d)
-    return FO.heuristic_segment(FO.suspicious_folders(files), files, FO.NAMES_PER_FOLDER).select("folder", "segment")
+    return FO.heuristic_segment(FO.suspicious_folders(files), files).select("folder", "segment")
 
 
 @register("resolve_name_conflicts", SQL_FILES + " SELECT folder, new_folder FROM plan")
@@ -197,14 +197,11 @@ SELECT r.page_id, coalesce(p.new_folder, r.folder) || '/' || r.file_name AS new_
             ELSE regexp_replace(r.new_text, '^\s*package\s+[^;]+;', 'package ' || %s || ';') END AS new_text
 FROM rewritten r LEFT JOIN plan p USING (folder)""" % _sql_pkg("p.new_folder"))
 def q_full_refactor_paths(spark, d):
-    rw, plan = _import_rewrite(spark, d)
-    moved = FO.move_paths(rw.drop("n_import_changes"), plan)
-    text = F.when(F.col("new_folder").isNull(), F.col("new_text")).otherwise(
-        R.rewrite_package_line(F.col("new_text"), T.normalize_package("new_folder")))
-    return moved.select("page_id", "new_path", text.alias("new_text"))
+    from legible.plans.jobs import package_refactor_job
+    return package_refactor_job(_files(spark, d))[0].select("page_id", "new_path", "new_text")
 
 
-from legible.plans import catalog_java, catalog_rewrite, catalog_units  # noqa: E402,F401  (registers their queries)
+from legible.plans import catalog_java, catalog_providers, catalog_rewrite, catalog_units  # noqa: E402,F401  (registers their queries)
 
 
 # ============================================================ folder prompts (I4) and model-or-heuristic names
@@ -217,7 +214,7 @@ from legible.operators import infer as I  # noqa: E402
 
 
 @register("folder_prompts", SQL_FILES + """,
-names_agg AS (SELECT folder, string_agg(name, ', ' ORDER BY name) AS nm FROM names GROUP BY folder),
+names_agg AS (SELECT folder, string_agg(name, ', ' ORDER BY name) AS nm FROM prompt_names GROUP BY folder),
 fp AS (SELECT ((row_number() OVER (ORDER BY c.folder) - 1) // 100)::BIGINT AS call_no, c.folder,
               '- key: ' || c.folder || ' | package: ' || c.pkg || ' | classes: ' || coalesce(n.nm, '') AS l
        FROM cands c LEFT JOIN names_agg n USING (folder))
@@ -253,7 +250,7 @@ FROM seg s LEFT JOIN model m USING (folder)""")
 def q_lookup_or_default(spark, d):
     files = _files(spark, d)
     cands = FO.suspicious_folders(files)
-    seg = FO.heuristic_segment(cands, files, FO.NAMES_PER_FOLDER)
+    seg = FO.heuristic_segment(cands, files)
     replies = _folder_replies(cands).withColumnRenamed("folder", "asked")
     parsed = I.parse_folder_segments(replies, ["asked"]).select("folder", "new_segment")
     return FO.lookup_or_default(seg, parsed).select("folder", "segment", "source")

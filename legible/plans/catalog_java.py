@@ -116,7 +116,17 @@ def q_java_rename_job(spark, d):
     return J.apply_job(files, mapping).select("rel_path", "new_text", "n_replacements")
 
 
-def _annotate_sql() -> str:
+#: Doc calls of twelve targets in file order; what the provider makes of a call depends on the length of its first header.
+SQL_DOC_CALLS = """
+tg AS (SELECT hd.*, k.file FROM hd JOIN k USING (page_id) WHERE NOT (ord = 0 AND page_id % 3 = 0)),
+rn AS (SELECT *, row_number() OVER (ORDER BY file, ord) - 1 AS rn FROM tg),
+sl AS (SELECT *, rn % 12 AS pos, count(*) OVER (PARTITION BY rn // 12) AS n, first_value(header) OVER (PARTITION BY rn // 12 ORDER BY rn) AS h0 FROM rn),
+md AS (SELECT page_id, ord, CASE length(h0) % 4 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN pos < n - 1 THEN 'Says ' || header END
+                                 WHEN 2 THEN 'Says ' || header ELSE CASE WHEN pos <> 1 THEN 'Says ' || header END END AS said FROM sl),
+"""
+
+
+def _annotate_sql(model: bool = False) -> str:
     from legible.plans.catalog_mapping import _doc_sql
     nl = "chr(10)"
 
@@ -138,7 +148,8 @@ hd AS (SELECT page_id, 0 AS ord, cls AS header, '' AS tags FROM k
        UNION ALL SELECT page_id, 4, 'static int ' || short || '(String s)',
                         ' * @param s parameter' || chr(10) || ' * @return return value' || chr(10) FROM k
        UNION ALL SELECT page_id, 5, 'In' || page_id, '' FROM k),
-dd AS (SELECT page_id, ord, tags, %(doc)s AS doc FROM (SELECT *, 'en' AS lang, 'concise' AS style FROM hd)),
+%(calls)s
+dd AS (SELECT page_id, ord, tags, %(said)s AS doc FROM (SELECT *, 'en' AS lang, 'concise' AS style FROM hd) x %(join)s),
 bb AS (SELECT page_id, map_from_entries(list({'k': ord, 'v': '/**' || chr(10) || ' * ' || doc || chr(10) || tags || ' */'})) AS b
        FROM dd GROUP BY page_id)
 SELECT k.file AS rel_path,
@@ -152,8 +163,10 @@ SELECT k.file AS rel_path,
   '    ' || %(b4)s || 'static int ' || short || '(String s) { int x = 0; for (int i = 0; i < s.length(); i++) '
       || '{ x = x + s.charAt(i); } return x; }' || %(nl)s ||
   '    ' || %(b5)s || 'interface In' || k.page_id || ' { }' || %(nl)s || '}' || %(nl)s AS new_text,
-  (CASE WHEN k.page_id %% 3 = 0 THEN 5 ELSE 6 END)::BIGINT AS n_docs
-FROM k JOIN bb USING (page_id)""" % {"doc": _doc_sql(), "nl": nl, "b0": ind("bb.b[0]", ""),
+  (CASE WHEN k.page_id %% 3 = 0 THEN 5 ELSE 6 END)::BIGINT AS n_docs %(n_model)s
+FROM k JOIN bb USING (page_id)""" % {"calls": SQL_DOC_CALLS if model else "", "join": "LEFT JOIN md USING (page_id, ord)" if model else "",
+                                     "said": "coalesce(md.said, %s)" % _doc_sql() if model else _doc_sql(),
+                                     "n_model": ", (SELECT count(said) FROM md WHERE md.page_id = k.page_id)::BIGINT AS n_model" if model else "", "nl": nl, "b0": ind("bb.b[0]", ""),
                                       **{"b%d" % i: ind("bb.b[%d]" % i, "    ") for i in range(1, 6)}}
 
 
