@@ -12,9 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from legible.functions.text import IDENT_CLASS, fqn_from_path
+from legible.functions.text import IDENT_CLASS, class_fqn, fqn_from_path
 from legible.operators.lookup import let, with_map
-from legible.operators.spans import apply_spans, identifiers
+from legible.operators.spans import apply_spans, first_rules, identifiers
 from legible.operators.util import bounded_collect
 from legible.session import cut_lineage
 
@@ -376,6 +376,35 @@ def rename_file_for_type(files: DataFrame, mapping: DataFrame, path_col: str = "
                         .otherwise(F.concat(d, F.col("_new"), F.lit(".java")))).drop("_fqn", "_new")
 
 
+def top_types(decls: DataFrame) -> DataFrame:
+    """The type a file is named after (``file``, ``class_name``, ``fqn``): its first public class or interface, or its only type."""
+    tops = decls.filter((F.col("unit_kind") == "type") & (F.col("outer") == ""))
+    public = F.col("header").rlike("(^|\\s)public\\s") & F.col("type_kind").isin("class", "interface")
+    per = tops.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("pkg", "class_name"), F.when(public, F.col("ordinal"))).alias("p"),
+                                   F.first(F.struct("pkg", "class_name", "type_kind")).alias("only"))
+    one = F.coalesce(F.col("p"), F.when((F.col("n") == 1) & F.col("only.type_kind").isin("class", "interface"),
+                                        F.struct(F.col("only.pkg").alias("pkg"), F.col("only.class_name").alias("class_name"))))
+    per = per.select("file", one.alias("t")).filter("t is not null")
+    return per.select("file", F.col("t.class_name").alias("class_name"), class_fqn("t.pkg", "t.class_name").alias("fqn"))
+
+
+def rename_files_for_types(files: DataFrame, decls: DataFrame, mapping: DataFrame, path_col: str = "rel_path") -> DataFrame:
+    """Add ``new_path``; a file whose top type is renamed gets the type's new simple name.
+
+    Two files that would get one path are settled by the ranking of folder names (W6): in path order ``Name``, ``Name2``, ...,
+    never a name that a file which stays already has.  Paths only are ranked; the result is looked up in the row."""
+    from legible.operators.folders import leaf_of, parent_of, resolve_name_conflicts
+    rules = first_rules(mapping.filter(F.col("kind") == "class"), F.col("old_key"), F.substring_index("new_name", ".", -1))
+    named = top_types(decls).join(rules.withColumnRenamed("old_key", "fqn"), "fqn").filter("class_name <> new_name")
+    ext = F.regexp_extract("folder", "\\.[^./]*$", 0)
+    cands = cut_lineage(named.select(F.col("file").alias("folder"), parent_of("file").alias("parent"), F.col("new_name").alias("segment")))
+    stay = files.select(F.col(path_col).alias("folder")).distinct().join(cands.select("folder"), "folder", "left_anti")
+    stay = stay.select("folder", parent_of("folder").alias("parent"), F.regexp_replace(leaf_of("folder"), "\\.[^.]*$", "").alias("name"))
+    plan = resolve_name_conflicts(cands, cut_lineage(stay)).select("folder", F.concat("new_folder", ext).alias("path"))
+    out = with_map(files, F.array(path_col), cut_lineage(plan), "_to", "folder", "path")
+    return out.withColumn("new_path", F.coalesce(F.col("_to")[F.coalesce(F.col(path_col), F.lit(""))], F.col(path_col))).drop("_to")
+
+
 # A14
 def doc_spans(items, indent=None) -> Column:
     """Items (start, end, block[, indent]) -> splice spans: the block, a line break and the target's indentation."""

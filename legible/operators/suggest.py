@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from legible.operators.util import sized_broadcast
+from legible.session import cut_lineage
+
 
 # ---- fixed values that must equal the reference's behaviour ---------------------------------
 # Rename pool of the offline heuristic, in rank order.
@@ -151,7 +152,7 @@ def resolve_class_suggestions(sugg: DataFrame, units: DataFrame | None, keys: Da
     most one suggestion; the key side is already distinct (``allowed_keys``)."""
     valid, _ = valid_suggestions(sugg)
     first = _first_per(valid.filter(F.col("kind") == "class"), "old", F.col("new"))
-    first = sized_broadcast(first.select(F.col("old").alias("class_name"), "new_name", "_o"))
+    first = first.select(F.col("old").alias("class_name"), "new_name", "_o")
     u = _class_keys(units, keys)
     j = u.join(first, "class_name")
     pkg = F.regexp_replace("class_fqn", "\\.?[^.]*$", "")
@@ -164,7 +165,7 @@ def resolve_class_suggestions(sugg: DataFrame, units: DataFrame | None, keys: Da
 def resolve_method_suggestions(sugg: DataFrame, units: DataFrame | None, keys: DataFrame | None = None) -> DataFrame:
     valid, _ = valid_suggestions(sugg)
     first = _first_per(valid.filter(F.col("kind") == "method"), "old", F.col("new"))
-    first = sized_broadcast(first.select(F.col("old").alias("method_name"), "new_name", "_o"))
+    first = first.select(F.col("old").alias("method_name"), "new_name", "_o")
     u = _method_keys(units, keys)
     return (u.join(first, "method_name")
              .groupBy(F.col("qualified_signature").alias("old_key"))
@@ -243,6 +244,7 @@ def fallback_fill(mapping: DataFrame, units: DataFrame, allowed: DataFrame, excl
                   parity: bool = False) -> DataFrame:
     """Add guessed method rules when none survived and pool names for the first 7 short keys
     when no simple rule survived.  The emptiness tests are bounded probes (``limit(1)``)."""
+    mapping = cut_lineage(mapping)              # written before it is probed: the probes and the result read one table
     out = mapping.withColumn("source", F.lit("model"))
     has_method = len(mapping.filter(F.col("kind") == "method").limit(1).collect()) > 0
     has_simple = len(mapping.filter(F.col("kind") == "simple").limit(1).collect()) > 0

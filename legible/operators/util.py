@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows below which a side table is broadcast; beyond it the plan stays a shuffle join and AQE
-# (skew split, runtime broadcast of small stages) takes over.
-BROADCAST_MAX_ROWS = 200_000
-
-
 def join_nulls(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which null equals null; the left side's key columns stay."""
     r = right.withColumnsRenamed({k: "_right_" + k for k in keys})

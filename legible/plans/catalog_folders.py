@@ -201,7 +201,7 @@ def q_full_refactor_paths(spark, d):
     return package_refactor_job(_files(spark, d))[0].select("page_id", "new_path", "new_text")
 
 
-from legible.plans import catalog_java, catalog_providers, catalog_rewrite, catalog_units  # noqa: E402,F401  (registers their queries)
+from legible.plans import catalog_java, catalog_providers, catalog_rewrite, catalog_stages, catalog_units  # noqa: E402,F401  (registers their queries)
 
 
 # ============================================================ folder prompts (I4) and model-or-heuristic names

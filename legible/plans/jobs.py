@@ -59,12 +59,17 @@ class Options:
                 "path": None if self.replies_path is None else "%s/%s" % (self.replies_path.rstrip("/"), what)}
 
 
+def included(files: DataFrame, opts: Options, path_col: str = "rel_path") -> DataFrame:
+    """Files that no exclusion glob names (S3)."""
+    if not opts.exclude_globs:
+        return files
+    return files.filter(~F.coalesce(T.excluded_by(path_col, list(opts.exclude_globs)), F.lit(False)))
+
+
 # L1
 def analyze_job(files: DataFrame, opts: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files -> (declarations, units, rejects); declarations are materialised once."""
-    if opts.exclude_globs:
-        files = files.filter(~F.coalesce(T.excluded_by("rel_path", list(opts.exclude_globs)), F.lit(False)))
-    decls = cut_lineage(E.java_declarations(files))
+    decls = cut_lineage(E.java_declarations(included(files, opts)))
     rejects = decls.filter(F.col("unit_kind") == "error").select("file", "error")
     return decls, E.java_units(decls, flat_names=opts.flat_names), rejects
 
@@ -89,16 +94,18 @@ def suggest_job(units: DataFrame, opts: Options = Options()) -> DataFrame:
         ranked = join_nulls(replies, calls, ["_grp", "batch_no"])
         sugg = I.parse_suggestions(ranked, ["batch_id"])
         mapping = S.suggestions_to_mapping(sugg, None, keys)
-    restricted = cut_lineage(S.restrict_to_allowed(mapping, keys))      # the fill probes it
+    restricted = S.restrict_to_allowed(mapping, keys)
     return S.fallback_fill(restricted, units, keys)
 
 
 # L3
-def apply_job(files: DataFrame, mapping: DataFrame, key: str = "rel_path") -> DataFrame:
+def apply_job(files: DataFrame, mapping: DataFrame, key: str = "rel_path", decls: DataFrame | None = None) -> DataFrame:
     """A1-A8 in one pass: imports, class names, members in their owner's file and short names are spans on the original
     text (``spans.apply_spans``); adds ``new_text``, ``n_replacements`` (all kinds) and ``hits`` by kind.  The mapping is
-    written once: several lookups read it."""
-    return apply_spans(files, cut_lineage(S.effective_rules(mapping)), path_col=key)
+    written once: several lookups read it.  With the files' declarations ``new_path`` follows renamed top types (A13)."""
+    rules = cut_lineage(S.effective_rules(mapping))
+    out = apply_spans(files, rules, path_col=key)
+    return out if decls is None else R.rename_files_for_types(out, decls, rules, key)
 
 
 # L4

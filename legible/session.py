@@ -63,11 +63,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
-
-
 def cut_lineage(df):
     """Reliable checkpoint into the shared folder, computing ``df`` once.
 

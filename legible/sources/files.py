@@ -56,43 +56,85 @@ def _scan(spark: SparkSession, root: str, exts: list[str], exclude_globs: list[s
 
 
 # S4
-def read_snippets(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNIPPET_SCHEMA).option("multiLine", True).json(path)
+#: fields beside the interchange ones: they make the table fit the next stage without a guess
+SNIPPET_EXTRA = Ty.StructType([Ty.StructField("unitKind", Ty.StringType()), Ty.StructField("outer", Ty.StringType()),
+                               Ty.StructField("ordinal", Ty.IntegerType())])
+SNIPPET_NAMES = {"classFqn": "class_fqn", "className": "class_name", "methodName": "method_name", "paramTypes": "param_types",
+                 "qualifiedSignature": "qualified_signature"}
+
+
+def read_snippets(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Snippet file -> the unit table that ``suggest_job`` reads.
+
+    One JSON object a line (``write_snippets``) is read in splits.  ``multi_line`` reads the interchange form, one JSON array,
+    whose file Spark parses in one task: a bounded import.  Files without the extra fields get the kind from the names
+    (no method name: class; the class's name: constructor) and the order of the file."""
+    raw = spark.read.schema(Ty.StructType(SNIPPET_SCHEMA.fields + SNIPPET_EXTRA.fields)).option("multiLine", multi_line).json(path)
+    u = raw.withColumnsRenamed(SNIPPET_NAMES)
+    kind = F.coalesce("unitKind", F.when(F.coalesce("method_name", F.lit("")) == "", "class")
+                      .when(F.col("method_name") == F.col("class_name"), "ctor").otherwise("method"))
+    order = F.coalesce(F.col("ordinal").cast("bigint"), F.monotonically_increasing_id())
+    return u.select("file", "pkg", "class_fqn", "class_name", F.coalesce("method_name", F.lit("")).alias("method_name"), "param_types",
+                    "qualified_signature", "decl", "code", "strings", "outer", kind.alias("unit_kind"),
+                    F.struct("file", order.alias("ordinal")).alias("unit_order"))
+
+
+# K1
+def write_snippets(units: DataFrame, path: str, fmt: str = "json", cap: int | None = None) -> None:
+    """Units as a stage file: one JSON object a line with the interchange names, or parquet.  ``cap`` cuts the code."""
+    code = F.col("code") if cap is None else T.truncate_text("code", cap)
+    back = {v: k for k, v in SNIPPET_NAMES.items()}
+    cols = [(code if c == "code" else F.col(c)).alias(back.get(c, c)) for c in (
+        "file", "pkg", "class_fqn", "class_name", "method_name", "param_types", "qualified_signature", "decl", "code", "strings")]
+    extra = [F.col("unit_kind").alias("unitKind"), F.col("outer") if "outer" in units.columns else F.lit(None).cast("string").alias("outer"),
+             F.col("unit_order.ordinal").cast("int").alias("ordinal")]
+    units.select(*cols, *extra).write.mode("overwrite").format(fmt).save(path)
+
+
+# The long table is the stage file
+MAPPING_TABLE = "kind string, old_key string, new_name string, prio bigint"
+
+
+def write_mapping_table(mapping: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The mapping as a long table (parquet or one JSON object a line): a folder per kind, rules in ranges of their order,
+    so writing and reading split however many rules there are."""
+    cols = mapping.select("kind", "old_key", "new_name", F.col("prio").cast("bigint").alias("prio"))
+    (cols.repartitionByRange(F.col("kind"), F.col("prio"), F.col("old_key")).sortWithinPartitions("kind", "prio", "old_key")
+     .write.mode("overwrite").partitionBy("kind").format(fmt).save(path))
+
+
+def read_mapping_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    return spark.read.schema(MAPPING_TABLE).format(fmt).load(path).select("kind", "old_key", "new_name", "prio")
 
 
 # S5
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Four-map JSON file -> long table ``kind, old_key, new_name, prio`` (prio = position in its map)."""
+    """Import of the interchange form: one JSON object with four maps -> ``kind, old_key, new_name, prio`` (prio = position
+    in its map).  Spark parses the object in one task, so this is for files of export size."""
     raw = spark.read.schema(MAPPING_SCHEMA).option("multiLine", True).json(path)
-    parts = []
-    for field, kind in MAPPING_KINDS.items():
-        parts.append(raw.select(F.lit(kind).alias("kind"),
-                                F.posexplode(F.map_entries(F.coalesce(F.col(field), F.create_map().cast(
-                                    "map<string,string>")))).alias("prio", "e"))
-                     .select("kind", F.col("e.key").alias("old_key"), F.col("e.value").alias("new_name"),
-                             F.col("prio").cast("bigint").alias("prio")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    maps = F.array(*[F.struct(F.lit(kind).alias("kind"), F.map_entries(F.coalesce(
+        F.col(f), F.create_map().cast("map<string,string>"))).alias("es")) for f, kind in MAPPING_KINDS.items()])
+    one = raw.select(F.inline(maps)).select("kind", F.posexplode("es").alias("prio", "e"))
+    return one.select("kind", F.col("e.key").alias("old_key"), F.col("e.value").alias("new_name"), F.col("prio").cast("bigint").alias("prio"))
+
+
+EXPORT_MAX_RULES = 200_000
 
 
 # K2
-def write_mapping(mapping: DataFrame, path: str) -> None:
-    """Long table -> one JSON object with the four maps (insertion order = prio)."""
+def write_mapping(mapping: DataFrame, path: str, max_rules: int = EXPORT_MAX_RULES) -> None:
+    """Bounded export of the interchange form, one JSON object with four maps (insertion order = prio).
+
+    The object is one value, so a mapping above ``max_rules`` is refused (counted first): use ``write_mapping_table``."""
+    n = mapping.count()
+    if n > max_rules:
+        raise ValueError("%d rules exceed the export's bound of %d; write_mapping_table has none" % (n, max_rules))
     inv = {v: k for k, v in MAPPING_KINDS.items()}
     # one row per kind (four rows); entries sorted by prio keep the insertion order
     per = mapping.groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("prio", "old_key", "new_name"))).alias("xs"))
-    per = per.select("kind", F.map_from_entries(F.transform("xs", lambda x: F.struct(x["old_key"], x["new_name"])))
-                     .alias("m"))
-    row = per.groupBy().agg(*[F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(inv[k])
-                              for k in inv])
-    row.coalesce(1).write.mode("overwrite").json(path)
-
-
-# K1
-def write_snippets(units: DataFrame, path: str, fmt: str = "parquet") -> None:
-    units.write.mode("overwrite").format(fmt).save(path)
+    per = per.select("kind", F.map_from_entries(F.transform("xs", lambda x: F.struct(x["old_key"], x["new_name"]))).alias("m"))
+    row = per.groupBy().agg(*[F.first(F.when(F.col("kind") == k, F.col("m")), ignorenulls=True).alias(inv[k]) for k in inv])
+    row.write.mode("overwrite").json(path)
 
 
 # K3 + K4
