@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions import text as T
-from legible.operators.lookup import with_map
+from legible.operators.lookup import at, with_map
 from legible.operators.order import dense_seq, top_k_per_group
 from legible.session import checkpoint_dir, cut_lineage
 
@@ -155,7 +155,7 @@ def move_paths(files: DataFrame, plan: DataFrame) -> DataFrame:
 
     The plan is looked up in the row (``lookup.with_map``), so a file's other columns stay where they are."""
     moved = with_map(files, F.array("folder"), plan.select("folder", "new_folder").filter("folder is not null"), "_to", "folder", "new_folder")
-    out = moved.withColumn("new_folder", F.col("_to")[F.coalesce("folder", F.lit(""))]).drop("_to")
+    out = moved.withColumn("new_folder", at(F.col("_to"), F.coalesce("folder", F.lit("")))).drop("_to")
     folder = F.coalesce("new_folder", "folder")
     return out.withColumn("new_path", F.concat_ws("/", F.when(folder != "", folder), F.col("file_name")))
 

@@ -4,10 +4,10 @@ A rule table whose rows and characters are *measured* below a bound becomes one
 indexed by the key's checksum, so a lookup reads a handful of entries however many rules there are.  Texts are then
 rewritten where they are: nothing of them is shuffled, sorted or joined.
 
-A larger table is first reduced to the keys that occur (distinct occurring keys are partial aggregates, so a frequent
-one collapses before the shuffle).  If that is still above the bound, every distinct key array gets its own small map by
-a join.  Keys are salted in it, so no frequent key is a join key of its own, and texts move once, with their maps.
-All ways give the same map; only the plan differs.
+A larger table is first reduced to the keys that occur, with their numbers of rows (partial aggregates, so a frequent
+key collapses before the shuffle).  If that is still above the bound, the most frequent keys become the constant, as many
+as it holds, and only the rest is joined: none of its keys can be frequent, most rows ask for few of them, and texts move
+once, with their rules.  All ways give the same rules; only the plan differs.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legible.session import cut_lineage
+
 LOOKUP_MAX_ROWS = 100_000       # rules in one constant
 LOOKUP_MAX_CHARS = 4 << 20      # characters of keys and values in one constant
+KEY_CHARS = 1000                # a longer key is never part of the constant of frequent keys
 ENTRIES_PER_BUCKET = 4
-SALTS = 16
 
 
 def let(value: Column, body) -> Column:
@@ -63,26 +65,68 @@ def measured_lookup(rules: DataFrame, key: str = "old_key", value: str = "new_na
     return Lookup({r[0]: _plain(r[1]) for r in rules.select(key, value).collect()}, rules.schema[value].dataType.simpleString())
 
 
+def bucketed(entries: Column) -> Column:
+    """Array of (k, v) with distinct keys -> array of small maps by the key's checksum, about the root of their number, so
+    neither building nor reading a row's rules goes over all of them each time.  No entries: an empty array."""
+    def spread(es: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(es))).cast("long")
+        buckets = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda b: F.map_from_entries(F.transform(
+            F.filter(es, lambda e: F.pmod(e["h"], n) == b), lambda e: F.struct(e["k"], e["v"]))))
+        return F.when(F.size(es) > 0, buckets).otherwise(F.slice(buckets, 1, 0))
+    hashed = F.transform(entries, lambda e: F.struct(F.crc32(e["k"].cast("binary")).alias("h"), e["k"].alias("k"), e["v"].alias("v")))
+    return F.when(F.size(entries) > 0, let(hashed, spread))
+
+
+def at(rules: Column, key: Column) -> Column:
+    """The rule of ``key`` in a row's bucketed rules; null where there is none."""
+    return F.get(rules, F.pmod(F.crc32(key.cast("binary")), F.greatest(F.size(rules), F.lit(1))).cast("int"))[key]
+
+
+def no_rules(kind: str = "string") -> Column:
+    return F.array().cast("array<map<string,%s>>" % kind)
+
+
 def with_map(files: DataFrame, keys: Column, rules: DataFrame, out: str, key: str = "old_key", value: str = "new_name") -> DataFrame:
-    """Add ``out``: a map from those of a row's ``keys`` (array of strings) that have a rule to the rule's value.
+    """Add ``out``: those of a row's ``keys`` (array of strings) that have a rule, with the rule's value, ``bucketed``; read
+    it with ``at``.
 
     ``rules`` has one row per key and is read several times: pass a written table."""
-    kind = "map<string,%s>" % rules.schema[value].dataType.simpleString()
-    none = F.map_from_arrays(F.array(), F.array()).cast(kind)
+    kind = rules.schema[value].dataType.simpleString()
     keys = F.array_distinct(F.coalesce(keys, F.array().cast("array<string>")))
+
+    def hits(found):
+        return F.filter(F.transform(keys, lambda k: F.struct(k.alias("k"), found(k).alias("v"))), lambda e: e["v"].isNotNull())
+
     found = measured_lookup(rules, key, value)
     if found is None:
-        used = files.select(F.explode(keys).alias(key)).groupBy(key).count().select(key)
-        rules = rules.join(used, key, "left_semi")
+        used = files.select(F.explode(keys).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+        rules = cut_lineage(rules.join(used, key))
         found = measured_lookup(rules, key, value)
     if found is not None:
-        if found.empty:
-            return files.withColumn(out, none)
-        hits = F.filter(F.transform(keys, lambda k: F.struct(k.alias("k"), found(k).alias("v"))), lambda e: e["v"].isNotNull())
-        return files.withColumn(out, F.map_from_entries(hits))
-    ident = F.sha2(F.to_json(keys), 256)
-    asked = files.select(ident.alias("_of"), keys.alias("_ks")).dropDuplicates(["_of"])
-    asked = asked.select("_of", F.explode("_ks").alias(key)).withColumn("_salt", F.pmod(F.crc32("_of"), F.lit(SALTS)).cast("int"))
-    spread = rules.select(key, F.col(value).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    maps = asked.join(spread, [key, "_salt"]).groupBy("_of").agg(F.map_from_entries(F.collect_list(F.struct(key, "_v"))).alias(out))
-    return (files.withColumn("_of", ident).join(maps, "_of", "left").drop("_of").withColumn(out, F.coalesce(out, none)))
+        return files.withColumn(out, no_rules(kind) if found.empty else F.coalesce(let(hits(found), bucketed), no_rules(kind)))
+    found = frequent_lookup(rules, key, value)
+    # rows that ask for the same keys share their rules; they are brought together by a checksum, where others may meet
+    # them: a row with more rules than it asked for reads the same values
+    rare = F.filter(keys, lambda k: found(k).isNull())
+    ident = F.when(F.size(rare) > 0, F.xxhash64(rare))
+    asked = files.select(ident.alias("_of"), rare.alias("_ks")).filter("_of is not null").groupBy("_of").agg(
+        F.array_distinct(F.flatten(F.collect_set("_ks"))).alias("_ks"))
+    asked = asked.select("_of", F.explode("_ks").alias(key))
+    rest = rules.filter(found(F.col(key)).isNull()).select(key, F.col(value).alias("_v"))
+    given = asked.join(rest, key).groupBy("_of").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col("_v").alias("v"))).alias("_es"))
+    joined = files.withColumn("_of", ident).join(given, "_of", "left")
+    both = F.concat(hits(found), F.coalesce("_es", F.array().cast("array<struct<k:string,v:%s>>" % kind)))
+    return joined.withColumn(out, F.coalesce(let(both, bucketed), no_rules(kind))).drop("_of", "_es")
+
+
+def frequent_lookup(rules: DataFrame, key: str, value: str) -> Lookup:
+    """The lookup of the most frequent keys (by ``_rows``), as many as the bounds allow."""
+    small = (F.length(key) <= KEY_CHARS) & (F.length(F.to_json(F.struct(F.col(value)))) <= KEY_CHARS)
+    top = rules.filter(small).orderBy(F.desc("_rows"), key).limit(LOOKUP_MAX_ROWS).select(key, value).collect()
+    pairs, left = {}, LOOKUP_MAX_CHARS
+    for k, v in ((r[0], _plain(r[1])) for r in top):
+        left -= len(k) + len(json.dumps(v))
+        if left < 0:
+            break
+        pairs[k] = v
+    return Lookup(pairs, rules.schema[value].dataType.simpleString())

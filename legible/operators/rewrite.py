@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions.text import IDENT_CLASS, class_fqn, fqn_from_path
-from legible.operators.lookup import let, with_map
+from legible.operators.lookup import at, let, with_map
 from legible.operators.spans import apply_spans, first_rules, identifiers
 from legible.operators.util import bounded_collect
 from legible.session import cut_lineage
@@ -114,8 +114,8 @@ def rewrite_tokens_lookup(files: DataFrame, rules: DataFrame, text_col: str = "t
 
     def both(m):
         return let(tokens_of(text_col), lambda ts: F.struct(
-            F.array_join(F.transform(ts, lambda x: F.coalesce(m[x], x)), "").alias("t"),
-            F.size(F.filter(ts, lambda x: m[x].isNotNull())).cast("bigint").alias("n")))
+            F.array_join(F.transform(ts, lambda x: F.coalesce(at(m, x), x)), "").alias("t"),
+            F.size(F.filter(ts, lambda x: at(m, x).isNotNull())).cast("bigint").alias("n")))
     same = F.struct(F.col(text_col).alias("t"), F.lit(0).cast("bigint").alias("n"))
     done = F.when(F.col(text_col).isNull() | (F.size("_map") == 0), same).otherwise(let(F.col("_map"), both))
     out = mapped.withColumn("_done", done)
@@ -249,7 +249,7 @@ def rewrite_import_prefix(files: DataFrame, pkg_map: DataFrame, key: str | None
     def one(m):
         def line(ln):
             found = F.filter(F.transform(_prefixes(_import_name(ln)), lambda p: F.struct(
-                m[p]["prio"].alias("prio"), p.alias("old"), m[p]["new_pkg"].alias("new"))), lambda z: z["new"].isNotNull())
+                at(m, p)["prio"].alias("prio"), p.alias("old"), at(m, p)["new_pkg"].alias("new"))), lambda z: z["new"].isNotNull())
             return let(F.array_min(found), lambda b: F.struct(F.when(b.isNull(), ln).otherwise(renamed(ln, b)).alias("t"), b.isNotNull().alias("hit")))
         return let(F.transform(F.split(F.col(text_col), "\n", -1), line), lambda ls: F.struct(
             F.array_join(F.transform(ls, lambda z: z["t"]), "\n").alias("t"), F.size(F.filter(ls, lambda z: z["hit"])).cast("bigint").alias("n")))
@@ -357,7 +357,7 @@ def rewrite_token_spans(files: DataFrame, token_regex: str, mapping: DataFrame,
     out = with_map(spans, F.transform("_spans", lambda x: x["tok"]), rules, "_map")
 
     def hits(m):
-        return F.filter(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), m[x["tok"]].alias("new"))),
+        return F.filter(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), at(m, x["tok"]).alias("new"))),
                         lambda x: x["new"].isNotNull())
     out = out.withColumn("_hits", let(F.col("_map"), hits))
     return out.select(*files.columns, F.when(F.size("_hits") == 0, F.col(text_col)).otherwise(splice(text_col, "_hits")).alias("new_text"),
@@ -402,7 +402,7 @@ def rename_files_for_types(files: DataFrame, decls: DataFrame, mapping: DataFram
     stay = stay.select("folder", parent_of("folder").alias("parent"), F.regexp_replace(leaf_of("folder"), "\\.[^.]*$", "").alias("name"))
     plan = resolve_name_conflicts(cands, cut_lineage(stay)).select("folder", F.concat("new_folder", ext).alias("path"))
     out = with_map(files, F.array(path_col), cut_lineage(plan), "_to", "folder", "path")
-    return out.withColumn("new_path", F.coalesce(F.col("_to")[F.coalesce(F.col(path_col), F.lit(""))], F.col(path_col))).drop("_to")
+    return out.withColumn("new_path", F.coalesce(at(F.col("_to"), F.coalesce(F.col(path_col), F.lit(""))), F.col(path_col))).drop("_to")
 
 
 # A14

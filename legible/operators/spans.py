@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from legible.functions.text import IDENT_CLASS, fqn_from_path
-from legible.operators.lookup import let, measured_lookup, with_map
+from legible.operators.lookup import at, bucketed, let, measured_lookup, no_rules, with_map
 
 WS = "[ \\t\\n\\x0B\\f\\r]"
 IMPORT_START = "[ \\t]*import[ \\t]+"
@@ -45,12 +45,12 @@ def owner_members(mapping: DataFrame) -> DataFrame:
 
 
 def _owned(mapping: DataFrame) -> DataFrame:
-    """One row per owner: ``_m`` (method name -> new) and ``_f`` (field name -> new); the first rule of a name holds."""
+    """One row per owner: its method and its field names with their new ones, bucketed; the first rule of a name holds."""
     first = (owner_members(mapping).groupBy("owner", "call", "old_name")
              .agg(F.min_by("new_name", F.struct("prio", "new_name")).alias("new")))
 
     def of(call: bool) -> Column:
-        return F.map_from_entries(F.collect_list(F.when(F.col("call") == call, F.struct("old_name", "new"))))
+        return bucketed(F.collect_list(F.when(F.col("call") == call, F.struct(F.col("old_name").alias("k"), F.col("new").alias("v")))))
     return first.groupBy("owner").agg(F.struct(of(True).alias("m"), of(False).alias("f")).alias("members"))
 
 
@@ -65,8 +65,8 @@ def identifiers(text: Column) -> Column:
 def _replaced(text: Column, m: Column) -> Column:
     """(new text, kind of every hit) by the row's maps ``m`` (fields import, class, method, field, simple)."""
     def hit(ident: Column, call: Column) -> Column:
-        found = [("class", m["class"][ident]), ("method", F.when(call, m["method"][ident])),
-                 ("field", m["field"][ident]), ("simple", m["simple"][ident])]
+        found = [("class", at(m["class"], ident)), ("method", F.when(call, at(m["method"], ident))),
+                 ("field", at(m["field"], ident)), ("simple", at(m["simple"], ident))]
         new = F.coalesce(*[v for _, v in found])
         kind = F.lit(None).cast("string")
         for name, v in reversed(found):
@@ -77,7 +77,7 @@ def _replaced(text: Column, m: Column) -> Column:
         return let(hit(tok, F.lit(False)), lambda h: F.struct(F.coalesce(h["new"], tok).alias("o"), h["kind"].alias("k")))
 
     def import_line(s: Column) -> Column:
-        new = m["import"][F.regexp_extract(s, "^%s(%s)" % (IMPORT_START, IMPORTED), 1)]
+        new = at(m["import"], F.regexp_extract(s, "^%s(%s)" % (IMPORT_START, IMPORTED), 1))
         parts = F.transform(F.regexp_extract_all(s, F.lit(TOKEN), 0), plain)
         whole = F.array(F.struct(F.concat(F.lit("import "), new, F.lit(";")).alias("o"), F.lit("import").alias("k")))
         return F.when(new.isNotNull(), whole).otherwise(parts)
@@ -103,7 +103,7 @@ def apply_spans(files: DataFrame, mapping: DataFrame, path_col: str = "rel_path"
 
     ``mapping``: (kind, old_key, new_name, prio), a written table (it is read several times).  A null text stays null.
     Rows need no key; repeated rows are each rewritten."""
-    kept, none = files.columns, F.map_from_arrays(F.array(), F.array()).cast("map<string,string>")
+    kept, none = files.columns, no_rules()
     classes = mapping.filter(F.col("kind") == "class")
     last = [F.substring_index(c, ".", -1) for c in ("old_key", "new_name")]
     ident = F.col("old_key").rlike("^[%s]+$" % IDENT_CLASS)

@@ -131,8 +131,8 @@ SELECT doc_id, array_to_string(list_transform(toks, lambda t: CASE WHEN regexp_f
 FROM d""")
 def q_rewrite_tokens_large(spark, d):
     files = docs(spark, d, "doc_id", "text")
-    words = files.select(F.explode(F.regexp_extract_all("text", F.lit(R.IDENT_RUN), 0)).alias("w")).filter(
-        F.col("w").rlike("^%s$" % LARGE_KEY)).groupBy("w").count()
+    words = cut_lineage(files.select(F.explode(F.regexp_extract_all("text", F.lit(R.IDENT_RUN), 0)).alias("w")).filter(
+        F.col("w").rlike("^%s$" % LARGE_KEY)).groupBy("w").count())
     right = words.select(F.col("w").alias("old_key"), F.concat(F.upper("w"), F.lit("_"), F.length("w").cast("string")).alias("new_name"),
                          F.lit(0).alias("prio"))
     again = words.filter(F.length("w") % 2 == 0).select(F.col("w").alias("old_key"), F.lit("late").alias("new_name"), F.lit(1).alias("prio"))

@@ -79,14 +79,25 @@ def test_no_text_is_shuffled(spark, tmp_path):
         assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
 
 
-def test_join_way_asks_with_salted_keys_and_whole_rows_stay(spark, monkeypatch):
-    monkeypatch.setattr(lookup, "LOOKUP_MAX_ROWS", 0)
+@pytest.mark.parametrize("bound", [0, 1, 30])
+def test_frequent_keys_are_constant_and_only_rare_ones_are_joined(spark, monkeypatch, bound):
+    monkeypatch.setattr(lookup, "LOOKUP_MAX_ROWS", bound)
     files = spark.createDataFrame([(i, "hot k%d hot" % i, "extra") for i in range(200)], "doc_id long, text string, old_key string")
     rules = spark.createDataFrame([("k%d" % i, "n%d" % i) for i in range(0, 200, 2)] + [("hot", "cold")], "old_key string, new_name string")
     out = R.rewrite_tokens_lookup(files, rules)
-    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in out._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["doc_id"], r["new_text"], r["n_replacements"], r["old_key"]) for r in out.collect()} == {
         (i, "cold %s%d cold" % ("k" if i % 2 else "n", i), 2 + (i + 1) % 2, "extra") for i in range(200)}
+    counted = rules.selectExpr("old_key", "new_name", "if(old_key = 'hot', 200, 1) AS _rows")
+    assert lookup.frequent_lookup(counted, "old_key", "new_name").empty == (bound == 0)
+
+
+def test_a_row_with_many_rules(spark):
+    n = 20_000
+    files = spark.createDataFrame([(1, " ".join("k%d" % i for i in range(n)))], "doc_id long, text string")
+    rules = spark.range(0, n, 2).selectExpr("concat('k', id) AS old_key", "concat('n', id) AS new_name")
+    r = R.rewrite_tokens(files, rules).first()
+    assert r["n_replacements"] == n // 2 and r["new_text"] == " ".join(("k%d" if i % 2 else "n%d") % i for i in range(n))
 
 
 def model(text, rules, owner):
