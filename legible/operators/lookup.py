@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from legible.session import cut_lineage
 
-LOOKUP_MAX_ROWS = 100_000       # rules in one constant
-LOOKUP_MAX_CHARS = 4 << 20      # characters of keys and values in one constant
+# the constant stands in the plan several times, and the driver keeps and prints plans: 20,000 rules are a few MB there,
+# while 100,000 ended a driver with 750 MB of heap
+LOOKUP_MAX_ROWS = 20_000        # rules in one constant
+LOOKUP_MAX_CHARS = 1 << 20      # characters of keys and values in one constant
 KEY_CHARS = 1000                # a longer key is never part of the constant of frequent keys
 ENTRIES_PER_BUCKET = 4
 
@@ -79,7 +81,7 @@ def bucketed(entries: Column) -> Column:
 
 def at(rules: Column, key: Column) -> Column:
     """The rule of ``key`` in a row's bucketed rules; null where there is none."""
-    return F.get(rules, F.pmod(F.crc32(key.cast("binary")), F.greatest(F.size(rules), F.lit(1))).cast("int"))[key]
+    return F.when(F.size(rules) > 0, F.get(rules, F.pmod(F.crc32(key.cast("binary")), F.greatest(F.size(rules), F.lit(1))).cast("int"))[key])
 
 
 def no_rules(kind: str = "string") -> Column:
