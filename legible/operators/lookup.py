@@ -24,7 +24,7 @@ from legible.session import cut_lineage
 # while 100,000 ended a driver with 750 MB of heap
 LOOKUP_MAX_ROWS = 20_000        # rules in one constant
 LOOKUP_MAX_CHARS = 1 << 20      # characters of keys and values in one constant
-KEY_CHARS = 1000                # a longer key is never part of the constant of frequent keys
+KEY_CHARS = 1000                # a rule with a longer key or value is never part of a constant
 ENTRIES_PER_BUCKET = 4
 
 
@@ -58,13 +58,16 @@ def _plain(v):
 
 
 def measured_lookup(rules: DataFrame, key: str = "old_key", value: str = "new_name") -> Lookup | None:
-    """The lookup of a table with one row per key; None if it measures above the bound."""
-    chars = F.length(key) + F.length(F.to_json(F.struct(F.col(value))))
-    rules = rules.filter(F.col(key).isNotNull())
-    n, size = rules.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
-    if n > LOOKUP_MAX_ROWS or size > LOOKUP_MAX_CHARS:
+    """The lookup of a table with one row per key; None if it measures above the bound.
+
+    One job: at most one row beyond the bound is fetched, and an overlong rule as a mark in its place."""
+    long = (F.length(key) > KEY_CHARS) | (F.length(F.to_json(F.struct(F.col(value)))) > KEY_CHARS)
+    cut = rules.filter(F.col(key).isNotNull()).select(F.when(~long, F.col(key)).alias("k"), F.when(~long, F.col(value)).alias("v"), long.alias("long"))
+    rows = cut.limit(LOOKUP_MAX_ROWS + 1).collect()
+    pairs = {r["k"]: _plain(r["v"]) for r in rows if not r["long"]}
+    if len(pairs) < len(rows) or len(rows) > LOOKUP_MAX_ROWS or sum(len(k) + len(json.dumps(v)) for k, v in pairs.items()) > LOOKUP_MAX_CHARS:
         return None
-    return Lookup({r[0]: _plain(r[1]) for r in rules.select(key, value).collect()}, rules.schema[value].dataType.simpleString())
+    return Lookup(pairs, rules.schema[value].dataType.simpleString())
 
 
 def bucketed(entries: Column) -> Column:

@@ -92,6 +92,13 @@ def test_frequent_keys_are_constant_and_only_rare_ones_are_joined(spark, monkeyp
     assert lookup.frequent_lookup(counted, "old_key", "new_name").empty == (bound == 0)
 
 
+def test_an_overlong_rule_is_joined(spark):
+    files = spark.createDataFrame([(1, "a " + "b" * 1500 + " c")], "doc_id long, text string")
+    rules = spark.createDataFrame([("a", "x"), ("b" * 1500, "y"), ("c", "z" * 1500)], "old_key string, new_name string")
+    r = R.rewrite_tokens_lookup(files, rules).first()
+    assert r["new_text"] == "x y " + "z" * 1500 and r["n_replacements"] == 3
+
+
 def test_a_row_with_many_rules(spark):
     n = 20_000
     files = spark.createDataFrame([(1, " ".join("k%d" % i for i in range(n)))], "doc_id long, text string")
@@ -134,7 +141,7 @@ text_st = st.lists(st.one_of(names, st.sampled_from([" ", "(", ";", "\n", "\r\n"
                    max_size=25).map("".join)
 
 
-@settings(max_examples=8, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, phases=[Phase.generate], suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(text_st, min_size=20, max_size=60), rules_st)
 def test_equals_the_model(spark, texts, raw):
     rules = [(k, {"class": "p." + o, "simple": o}.get(k, "p.A#" + o), "p." + n if k == "class" else n) for k, o, n in raw if o != n]
