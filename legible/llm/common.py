@@ -58,9 +58,30 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stage_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Like ``stage``, but bucketed by ``key``: joins on it move the other side only.
+
+    Such a side is not split at run time, so join it only with rows that have no hot ``key``; ``plain`` reads the
+    same files without buckets."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path, n = f"{shared_dir(spark)}/llm/{name}", partitions(spark)
+    df.repartition(n, key).write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.stage_path, out.stage_name = path, name
+    return out
+
+
+def plain(table: DataFrame) -> DataFrame:
+    """A staged table without its buckets."""
+    return table.sparkSession.read.schema(table.schema).parquet(table.stage_path)
+
+
 def unstage(*tables: DataFrame) -> None:
     """Delete staged tables that no plan reads any more."""
     for t in tables:
+        if hasattr(t, "stage_name"):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.stage_name}")
         jvm, conf = t.sparkSession._jvm, t.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(t.stage_path)
         path.getFileSystem(conf).delete(path, True)

@@ -16,7 +16,8 @@ than needed let a set leave out its empty projections unless it has more than ``
 bucket (a large family of near copies) pairing all would be quadratic: its sets are joined further on the
 rarest shingles of each set (a linked pair must share one early in rarest-first order).  First every set is compared with the most
 central set of its rare-shingle groups, which is linear; then only pairs whose sets are still in different
-components are formed.  All candidates are verified on the exact sets, after a bound by short marks.
+components are formed.  All candidates are verified on the exact sets, after a bound by short marks; the sets are
+written once, bucketed by node, and only those of the hubs of pairs travel again.
 
 Edge cases: null, empty and blank texts have the empty set and link with nothing; fewer words than a shingle
 give the whole sequence as one shingle; equal sets are one class (never paired); null ids take part like any
@@ -33,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legible.llm.common import mix, partitions, shingles, stage, text_batches, unstage, word_hashes
+from legible.llm.common import (mix, partitions, plain, shingles, stage, stage_by, text_batches, unstage,
+                                word_hashes)
 from legible.llm.components import components
 
 #: Members up to which a signature's bucket is paired directly.
@@ -42,6 +44,8 @@ SMALL = 8
 ENUMERATE = 6
 #: Bits of a set's mark.
 MARK = 2048
+#: Bits of a signature that travel: two sets that agree in these only are one more candidate, never a lost one.
+SIGNED = 48
 
 
 class Bands:
@@ -133,18 +137,36 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def alone(x: str, y: str) -> F.Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda s, v: s + v)
 
-    x = sets.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("mark").alias("_p"))
-    y = sets.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("mark").alias("_q"))
+    marks = plain(sets)
+    x = marks.select(F.col("node").alias("a"), F.col("n").alias("_n"), F.col("mark").alias("_p"))
+    y = marks.select(F.col("node").alias("b"), F.col("n").alias("_m"), F.col("mark").alias("_q"))
     most = F.least(F.col("_n") - alone("_p", "_q"), F.col("_m") - alone("_q", "_p"))
     able = stage(pairs.join(x, "a").join(y, "b").filter(enough(most, F.col("_n") + F.col("_m"))).select("a", "b"), "near-able")
-    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x"))
-    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y"))
+    led = _led(able)
+    hubs = stage(sets.join(led.select(F.col("hub").alias("node")).distinct(), "node", "left_semi").select("node", "shingles"), "near-hubs")
+    x = led.join(sets.select(F.col("node").alias("end"), F.col("shingles").alias("_x")), "end")
+    y = hubs.select(F.col("node").alias("hub"), F.col("shingles").alias("_y"))
     both = F.size(F.array_intersect("_x", "_y"))
-    links = stage(able.join(x, "a").join(y, "b").filter(enough(both, F.size("_x") + F.size("_y"))).select("a", "b"), "near-links")
-    unstage(able)
+    links = stage(x.join(y, "hub").filter(enough(both, F.size("_x") + F.size("_y")))
+                  .select(F.col("end").alias("a"), F.col("hub").alias("b")), "near-links")
+    unstage(able, led, hubs)
     return links
 
 
+def _led(pairs: DataFrame) -> DataFrame:
+    """The pairs as ``end, hub``: the hub is the node with more pairs (ties: the larger node).
+
+    An end of d pairs has only hubs of d pairs or more, so of m pairs no end has over sqrt(2 m): ends are never
+    hot keys, and the whole sets that go to their hubs are few."""
+    many = stage(pairs.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("d")), "near-degrees")
+    at = (pairs.join(many.select(F.col("v").alias("a"), F.col("d").alias("_d")), "a")
+          .join(many.select(F.col("v").alias("b"), F.col("d").alias("_e")), "b"))
+    p, q = F.struct(F.col("_d").alias("d"), F.col("a").alias("v")), F.struct(F.col("_e").alias("d"), F.col("b").alias("v"))
+    led = stage(at.select(F.least(p, q)["v"].alias("end"), F.greatest(p, q)["v"].alias("hub")), "near-led")
+    unstage(many)
+    return led
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
                  percent: int = 85) -> DataFrame:
     """Per input row: ``<id_col>, n_shingles, class_id, component_id``.
@@ -163,18 +185,16 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for b in batches:
-            seen, sigs, his, los = set(), [], [], []
+            seen, sigs, his = set(), [], []
             for s in _sets(b.column(0).to_pylist(), n):
                 if len(s) and (d := _digest(s)) not in seen:
                     seen.add(d)
                     g = signatures(s, bands)
-                    sigs.append(g)
+                    sigs.append(g >> np.uint64(64 - SIGNED))
                     his.append(np.full(len(g), d[0], np.int64))
-                    los.append(np.full(len(g), d[1], np.int64))
             if sigs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(his)), pa.array(np.concatenate(los))],
-                    ["sig", "hi", "lo"])
+                    [pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(his))], ["sig", "hi"])
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,17 +212,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # signatures that two different sets hold
     own = Window.partitionBy("sig")
     shared = stage(
-        src.select("_text").mapInArrow(sign, "sig bigint, hi bigint, lo bigint")
+        src.select("_text").mapInArrow(sign, "sig bigint, hi bigint")
         .repartition(partitions(docs.sparkSession), "sig")
         .withColumn("_min", F.min("hi").over(own)).withColumn("_max", F.max("hi").over(own))
-        .filter("_min < _max").select("sig", "hi", "lo").distinct(), "near-shared")
-    held = shared.select("hi", "lo").distinct()
-    wanted = stage(classes.join(held, ["hi", "lo"]), "near-wanted")
-    sets = stage(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
-                 .mapInArrow(collect, "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>").dropDuplicates(["hi", "lo"])
-                 .select(_node(), "n", "mark", "shingles"), "near-sets")
-
-    pairs, crowd, buckets = _first_pairs(shared, wanted.select(_node(), "n"), sets, percent)
+        .filter("_min < _max").select("sig", "hi").distinct(), "near-shared")
+    held = shared.select("hi").distinct()
+    wanted = stage(classes.join(held, "hi"), "near-wanted")
+    sets = stage_by(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
+                 .mapInArrow(collect, "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>")
+                    .select(_node(), "n", "mark", "shingles").repartition(partitions(docs.sparkSession), "node").dropDuplicates(["node"]),
+                    "node", "near-sets")
+
+    pairs, crowd, buckets = _first_pairs(shared, wanted.select("hi", _node(), "n"), sets, percent)
     links = verified(pairs, sets, percent)
     unstage(shared, buckets)
     if crowd is not None:
@@ -222,7 +243,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def _first_pairs(shared: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """Pairs of small buckets and, for sets of crowded buckets, pairs with the centres of their rare-shingle groups;
     the rare-shingle rows (None without crowded buckets) and the sized buckets too."""
-    sized = stage(shared.select("sig", _node()).join(sizes, "node").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))),
+    sized = stage(shared.join(sizes, "hi").select("sig", "node", "n").withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))),
                   "near-buckets")
     # at most SMALL nodes a list; equal lists (one family shares many signatures) count once
     lists = (sized.filter(F.col("m") <= SMALL).groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("n", "node"))).alias("l"))

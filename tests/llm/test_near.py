@@ -41,3 +41,22 @@ def test_edges(spark, edge, nothing):
         n = len(shingle_set(t, 4))
         assert (i, n, 5 if n == 2 else i) in got
     assert jaccard_join(edge).count() == len(EDGE) and jaccard_join(nothing).count() == 0
+
+
+def test_led_pairs_have_no_hot_end(spark):
+    from legible.llm.near import _led
+
+    star = [(bytes([0]), bytes([i])) for i in range(1, 101)] + [(bytes([i]), bytes([200])) for i in range(1, 41)]
+    pairs = spark.createDataFrame(star, "a binary, b binary")
+    led = [(bytes(r["end"]), bytes(r["hub"])) for r in _led(pairs).collect()]
+    assert sorted(tuple(sorted(p)) for p in led) == sorted(tuple(sorted(p)) for p in star)
+    ends = [e for e, _ in led]
+    assert max(map(ends.count, set(ends))) ** 2 <= 2 * len(star)
+
+
+def test_staged_buckets_are_dropped(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = [(i, " ".join(f"w{j}" for j in range(40)) + (" x" if i % 2 else "")) for i in range(40)]
+    out = jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["component_id"] for r in out} == {0}
+    assert {t.name for t in spark.catalog.listTables()} == before
