@@ -193,3 +193,22 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: s
     src = encoded.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + f", `{out_col}` binary"
     return src.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``<id_col>, ids array<int>, decodes boolean``: the ids and whether their bytes are the text (null: empty), in one pass."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+    text_batches(spark, 800)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, tokens = process_memo(shared.value, pattern, _encoder), np.array(shared.value, object)
+        for b in batches:
+            texts = [t or b"" for t in b.column(1).to_pylist()]
+            flat, ends = memo.ids(texts)
+            same = [b"".join(tokens[flat[s:e]].tolist()) == t for t, s, e in zip(texts, ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(flat, ends), pa.array(same, pa.bool_())], ["_id", "ids", "decodes"])
+
+    src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
+    kind = src.schema["_id"].dataType.simpleString()
+    return src.mapInArrow(run, f"_id {kind}, ids array<int>, decodes boolean").withColumnRenamed("_id", id_col)

@@ -13,8 +13,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +130,17 @@ def word_hashes(texts: list[bytes | None], lower: bool = False) -> tuple[np.ndar
     return np.array(flat, np.uint64), offsets
 
 
+def forgetting(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; when the task ends its process forgets its words, so idle workers stay small."""
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _MEMO.clear()
+            pa.default_memory_pool().release_unused()
+    return task
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser over an array (wrapping arithmetic)."""
     h = h ^ (h >> np.uint64(31))

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from legible.llm.common import gram_hashes, stage, text_batches, unstage, word_hashes
+from legible.llm.common import forgetting, gram_hashes, stage, text_batches, unstage, word_hashes
 
 #: Shingles of items that are sent to the tasks at once (8 bytes each, and a few times that as Python objects).
 BLOCK = 1_000_000
@@ -121,7 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0), b.column(1), pa.array(found, b.column(2).type), pa.array(best, pa.float64())], b.schema.names)
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(forgetting(run), schema)
 
     shared = staged = None
     for block in _blocks(items, item_id, item_text):

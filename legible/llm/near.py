@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from legible.llm.common import (mix, partitions, plain, shingles, stage, stage_by, text_batches, unstage,
+from legible.llm.common import (forgetting, mix, partitions, plain, shingles, stage, stage_by, text_batches, unstage,
                                 word_hashes)
 from legible.llm.components import components
 
@@ -206,20 +206,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [*(pa.array([f[k] for f in found], pa.int64()) for k in range(3)),
                  *(pa.array([f[k] for f in found], pa.list_(pa.int64())) for k in (3, 4))], ["hi", "lo", "n", "mark", "shingles"])
 
-    rows = stage(src.mapInArrow(describe, f"_id {kind}, n bigint, hi bigint, lo bigint"), "near-rows")
+    rows = stage(src.mapInArrow(forgetting(describe), f"_id {kind}, n bigint, hi bigint, lo bigint"), "near-rows")
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("_id").alias("rep"), F.min("n").alias("n"))
 
     # signatures that two different sets hold
     own = Window.partitionBy("sig")
     shared = stage(
-        src.select("_text").mapInArrow(sign, "sig bigint, hi bigint")
+        src.select("_text").mapInArrow(forgetting(sign), "sig bigint, hi bigint")
         .repartition(partitions(docs.sparkSession), "sig")
         .withColumn("_min", F.min("hi").over(own)).withColumn("_max", F.max("hi").over(own))
         .filter("_min < _max").select("sig", "hi").distinct(), "near-shared")
     held = shared.select("hi").distinct()
     wanted = stage(classes.join(held, "hi"), "near-wanted")
     sets = stage_by(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
-                 .mapInArrow(collect, "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>")
+                 .mapInArrow(forgetting(collect), "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>")
                     .select(_node(), "n", "mark", "shingles").repartition(partitions(docs.sparkSession), "node").dropDuplicates(["node"]),
                     "node", "near-sets")
 

@@ -60,3 +60,16 @@ def test_staged_buckets_are_dropped(spark):
     out = jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert {r["component_id"] for r in out} == {0}
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_words_are_forgotten_after_a_task():
+    from legible.llm import common
+
+    def run(batches):
+        for b in batches:
+            common.word_hashes([b])
+            assert common._MEMO
+            yield b
+
+    assert list(common.forgetting(run)(iter([b"a b", b"c"]))) == [b"a b", b"c"]
+    assert not common._MEMO
