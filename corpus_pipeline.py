@@ -59,9 +59,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the check that they decode to it."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(_rows(docs), path, public_tokenizers.PATTERN, id_col="row"), path)
-    return coded.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                        (F.col("decoded") == F.coalesce("row.text", F.lit("")).cast("binary")).alias("decodes"))
+    coded = bpe.round_trip(_rows(docs), path, public_tokenizers.PATTERN, id_col="row")
+    return coded.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard", near),
