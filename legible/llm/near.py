@@ -26,9 +26,10 @@ id but a component is named by its smallest non-null id; an empty table gives an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -46,6 +47,8 @@ ENUMERATE = 6
 MARK = 2048
 #: Bits of a signature that travel: two sets that agree in these only are one more candidate, never a lost one.
 SIGNED = 48
+#: Bits of the bitmap of wanted ids (16 MB at every size).
+SPARED = 1 << 27
 
 
 class Bands:
@@ -167,6 +170,28 @@ def _led(pairs: DataFrame) -> DataFrame:
     return led
 
 
+def _perhaps(ids: DataFrame, col: str) -> Callable[[F.Column], F.Column]:
+    """A test of an id that is false only for ids outside ``ids[col]``: one bit of a bitmap of constant size for each
+    hash.  It spares most unwanted texts the shuffle of the exact join that follows; the fuller the bitmap, the fewer."""
+    def place(c: F.Column) -> F.Column:
+        return F.pmod(F.xxhash64(c), F.lit(SPARED)) + 1
+
+    per = 32768  # bits of one of Spark's bitmaps
+    found = (ids.select(place(F.col(col)).alias("v")).groupBy(F.bitmap_bucket_number("v").alias("k"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("m")).collect())
+    bits = np.zeros((SPARED // per, per // 8), np.uint8)
+    for r in found:
+        bits[r["k"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def held(v: pd.Series) -> pd.Series:
+        at = v.to_numpy() - 1
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: held(place(c))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
                  percent: int = 85) -> DataFrame:
     """Per input row: ``<id_col>, n_shingles, class_id, component_id``.
@@ -218,7 +243,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .filter("_min < _max").select("sig", "hi").distinct(), "near-shared")
     held = shared.select("hi").distinct()
     wanted = stage(classes.join(held, "hi"), "near-wanted")
-    sets = stage_by(src.join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
+    perhaps = _perhaps(wanted, "rep")
+    sets = stage_by(src.filter(perhaps(F.col("_id"))).join(wanted, src["_id"].eqNullSafe(wanted["rep"])).select("_text", "hi", "lo")
                  .mapInArrow(forgetting(collect), "hi bigint, lo bigint, n bigint, mark array<bigint>, shingles array<bigint>")
                     .select(_node(), "n", "mark", "shingles").repartition(partitions(docs.sparkSession), "node").dropDuplicates(["node"]),
                     "node", "near-sets")

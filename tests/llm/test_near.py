@@ -73,3 +73,15 @@ def test_words_are_forgotten_after_a_task():
 
     assert list(common.forgetting(run)(iter([b"a b", b"c"]))) == [b"a b", b"c"]
     assert not common._MEMO
+
+
+def test_bitmap_keeps_every_wanted_id(spark):
+    from pyspark.sql import functions as F
+
+    from legible.llm.near import _perhaps
+
+    ids = spark.range(-500, 500).selectExpr("if(id = 7, null, id) AS rep")
+    test = _perhaps(ids, "rep")
+    rows = spark.range(-5000, 5000).selectExpr("if(id = 8, null, id) AS x").filter(test(F.col("x"))).collect()
+    kept = {r["x"] for r in rows}
+    assert {None, *range(-500, 500)} - {7, 8} <= kept and len(kept) < 1100
