@@ -26,6 +26,20 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_
               ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(gone, i)), lambda i: w[i]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id"""
 
+OP4 = f"""
+WITH l AS (SELECT doc_id, unnest(x) AS x, unnest(range(1, len(x) + 1)) AS p
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+w AS (SELECT doc_id, p, x, {_words("x")} AS w FROM l),
+c AS (SELECT doc_id, p, array_to_string(w, ' ') AS t, len(w) AS n, lead(array_to_string(w, ' ')) OVER o AS t2, lead(p) OVER o AS p2
+      FROM w WHERE len(w) > 0 WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+runs AS (SELECT doc_id, p AS i, p2 AS e, t || chr(10) || t2 AS g FROM c WHERE t2 IS NOT NULL
+         UNION ALL SELECT doc_id, p, p, t FROM c WHERE n >= 50),
+gone AS (SELECT DISTINCT doc_id, unnest([i, e]) AS p, 1 AS g
+         FROM (SELECT doc_id, i, e, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM runs) WHERE r > 1)
+SELECT w.doc_id, count(*) FILTER (WHERE len(w) > 0)::BIGINT AS n_lines, count(gone.g)::BIGINT AS n_deleted,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY w.p) FILTER (WHERE gone.g IS NULL), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id"""
+
 OP6 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_words(AZ)} AS w FROM documents),
 sh AS (SELECT doc_id, {_shingles("w", 4)} AS s FROM d),
@@ -153,6 +167,6 @@ def _op13(rounds: int = 4) -> str:
 
 OP13 = _op13()
 
-ORACLE = {"op1_substring_dedup": OP1, "op6_ngram_jaccard": OP6, "op7_url_reputation": OP7, "op8_warc_captures": OP8,
+ORACLE = {"op1_substring_dedup": OP1, "op4_line_dedup": OP4, "op6_ngram_jaccard": OP6, "op7_url_reputation": OP7, "op8_warc_captures": OP8,
           "op9_benchmark_leaks": OP9,
           "op11_chat_format": OP11, "op12_fill_in_middle": OP12, "op13_vector_codes": OP13}
