@@ -66,7 +66,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard", near),
           ("decontamination", decontaminate), ("byte_bpe", tokens)]
 
-#: Posterior quality, winnowing by hash and token ids are beyond SQL; tests hold the stages against plain versions.
+#: Posterior quality and token ids are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
