@@ -32,6 +32,14 @@ def stream_parquet(spark: SparkSession, source_dir: str, schema, glob: str | Non
     return r.parquet(source_dir)
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """New files of the table ``<sf_dir>/<name>.parquet``, which is one file or a folder of part files.
+
+    The name goes in as a glob: it matches either, while Spark takes a plain path of a stream for a folder only."""
+    path = "%s/%s.parquet" % (sf_dir.rstrip("/"), name)
+    return stream_parquet(spark, "%s/{%s.parquet}" % (sf_dir.rstrip("/"), name), spark.read.parquet(path).schema)
+
+
 def stream_source_files(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:
     """New source files under ``root`` as ``(path, text)`` rows (whole file per row)."""
     df = (spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True)

@@ -72,6 +72,23 @@ def test_incremental_rerun_adds_nothing(spark):
     assert got == [(1, "a beta"), (2, "beta c"), (3, "beta beta")]
 
 
+def test_incremental_query_reads_a_table_of_part_files(spark):
+    """``documents.parquet`` may be a folder of part files or one file: both are read whole."""
+    from legible.plans.catalog import queries
+    src = tempfile.mkdtemp(prefix="legible-inc-table-")
+    rows = [(i, "de la de %d" % i if i else None) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    docs.repartition(3).write.parquet(src + "/parts/documents.parquet")
+    docs.coalesce(1).write.parquet(src + "/one")
+    part, = [f for f in os.listdir(src + "/one") if f.startswith("part-")]
+    os.makedirs(src + "/file")
+    os.rename(src + "/one/" + part, src + "/file/documents.parquet")
+    want = sorted((i, t and "value tmp value %d" % i, 0 if t is None else 3) for i, t in rows)
+    for kind in ("parts", "file"):
+        got = queries()["incremental_rewrite"](spark, src + "/" + kind)
+        assert sorted((r.doc_id, r.new_text, r.n_replacements) for r in got.collect()) == want
+
+
 def test_incremental_over_source_tree(spark):
     root = tempfile.mkdtemp(prefix="legible-inc-tree-")
     os.makedirs(os.path.join(root, "p"))
