@@ -59,7 +59,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, with the check that they decode to it."""
     path = public_tokenizers.path(RANKS)
-    coded = bpe.round_trip(_rows(docs), path, public_tokenizers.PATTERN, id_col="row")
+    rows = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
+    coded = bpe.round_trip(rows, path, public_tokenizers.PATTERN, id_col="row")
     return coded.select("row.doc_id", "row.lang", "row.source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 
 

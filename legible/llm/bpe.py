@@ -150,8 +150,11 @@ def encode_bytes(vocab: Vocabulary, data: bytes) -> list[int]:
 def _encoder(tokens: list[bytes], pattern: str):
     """Texts -> id bytes of every text, each match of the pattern on its own."""
     vocab, match = Vocabulary(tokens), regex.compile(pattern)
-    return lambda texts: [array("I", [i for m in match.findall(t) for i in encode_bytes(vocab, m.encode())]).tobytes()
-                          for t in texts]
+
+    def run(texts: list[str]) -> list[bytes]:
+        return [array("I", [i for m in match.findall(t) for i in encode_bytes(vocab, m.encode())]).tobytes() for t in texts]
+    run.forget = vocab.fits.cache_clear
+    return run
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,11 +206,15 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, tokens = process_memo(shared.value, pattern, _encoder), np.array(shared.value, object)
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).to_pylist()]
-            flat, ends = memo.ids(texts)
-            same = [b"".join(tokens[flat[s:e]].tolist()) == t for t, s, e in zip(texts, ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), id_lists(flat, ends), pa.array(same, pa.bool_())], ["_id", "ids", "decodes"])
+        try:
+            for b in batches:
+                texts = [t or b"" for t in b.column(1).to_pylist()]
+                flat, ends = memo.ids(texts)
+                same = [b"".join(tokens[flat[s:e]].tolist()) == t for t, s, e in zip(texts, ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0), id_lists(flat, ends), pa.array(same, pa.bool_())], ["_id", "ids", "decodes"])
+        finally:    # tasks go round all idle processes of an executor: only those at work remember units
+            memo.forget()
+            pa.default_memory_pool().release_unused()
 
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text"))
     kind = src.schema["_id"].dataType.simpleString()

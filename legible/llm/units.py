@@ -66,6 +66,11 @@ class UnitMemo:
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
+    def forget(self) -> None:
+        """Forget all units, and what the encoder remembers of its own."""
+        self._young, self._old = {}, {}
+        getattr(self._encode, "forget", lambda: None)()
+
     def _known(self, us: list[bytes]) -> tuple[list[bytes], set[bytes]]:
         """ids of distinct units (each with its mark behind it), and those of them that are not fine (never remembered)."""
         got = list(map(self._young.get, us))

@@ -1,6 +1,7 @@
 import base64
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from brute import crc, sha
@@ -83,3 +84,18 @@ def test_op3_edges_and_selective_read(spark, edge, nothing, other):
     path = tokens.new_token_path(spark)
     tokens.write_tokens(nothing, path, P.path("byte_bpe_50k.json"))
     assert tokens.read_tokens(spark, path).count() == 0
+
+
+def test_round_trip_leaves_no_units_in_its_processes(spark):
+    """Tasks go round an executor's idle processes: what each remembers must go with the task."""
+    texts = [("a%d qzx%d Wort %d ähm" % (i, i, i)) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert df.count() == bpe.round_trip(df, path, P.PATTERN).filter("decodes").count()
+
+    def remembered(batches):
+        from legible.llm import units
+        for b in batches:
+            n = sum(b"qzx" in u for _, _, m in units._MEMOS for u in [*m._young, *m._old])
+            yield pa.RecordBatch.from_arrays([pa.array([n] * len(b), pa.int64())], ["n"])
+    assert {r.n for r in df.select("doc_id").mapInArrow(remembered, "n bigint").collect()} == {0}
