@@ -154,3 +154,10 @@ def test_heuristic_doc_model(spark, rows):
     df = spark.createDataFrame(rows, "s string, l string, st string")
     got = [r[0] for r in df.select(heuristic_doc(F.col("s"), F.col("l"), F.col("st"))).collect()]
     assert got == [heuristic_model(s, l, st) for s, l, st in rows]
+
+
+def test_clean_doc_text_reads_every_step_once(spark):
+    """The steps nest: without names for what they share the plan holds the first one hundreds of times."""
+    df = spark.createDataFrame([("x",)], "v string").select(T.clean_doc_text(F.col("v")).alias("c"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("v#") < 10
