@@ -45,3 +45,17 @@ def test_split_params():
 def test_unbalanced_is_quarantined():
     r = scan_java("B.java", "class B { void f() { }")
     assert len(r) == 1 and r[0]["unit_kind"] == "error"
+
+
+def test_scan_frames_are_bounded():
+    """A batch of many files comes out in frames of bounded size, every declaration once."""
+    import pandas as pd
+    from legible.operators import javascan
+    files = pd.DataFrame({"rel_path": ["F%d.java" % i for i in range(1500)],
+                          "text": ["class F%d { int a() { return 1; } void b(int x) { } }" % i for i in range(1499)] + [None]})
+    frames = list(javascan.scan_partitions([files]))
+    assert max(map(len, frames)) <= javascan.FRAME_ROWS + 3
+    rows = pd.concat([f for f in frames if len(f)])
+    assert len(rows) == 1499 * 3 and rows["file"].nunique() == 1499
+    big = pd.DataFrame({"rel_path": ["a", "b", "c"], "text": ["class A { /* %s */ }" % ("x" * javascan.FRAME_CHARS)] * 3})
+    assert [len(f) for f in javascan.scan_partitions([big]) if len(f)] == [1, 1, 1]
