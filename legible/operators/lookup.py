@@ -18,6 +18,7 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from legible.functions.text import let
 from legible.session import cut_lineage
 
 # the constant stands in the plan several times, and the driver keeps and prints plans: 20,000 rules are a few MB there,
@@ -28,11 +29,6 @@ KEY_CHARS = 1000                # a rule with a longer key or value is never par
 ENTRIES_PER_BUCKET = 4
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 class Lookup:
     """A constant map from string to ``kind`` (a Spark type name) that a Column expression can read."""
 
@@ -125,13 +121,24 @@ def with_map(files: DataFrame, keys: Column, rules: DataFrame, out: str, key: st
 
 
 def frequent_lookup(rules: DataFrame, key: str, value: str) -> Lookup:
-    """The lookup of the most frequent keys (by ``_rows``), as many as the bounds allow."""
+    """The lookup of the most frequent keys (by ``_rows``), as many as the bounds allow.
+
+    A histogram of the frequencies (at most 1,024 classes) says which classes fit whole; of the first one that does not, keys
+    are taken by their hash.  So about ``LOOKUP_MAX_ROWS`` rows reach the driver, however many keys and partitions there are
+    (a sort with a limit would send that many from every partition)."""
     small = (F.length(key) <= KEY_CHARS) & (F.length(F.to_json(F.struct(F.col(value)))) <= KEY_CHARS)
-    top = rules.filter(small).orderBy(F.desc("_rows"), key).limit(LOOKUP_MAX_ROWS).select(key, value).collect()
-    pairs, left = {}, LOOKUP_MAX_CHARS
-    for k, v in ((r[0], _plain(r[1])) for r in top):
-        left -= len(k) + len(json.dumps(v))
-        if left < 0:
+    classed = rules.filter(small).withColumn("_class", F.floor(F.log2("_rows") * 16).cast("int"))
+    sizes = {r["_class"]: r["count"] for r in classed.groupBy("_class").count().collect()}
+    whole, left = max(sizes, default=0) + 1, LOOKUP_MAX_ROWS
+    while whole > 0 and sizes.get(whole - 1, 0) <= left:
+        whole, left = whole - 1, left - sizes.get(whole - 1, 0)
+    part = F.pmod(F.xxhash64(key), F.lit(max(1, sizes.get(whole - 1, 1)))) < left
+    top = classed.filter((F.col("_class") >= whole) | ((F.col("_class") == whole - 1) & part)).select(key, value, "_rows").collect()
+    pairs, rows, chars = {}, LOOKUP_MAX_ROWS, LOOKUP_MAX_CHARS
+    for k, v, _ in sorted(top, key=lambda r: (-r[2], r[0])):
+        v = _plain(v)
+        rows, chars = rows - 1, chars - len(k) - len(json.dumps(v))
+        if rows < 0 or chars < 0:
             break
         pairs[k] = v
     return Lookup(pairs, rules.schema[value].dataType.simpleString())
