@@ -9,8 +9,11 @@ bands, so a set signs for the instance of its own band and for the next one.
 *Signatures.*  For an instance with distance bound k the domain of shingles (their hash range) is cut into
 ``n1`` partitions, each into ``n2`` pieces, and all subsets of ``n2 - k2`` pieces of a partition are
 enumerated; a signature is the hash of the set's shingles in the subset.  With ``n1 > k / (k2 + 1)`` some
-partition holds at most k2 differing pieces, so linked sets share a signature.  ``slack`` more partitions
-than needed let a set leave out its empty projections unless it has more than ``slack`` of them.
+partition holds at most k2 differing pieces, so linked sets share a signature.  There are ``slack`` more partitions
+than needed.  With whole partitions (k2 = 0) linked sets agree on ``slack + 1`` of them or more, and a set leaves out its
+``slack`` smallest projections in an order of their contents: the largest one that linked sets agree on has ``slack`` below it
+in both sets, so both sign it.  Projections of one or two shingles, which many unrelated sets have, hardly sign then.  With
+pieces a set leaves out its empty projections unless it has more than ``slack`` partitions with such.
 
 *Candidates.*  Signatures held by one set only are dropped.  Sets of a small bucket are paired.  In a crowded
 bucket (a large family of near copies) pairing all would be quadratic: its sets are joined further on the
@@ -71,7 +74,7 @@ class Bands:
         if k == 0:
             return 1, 1, 0, 0
         k2 = 1 if k <= ENUMERATE else 0
-        slack = 1 + (k // 32 if self.percent >= 85 else k * 12 // 100)  # lower thresholds: smaller partitions, more of them empty
+        slack = 1 if k2 else k // 2
         return -(-(k + 1) // (k2 + 1)) + slack, 3 if k2 else 1, k2, slack
 
 
@@ -79,7 +82,7 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     """PartEnum signatures of a sorted distinct shingle-hash set."""
     own, out = bands.of(len(s)), []
     for band in (own, own + 1):
-        n1, n2, _, slack = bands.plan(band)
+        n1, n2, k2, slack = bands.plan(band)
         pieces = n1 * n2
         # ascending hashes fall into ascending pieces of the hash range
         piece = ((s >> np.uint64(32)) * np.uint64(pieces)) >> np.uint64(32)
@@ -87,14 +90,15 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
         salted = mix(s + mix(piece + np.uint64(band << 32)))
         run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted, dtype=np.uint64)])
         sums, count = run[ends[1:]] - run[ends[:-1]], np.diff(ends)
-        if n2 == 1:
-            sums, count = sums[:, None], count[:, None]
+        if k2 == 0:
+            sums, full = sums[:, None], np.ones((n1, 1), np.bool_)
+            full[np.lexsort((sums[:, 0], count))[:slack]] = False  # stable: equal contents stand in order of place
         else:  # all subsets of n2 - 1 pieces: the partition without one piece
             sums, count = sums.reshape(n1, n2), count.reshape(n1, n2)
             sums, count = sums.sum(1, dtype=np.uint64, keepdims=True) - sums, count.sum(1, keepdims=True) - count
-        full = count > 0
-        if (~full).any(1).sum() > slack:
-            full[:] = True
+            full = count > 0
+            if (~full).any(1).sum() > slack:
+                full[:] = True
         which = np.arange(sums.size, dtype=np.uint64).reshape(sums.shape)
         out.append(mix(sums + mix(which + np.uint64(band << 32) + np.uint64(1)))[full])
     return np.concatenate(out)

@@ -85,3 +85,32 @@ def test_bitmap_keeps_every_wanted_id(spark):
     rows = spark.range(-5000, 5000).selectExpr("if(id = 8, null, id) AS x").filter(test(F.col("x"))).collect()
     kept = {r["x"] for r in rows}
     assert {None, *range(-500, 500)} - {7, 8} <= kept and len(kept) < 1100
+
+
+def test_linked_sets_share_a_signature_and_small_projections_do_not_sign():
+    import numpy as np
+    from legible.llm.near import Bands, signatures
+
+    rnd = np.random.default_rng(3)
+    for percent in (80, 85):
+        bands = Bands(percent)
+        for n in [*range(1, 80), 200, 333, 700] * 3:
+            pool = rnd.integers(0, 1 << 64, 2 * n, dtype=np.uint64)
+            gone = int(rnd.integers(0, n * (100 - percent) // (100 + percent) + 1))  # as many others come in their place
+            s, t = np.unique(pool[:n]), np.unique(pool[gone:n + gone])
+            both, least = len(np.intersect1d(s, t)), n * percent // 100
+            assert 100 * both >= percent * (2 * n - both)
+            assert len(np.intersect1d(signatures(s, bands), signatures(t, bands)))
+            part = s[:max(1, -(-len(s) * percent // 100))]                           # the smallest set that can link, in one corner
+            assert least <= len(part) and len(np.intersect1d(signatures(s, bands), signatures(part, bands)))
+
+    # sets that have a fiftieth of their shingles in common share few signatures (989 when single shingles signed)
+    met, bands = 0, Bands(80)
+    for n in (250, 600, 1500, 3000):
+        rnd = np.random.default_rng(3)
+        for _ in range(10):
+            common = rnd.integers(0, 1 << 64, n // 50, dtype=np.uint64)
+            sets = [np.unique(np.concatenate([common, rnd.integers(0, 1 << 64, n - n // 50, dtype=np.uint64)])) for _ in range(20)]
+            seen = [set(signatures(x, bands).tolist()) for x in sets]
+            met += sum(len(a & b) for i, a in enumerate(seen) for b in seen[:i])
+    assert met < 750
